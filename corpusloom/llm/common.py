@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str, size: int = STEP) -> Ite
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(col).to_pylist()])
+        ends = np.cumsum([0 if x is None else x for x in pc.binary_length(col).to_pylist()])
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

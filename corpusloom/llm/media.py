@@ -25,7 +25,7 @@ RATE = 8000
 #: Bins at which the spectrum is cut into bands; each band gives one peak.
 BANDS = (1, 16, 64, 144, 289)
 #: Frames ahead in which an anchor looks for partners.
-AHEAD = 2
+AHEAD = 2  # and 0: the anchor's own frame
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -78,10 +78,10 @@ def fingerprint(payloads: list[bytes]) -> list[np.ndarray]:
         p, v = peak[a : b - 1], loud[a : b - 1]
         anchor = np.take_along_axis(p, v.argmax(1)[:, None], 1)[:, 0].astype(np.int64)
         codes = []
-        for gap in range(1, min(AHEAD, len(p) - 1) + 1):
+        for gap in range(min(AHEAD, len(p) - 1) + 1):
             t = np.arange(len(p) - gap, dtype=np.int64)
-            codes.append(((t << 32) | (anchor[:-gap] << 20) | gap)[:, None] | (p[gap:].astype(np.int64) << 8))
-        out.append(np.sort(np.concatenate(codes, axis=None)) if codes else anchor << 20)
+            codes.append(((t << 32) | (anchor[: len(t)] << 20) | gap)[:, None] | (p[gap:].astype(np.int64) << 8))
+        out.append(np.sort(np.concatenate(codes, axis=None)))
     return out
 
 
