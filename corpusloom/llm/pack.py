@@ -1,0 +1,184 @@
+"""Lexical retrieval packing: a sharded BM25 index hands each seed its unused neighbours.
+
+Documents are tokenised once (a byte-level BPE; ids below 65,536 are kept in two bytes) and end
+with ``END``. Whole windows of a long document are sequences by themselves. What is left of each
+document goes to a shard of about ``SHARD`` documents, by a hash of its id, so that shards are
+bounded and even however hot a source or a group of copies is. Inverse document frequencies are
+counted over the whole corpus (at most one number per vocabulary entry). Within a shard, the
+longest unused document is the seed; its ``TERMS`` weightiest terms query the shard's inverted
+index; neighbours that fit are taken by falling BM25 score, then any unused document, and the
+first that does not fit is cut to fill the window. So only a shard's last window has padding.
+
+A null text counts as empty: one piece with ``END`` alone. Rows with equal ids are packed apart.
+"""
+
+from __future__ import annotations
+
+import base64
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import STEP, steps, stored
+
+WIDTH = 2048
+END = 1
+SHARD = 2048
+TERMS = 8
+#: Neighbours tried before any unused document is taken.
+NEAR = 48
+K1, B = 1.2, 0.75
+VOCABULARY = 50_257
+
+_ENCODERS: dict[str, object] = {}
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def encoder(path: str):
+    """The byte-level BPE of a rank file: the ids that the JSON file of the same vocabulary gives."""
+    if path not in _ENCODERS:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _ENCODERS[path] = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]
+
+
+def tokenise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Rows doc_id, n (tokens with END), ids (binary, unsigned 16-bit little-endian)."""
+    path = tokenizer or default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode_ordinary
+        for part in steps(batches, "text", STEP):
+            ids = [np.array([*encode(t or ""), END], "<u2") for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+
+    return df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n long, ids binary")
+
+
+def document_frequencies(tokens: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(VOCABULARY, np.int64)
+        for part in steps(batches, "ids"):
+            ids = part.column(0).to_pylist()
+            n += len(ids)
+            for x in ids:
+                df[np.unique(np.frombuffer(x, "<u2"))] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], df[at]]))], names=["id", "df"])
+
+    rows = tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()
+    out, n = np.zeros(VOCABULARY, np.int64), 0
+    for r in rows:  # at most one row per vocabulary entry
+        if r.id < 0:
+            n = r.df
+        else:
+            out[r.id] = r.df
+    return n, out
+
+
+def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start in its tail, length); every id of every tail in exactly one."""
+    n = len(tails)
+    length = np.array([len(t) for t in tails], np.int64)
+    key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64) << 16, length) | np.concatenate(tails), return_counts=True)
+    doc, term = key >> 16, key & 0xFFFF
+    gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
+    by_term = np.argsort(term, kind="stable")
+    post_doc, post_gain = doc[by_term], gain[by_term]
+    begin = np.searchsorted(term[by_term], np.arange(VOCABULARY + 1))
+    of_doc = np.searchsorted(doc, np.arange(n + 1))
+
+    rest, at, score = length.copy(), np.zeros(n, np.int64), np.zeros(n)
+    order = np.argsort(-length, kind="stable")
+    first, out = 0, []
+    while True:
+        while first < n and not rest[order[first]]:
+            first += 1
+        if first == n:
+            return out
+        seed = int(order[first])
+        sequence, room = [(seed, int(at[seed]), int(rest[seed]))], width - int(rest[seed])
+        rest[seed] = 0
+        if room:
+            a, b = of_doc[seed], of_doc[seed + 1]
+            own = gain[a:b]
+            score[:] = 0
+            for t in term[a:b][np.argsort(-own, kind="stable")[:TERMS]]:
+                score[post_doc[begin[t] : begin[t + 1]]] += post_gain[begin[t] : begin[t + 1]]
+            score[rest == 0] = 0
+            near = np.flatnonzero(score)
+            if len(near) > NEAR:
+                near = near[np.argpartition(-score[near], NEAR)[:NEAR]]
+            near = near[np.argsort(-score[near], kind="stable")]
+            cut = -1
+            for d in near:
+                if rest[d] <= room:
+                    sequence.append((int(d), int(at[d]), int(rest[d])))
+                    room -= int(rest[d])
+                    rest[d] = 0
+                    if not room:
+                        break
+                elif cut < 0:
+                    cut = int(d)
+            k = first
+            while room:
+                if cut < 0:
+                    while k < n and not rest[order[k]]:
+                        k += 1
+                    if k == n:
+                        break
+                    cut = int(order[k])
+                take = min(room, int(rest[cut]))
+                sequence.append((cut, int(at[cut]), take))
+                at[cut] += take
+                rest[cut] -= take
+                room -= take
+                cut = -1
+        out.append(sequence)
+
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: int = WIDTH, shard: int = SHARD) -> DataFrame:
+    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit little-endian)."""
+    tokens = stored(tokenise(df, id_col, text_col, tokenizer), "tokens")
+    n, frequency = document_frequencies(tokens)
+    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+    shards = max(1, -(-n // shard))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        base = key[0].as_py() << 32
+        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+        docs, size = table["doc_id"].to_pylist(), table["n"].to_pylist()
+        ids = [np.frombuffer(x, "<u2") for x in table["ids"].to_pylist()]
+        full = [len(x) // width * width for x in ids]
+        rows, number = [], 0
+        for d, x in enumerate(ids):
+            for a in range(0, full[d], width):
+                rows.append((docs[d], a, width, size[d], base + number, 0, x[a : a + width].astype("<u4").tobytes()))
+                number += 1
+        left = [d for d, x in enumerate(ids) if len(x) > full[d]]
+        for sequence in pack_shard([ids[d][full[d] :] for d in left], idf, width) if left else ():
+            offset = 0
+            for k, a, m in sequence:
+                d = left[k]
+                rows.append((docs[d], full[d] + a, m, size[d], base + number, offset, ids[d][full[d] + a : full[d] + a + m].astype("<u4").tobytes()))
+                offset += m
+            number += 1
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+    by = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    return by.groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

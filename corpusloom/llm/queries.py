@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media
+from . import decontaminate, licences, media, pack
 from .common import read
 
 
@@ -16,7 +16,27 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(docs)).drop("fingerprints")
 
 
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op10_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op4_retrieval_packing": op4_retrieval_packing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op10_licence_scans": op10_licence_scans,
 }
 ORACLES: dict[str, str] = {}
