@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back, as workers live through many stages
 #: Characters that end an alphanumeric word: \x00-\x2F \x3A-\x40 \x5B-\x60 \x7B-\x7F; A-Z become a-z.
 ALNUM = bytes(
     (c + 32) if 0x41 <= c <= 0x5A else 0x20 if (c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F) else c
@@ -138,8 +139,17 @@ def lower_az(text: Column) -> Column:
     )
 
 
+#: Rows of an Arrow batch: texts can be long, and both ends of the pipe hold whole batches.
+BATCH_ROWS = 1000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

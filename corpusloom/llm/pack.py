@@ -26,7 +26,7 @@ from .common import STEP, steps, stored
 
 WIDTH = 2048
 END = 1
-SHARD = 2048
+SHARD = 1024
 TERMS = 8
 #: Neighbours tried before any unused document is taken.
 NEAR = 48
