@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, media, pack, toxicity
+from . import decontaminate, licences, lm, media, pack, toxicity
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(docs)).drop("fingerprints")
 
 
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pack.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -42,6 +46,7 @@ def op10_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op3_interpolated_lm": op3_interpolated_lm,
     "op4_retrieval_packing": op4_retrieval_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
