@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lm, media, pack, substrings, toxicity
+from . import decontaminate, jaccard, licences, lm, media, pack, substrings, toxicity
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_interpolated_lm": op3_interpolated_lm,
     "op4_retrieval_packing": op4_retrieval_packing,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
