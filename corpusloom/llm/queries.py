@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, lm, media, pack, substrings, toxicity
+from . import decontaminate, jaccard, licences, lines, lm, media, pack, substrings, toxicity
 from .common import read
 
 
@@ -16,6 +16,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(docs)).drop("fingerprints")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.dedup_lines(docs)
+    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,6 +60,7 @@ def op10_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_line_dedup": op2_line_dedup,
     "op3_interpolated_lm": op3_interpolated_lm,
     "op4_retrieval_packing": op4_retrieval_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
