@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import lower_az, stored
 
 WINDOW = 8
 #: Most distinct windows in the plan's hash set (8 bytes each).
@@ -84,7 +84,27 @@ def scan(
     )
 
 
-def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``df`` whose document is not contaminated, columns unchanged. Rows with a null id stay."""
-    bad = scan(df, items, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return df.join(bad, df[id_col] == bad["__bad"], "left_anti")
+#: Rows up to which found documents are broadcast.
+FEW = 100_000
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``df`` without contaminated documents, and without hit words in the others; other columns unchanged.
+
+    What stood around a cut stays. Rows of equal id and text are treated alike; null texts stay null.
+    """
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))
+    named = df.select(key.alias("__key"), F.col(text_col).alias("text"))
+    hit = stored(scan(named, items, id_col="__key", text_col="text", **options).where("n_hit > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__key"), "contaminated", "spans"), "hits")
+    side = F.broadcast(hit) if hit.limit(FEW + 1).count() <= FEW else hit
+    one = df.withColumn("__key", key).join(side.select("__key", F.col("contaminated").alias("__bad"), F.col("spans").alias("__spans")), "__key", "left")
+    one = one.where("__bad is null or not __bad")
+    t = F.col(text_col)
+    covered = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
+    gaps = F.split(t, _WORD, -1)
+    words_ = F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))
+    one = one.withColumn("__cut", F.when(F.col("__spans").isNotNull(), covered))
+    tail = F.transform(F.arrays_zip(words_.alias("w"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("g")), lambda x, i: F.concat(F.when(F.array_contains("__cut", i), F.lit("")).otherwise(x["w"]), x["g"]))
+    text = F.when(F.col("__cut").isNotNull(), F.concat(gaps[0], F.array_join(tail, ""))).otherwise(t)
+    return one.withColumn(text_col, text).select(*df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, lines, lm, media, pack, substrings, toxicity
+from . import decontaminate, jaccard, licences, lines, lm, media, pack, pii, substrings, toxicity
 from .common import read
 
 
@@ -54,6 +54,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymise(docs)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",")
+    return out.select("doc_id", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_licence_scans": op10_licence_scans,
 }
 ORACLES: dict[str, str] = {}

@@ -136,7 +136,7 @@ class Kernel:
 class Pooler:
     """Sentence vectors of texts. Words seen before are not computed again."""
 
-    def __init__(self, kernel: Kernel, memory: int = 400_000):
+    def __init__(self, kernel: Kernel, memory: int = 250_000):
         self.kernel, self.memory = kernel, memory
         self.hot: dict[bytes, np.ndarray] = {}
         self.cold: set[bytes] = set()
@@ -310,6 +310,18 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``df`` that score below ``threshold``, as they were. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooler = Pooler(Kernel(model.landmarks))
+        for part in steps(batches, text_col):
+            scores = model.scores(pooler.pool(encoded(part.column(part.schema.get_field_index(text_col)))))
+            yield part.filter(pa.array(scores < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
