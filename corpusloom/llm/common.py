@@ -6,6 +6,7 @@ Words are cut on bytes: ``bytes.lower`` touches only A-Z and ``bytes.split`` cut
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,14 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back, as workers live through many stages
+# Workers live through many stages: freed memory goes back at once, large arrays to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD of the GNU C library
 #: Characters that end an alphanumeric word: \x00-\x2F \x3A-\x40 \x5B-\x60 \x7B-\x7F; A-Z become a-z.
 ALNUM = bytes(
     (c + 32) if 0x41 <= c <= 0x5A else 0x20 if (c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F) else c
     for c in range(256)
 )
 #: Bytes of text that one vectorised step handles, unless a single text is longer.
-STEP = 2 << 20
+STEP = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True

@@ -19,16 +19,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import U64, Words, encoded, steps
 
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def parts_of(spark: SparkSession) -> int:
-    """More parts than tasks, so that hashing parts to tasks evens out."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> U64(44)) % U64(parts)).astype(np.int32)
+    """Ranges of the top bits, so that a part's keys need not carry them."""
+    return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int32)
+
+
+def low_bytes(h: np.ndarray, n: int) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def from_low_bytes(packed: list[bytes], n: int) -> np.ndarray:
+    wide = np.zeros((sum(map(len, packed)) // n, 8), np.uint8)
+    wide[:, :n] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, n)
+    return wide.view("<u8")[:, 0]
 
 
 def scatter(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -41,13 +51,20 @@ def scatter(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def gaps(s: np.ndarray) -> bytes:
-    """Rising numbers as differences, two bytes each where they fit; the first byte says which."""
+    """Rising numbers as differences. The first byte says how: 1 in bytes, where 255 goes on; else their width."""
     d = np.diff(s, prepend=0)
-    return b"\2" + d.astype("<u2").tobytes() if not len(d) or d.max() < 1 << 16 else b"\4" + d.astype("<u4").tobytes()
+    more = d // 255
+    if more.sum() <= len(d):
+        out = np.full(len(d) + int(more.sum()), 255, np.uint8)
+        out[np.cumsum(more + 1) - 1] = d % 255
+        return b"\1" + out.tobytes()
+    return b"\2" + d.astype("<u2").tobytes() if d.max() < 1 << 16 else b"\4" + d.astype("<u4").tobytes()
 
 
 def ungaps(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, "<u2" if b[:1] == b"\2" else "<u4", offset=1).astype(np.int64))
+    x = np.frombuffer(b, f"<u{b[0]}", offset=1)
+    at = np.cumsum(x.astype(np.int64))
+    return at[x != 255] if b[0] == 1 else at
 
 
 def small(x: np.ndarray) -> bytes:
@@ -57,6 +74,17 @@ def small(x: np.ndarray) -> bytes:
     return bytes([n]) + x.astype(f"<u{n}").tobytes()
 
 
+def offset(x: np.ndarray) -> bytes:
+    """Whole numbers of any size and sign, as their least and what is above it."""
+    least = int(x.min()) if len(x) else 0
+    return np.array([least], "<i8").tobytes() + small((x.view(U64) - np.array([least], np.int64).view(U64)).astype(U64) if x.dtype == np.int64 else x.astype(np.int64) - least)
+
+
+def unoffset(b: bytes) -> np.ndarray:
+    x = np.frombuffer(b, f"<u{b[8]}", offset=9).astype(U64)
+    return (x + np.frombuffer(b, "<u8", count=1)).view(np.int64)
+
+
 def unsmall(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, components, drop_stored, mix, steps, stored, window_starts, windows
-from .exchange import block_words, blocks, gaps, grouped, part_of, parts_of, release, rows, scatter, small, ungaps, unsmall
+from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, part_of, parts_of, release, rows, scatter, small, ungaps, unsmall
 
 WORDS = 4
 #: Sets link when DEN * intersection >= NUM * union.
@@ -36,6 +36,8 @@ NUM, DEN = 85, 100
 #: Sets in a chunk of a block.
 CHUNK = 256
 LEAF, FAN = 8, 4
+#: Bytes of a shingle's key besides its part.
+BYTES = 7
 _ASK = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("at", pa.binary()), ("sid", pa.binary()), ("n", pa.binary()), ("first", pa.binary())])
 _SHARED = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
@@ -97,17 +99,17 @@ def candidates(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             out = []
             for p, i in scatter(part_of(key, parts), parts):
                 own = np.unique(owner[i])
-                out.append((p, key[i].astype("<u8").tobytes(), gaps(i), sid[own].astype("<i8").tobytes(), small(n[own]), small(begin[own])))
+                out.append((p, low_bytes(key[i], BYTES), gaps(i), sid[own].astype("<i8").tobytes(), small(n[own]), small(begin[own])))
             yield rows(_ASK, out)
 
     def shared(_: tuple, table: pa.Table) -> pa.Table:
         keys, ids, ns = [], [], []
         for r in table.to_pylist():
             own = np.searchsorted(unsmall(r["first"]), ungaps(r["at"]), side="right") - 1
-            keys.append(np.frombuffer(r["key"], "<u8"))
+            keys.append(r["key"])
             ids.append(np.frombuffer(r["sid"], "<i8")[own])
             ns.append(unsmall(r["n"]).astype(np.int32)[own])
-        key, sid, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(ns)
+        key, sid, n = from_low_bytes(keys, BYTES), np.concatenate(ids), np.concatenate(ns)
         order = np.argsort(key, kind="stable")
         k = key[order]
         new = np.concatenate([[True], k[1:] != k[:-1]])

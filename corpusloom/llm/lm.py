@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, drop_stored, mix, stored
-from .exchange import block_words, blocks, gaps, grouped, part_of, parts_of, release, rows, scatter, small, ungaps, unsmall
+from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, part_of, parts_of, release, rows, scatter, small, ungaps, unsmall
 
 HELD_OUT, DELETED, MODULUS = 1, 0, 5
 BUCKETS = 48
 #: Steps per doubling in which EM sees the ratios of its components.
 FINE = 4
 ROUNDS = 200
+#: Bytes of a key besides its part, for words and bigrams.
+BYTES = {1: 8, 2: 6}
 _END = U64(0xA5A5F00DFACE1234)
 _PAIR = U64(0xC2B2AE3D27D4EB4F)
 _ASK = pa.schema([("part", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("at", pa.binary()), ("key", pa.binary()), ("train", pa.binary()), ("deleted", pa.binary())])
@@ -72,9 +74,7 @@ def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBat
             t, d = (np.bincount(where[m], minlength=len(key)) for m in (train, deleted))
             out = []
             for p, i in scatter(part_of(key, parts), parts):
-                k = key[i].astype("<u8")
-                packed = k.tobytes() if kind == 1 else k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                out.append((p, b.name, kind, gaps(i), packed, small(t[i]), small(d[i])))
+                out.append((p, b.name, kind, gaps(i), low_bytes(key[i], BYTES[kind]), small(t[i]), small(d[i])))
             yield rows(_ASK, out)
 
 
@@ -85,12 +85,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
         if not t.num_rows:
             continue
         packed = t["key"].to_pylist()
-        if kind == 1:
-            keys = np.concatenate([np.frombuffer(x, "<u8") for x in packed])
-        else:
-            wide = np.zeros((sum(len(x) for x in packed) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
-            keys = wide.view("<u8")[:, 0]
+        keys = from_low_bytes(packed, BYTES[kind])
         train, deleted = (np.concatenate([unsmall(x) for x in t[c].to_pylist()]) for c in ("train", "deleted"))
         uniq, at = np.unique(keys, return_inverse=True)
         c, d = (np.bincount(at, x, len(uniq)).astype(np.int64) for x in (train, deleted))
@@ -98,7 +93,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
             out.append((None, 0, None, None, None, int(c.sum()), int((c > 0).sum()), int(d.sum()), int((c > d).sum())))
         lo = 0
         for name, x, g in zip(t["block"].to_pylist(), packed, t["at"].to_pylist(), strict=True):
-            hi = lo + len(x) // (8 if kind == 1 else 6)
+            hi = lo + len(x) // BYTES[kind]
             out.append((name, kind, g, small(c[at[lo:hi]]), small(d[at[lo:hi]]), None, None, None, None))
             lo = hi
     return pa.Table.from_batches([rows(_ANSWER, out)])
@@ -160,6 +155,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     asked = docs.mapInArrow(lambda batches: _ask(batches, parts), _ASK_SQL)
     answers = stored(grouped(asked, "part", _answer, _ANSWER_SQL), "counts")
+    del asked  # its shuffle files can go
     t = answers.where("kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_deleted", "v_rest"))).first().asDict()
     release(spark)
     tokens = docs.mapInArrow(_tokens, "block string, kind int, at binary, train binary, deleted binary, role binary")
