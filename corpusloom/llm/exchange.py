@@ -116,8 +116,12 @@ def block_words(table: pa.Table, lower: bool, text: str = "text") -> tuple[np.nd
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are stored."""
+    """Lets Spark delete the shuffle files of jobs whose results are stored.
+
+    They go once the JVM has collected their plans; the scheduler keeps the last job's until the next.
+    """
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 

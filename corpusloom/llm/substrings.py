@@ -5,8 +5,9 @@ by parts (see ``exchange``); an edge that occurs in more than one document gets
 first place in the document with the smallest id. Where successive edges of a document have
 successive sources the path between them does not branch, so they compact to one fragment
 (document, start, edges, source document, source start). A fragment is verified by its source
-coordinates: the words there and the document's own must give the same digest. Spark joins then
-chain fragments that meet at a node into maximal repeated paths, and these are cut out.
+coordinates: the words there and the document's own must give the same digest. Fragments
+that meet at a node compact to paths, and Spark joins chain those of a document's stretches into
+maximal repeated paths, which are cut out.
 
 A word goes if an edge that covers it occurs in a document with a smaller id; edges are judged on
 the input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null texts have no words. Rows with a null
@@ -24,14 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, drop_stored, encoded, mix, steps, stored, window_starts, windows
-from .exchange import block_words, blocks, gaps, grouped, part_of, parts_of, release, rows, scatter, small, ungaps, unsmall
+from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, offset, part_of, parts_of, release, rows, scatter, small, ungaps, unoffset, unsmall
 
 K = 13
+#: Words of a stretch that one bucket compacts, so that a long document is dealt out.
+RANGE = 4096
+#: Bytes of an edge's key besides its part.
+BYTES = 7
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 _ASK = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("at", pa.binary()), ("doc", pa.binary()), ("text", pa.binary()), ("first", pa.binary())])
-_EDGE = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-_FRAGMENT = pa.schema([(c, pa.int64()) for c in ("doc", "k", "start", "edges", "src_doc", "src_k", "src_start")])
-_FRAGMENT_SQL = "doc long, k long, start long, edges long, src_doc long, src_k long, src_start long"
+_SIX = ("doc", "text", "at", "src_doc", "src_text", "src_at")
+_EDGE = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _SIX)])
+_EDGE_SQL = "bucket int, " + ", ".join(f"{c} binary" for c in _SIX)
+_FRAGMENT = pa.schema([(c, pa.int64()) for c in ("doc", "k", "start", "edges", "src_doc", "src_k", "src_start", "path", "path_edges")])
+_FRAGMENT_SQL = ", ".join(f"{c} long" for c in _FRAGMENT.names)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -46,54 +53,58 @@ def _ask(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[p
         out = []
         for p, i in scatter(part_of(key, parts), parts):
             own = np.unique(owner[i])
-            out.append((p, key[i].astype("<u8").tobytes(), gaps(at[i]), doc[own].astype("<i8").tobytes(), text[own].astype("<i8").tobytes(), small(first[own])))
+            out.append((p, low_bytes(key[i], BYTES), gaps(at[i]), offset(doc[own]), text[own].astype("<i4").tobytes(), small(first[own])))
         yield rows(_ASK, out)
 
 
 def _sources(buckets: int):
     def run(_: tuple, table: pa.Table) -> pa.Table:
-        keys, docs, texts, pos = [], [], [], []
+        docs, texts, pos = [], [], []
         for r in table.to_pylist():
             at, first = ungaps(r["at"]), unsmall(r["first"])
             own = np.searchsorted(first, at, side="right") - 1
-            keys.append(np.frombuffer(r["key"], "<u8"))
-            docs.append(np.frombuffer(r["doc"], "<i8")[own])
-            texts.append(np.frombuffer(r["text"], "<i8")[own])
+            docs.append(unoffset(r["doc"])[own])
+            texts.append(np.frombuffer(r["text"], "<i4")[own])
             pos.append((at - first[own]).astype(np.int32))
-        key = np.concatenate(keys)
+        key = from_low_bytes(table["key"].to_pylist(), BYTES)
         order = np.argsort(key, kind="stable")
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.cumsum(new) - 1
         many = (np.diff(np.concatenate([np.flatnonzero(new), [len(key)]])) > 1)[group]
         order, group = order[many], group[many]
-        doc, text, at = np.concatenate(docs)[order], np.concatenate(texts)[order], np.concatenate(pos)[order].astype(np.int64)
+        doc, text, at = np.concatenate(docs)[order], np.concatenate(texts)[order].astype(np.int64), np.concatenate(pos)[order].astype(np.int64)
         by = np.lexsort((at, text, doc, group))
         doc, text, at, group = doc[by], text[by], at[by], group[by]
         head = np.flatnonzero(np.diff(group, prepend=-1))
         src = np.repeat(head, np.diff(np.concatenate([head, [len(group)]])))
         later = doc > doc[src]
         six = np.stack([doc[later], text[later], at[later], doc[src][later], text[src][later], at[src][later]])
-        bucket = part_of(mix(six[1].view(U64) ^ six[0].view(U64)), buckets)
-        return pa.Table.from_batches([rows(_EDGE, [(b, np.ascontiguousarray(six[:, i]).astype("<i8").tobytes()) for b, i in scatter(bucket, buckets)])])
+        bucket = part_of(mix(six[1].view(U64) ^ mix(six[0].view(U64)) ^ mix((six[2] // RANGE).view(U64))), buckets)
+        return pa.Table.from_batches([rows(_EDGE, [(b, *(offset(x) for x in six[:, i])) for b, i in scatter(bucket, buckets)])])
 
     return run
 
 
 def _fragments(_: tuple, table: pa.Table) -> pa.Table:
-    six = np.concatenate([np.frombuffer(x, "<i8").reshape(6, -1) for x in table["data"].to_pylist()], 1)
+    six = np.stack([np.concatenate([unoffset(x) for x in table[c].to_pylist()]) for c in _SIX])
     six = six[:, np.lexsort((six[2], six[1], six[0]))]
     step = np.diff(six, axis=1)
-    goes_on = (step[[0, 1, 3, 4]] == 0).all(0) & (step[[2, 5]] == 1).all(0)
+    goes_on = (step[[0, 1, 3, 4]] == 0).all(0) & (step[[2, 5]] == 1).all(0) & (six[2, 1:] % RANGE != 0)
     head = np.flatnonzero(np.concatenate([[True], ~goes_on])) if six.shape[1] else np.zeros(0, np.int64)
     edges = np.diff(np.concatenate([head, [six.shape[1]]]))
     d, k, p, sd, sk, sp = six[:, head]
-    return pa.table([pa.array(x, pa.int64()) for x in (d, k, p, edges, sd, sk, sp)], schema=_FRAGMENT)
+    meets = np.zeros(len(head), bool)  # the fragment before it ends where it begins
+    meets[1:] = (d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (p[1:] == p[:-1] + edges[:-1]) & (p[1:] // RANGE == p[:-1] // RANGE)
+    first = np.flatnonzero(~meets)
+    length = np.add.reduceat(edges, first) if len(first) else edges
+    times = np.diff(np.concatenate([first, [len(head)]]))
+    return pa.table([pa.array(x, pa.int64()) for x in (d, k, p, edges, sd, sk, sp, np.repeat(p[first], times), np.repeat(length, times))], schema=_FRAGMENT)
 
 
 def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("k"), text.alias("text"))
+    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).cast("long").alias("k"), text.alias("text"))
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -101,12 +112,13 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def repeated_fragments(docs: DataFrame, size: int = K) -> DataFrame:
-    """Verified fragments, stored: the words at both places give one digest."""
+    """Fragments with ``ok``: the words at both places give one digest. Stored."""
     spark = docs.sparkSession
     parts, buckets = parts_of(spark), parts_of(spark)
     asked = docs.select("doc", "k", "text").mapInArrow(lambda b: _ask(b, size, parts), "part int, key binary, at binary, doc binary, text binary, first binary")
-    edges = grouped(asked, "part", _sources(buckets), "bucket int, data binary")
+    edges = grouped(asked, "part", _sources(buckets), _EDGE_SQL)
     found = stored(grouped(edges, "bucket", _fragments, _FRAGMENT_SQL), "fragments")
+    del asked, edges  # their shuffle files can go
     release(spark)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +138,8 @@ def repeated_fragments(docs: DataFrame, size: int = K) -> DataFrame:
     made = stored(made.dropDuplicates(own), "digests")  # equal rows give equal digests
     release(spark)
     source = made.select(F.col("doc").alias("src_doc"), F.col("k").alias("src_k"), F.col("start").alias("src_start"), "edges", F.col("digest").alias("expected"))
-    out = stored(found.join(made, own).join(source, ["src_doc", "src_k", "src_start", "edges"]).where("digest = expected").drop("digest", "expected"), "verified")
+    checked = found.join(made, own).join(source, ["src_doc", "src_k", "src_start", "edges"]).select(*own, "path", "path_edges", (F.col("digest") == F.col("expected")).alias("ok"))
+    out = stored(checked, "checked")
     drop_stored(found)
     drop_stored(made)
     release(spark)
@@ -134,8 +147,15 @@ def repeated_fragments(docs: DataFrame, size: int = K) -> DataFrame:
 
 
 def paths(fragments: DataFrame, rounds: int = 40) -> DataFrame:
-    """Maximal repeated paths: doc, k, start, edges. Fragments that meet are chained by pointer doubling."""
-    f = fragments.select("doc", "k", "start", (F.col("start") + F.col("edges")).alias("end")).distinct()
+    """Maximal repeated paths of verified fragments: doc, k, start, edges.
+
+    A stretch of ``RANGE`` words compacts its own fragments; stretches' paths that meet are chained by
+    pointer doubling. A path with a fragment that failed falls back to its other fragments.
+    """
+    whole = fragments.groupBy("doc", "k", "path", "path_edges").agg(F.min("ok").alias("whole"))
+    odd = fragments.where("ok").join(whole.where("not whole"), ["doc", "k", "path", "path_edges"], "left_semi").select("doc", "k", "start", "edges")
+    f = whole.where("whole").select("doc", "k", F.col("path").alias("start"), F.col("path_edges").alias("edges")).union(odd)
+    f = f.select("doc", "k", "start", (F.col("start") + F.col("edges")).alias("end"))
     met = f.select("doc", "k", F.col("end").alias("start")).distinct().withColumn("inner", F.lit(True))
     # a path's inner fragments begin where another of the same text ends
     link = stored(f.join(met, ["doc", "k", "start"], "left").withColumn("inner", F.col("inner").isNotNull()), "paths")
