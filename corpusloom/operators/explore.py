@@ -20,10 +20,16 @@ def summary(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("variance"), F.stddev_pop(c).alias("std"), F.percentile(c, 0.5).alias("median"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null without variance."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """r, r2 and strength (weak below 0.4, strong from 0.7); null below two points or without variance."""
-    p = points(df, x, y).agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
-    r = F.when(F.col("n") >= 2, F.nanvl("r", F.lit(None).cast("double")))
+    p = points(df, x, y).agg(F.count("*").alias("n"), correlation("x", "y").alias("r"))
+    r = F.when(F.col("n") >= 2, F.col("r"))
     size = F.abs(r)
     return p.select("n", r.alias("r"), (r * r).alias("r2"), F.when(size >= 0.7, "strong").when(size >= 0.4, "moderate").when(size >= 0, "weak").alias("strength"))
 

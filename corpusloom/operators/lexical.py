@@ -4,10 +4,9 @@ Counting goes through (text, token) groups that combine before the shuffle, so a
 one task; windows are partitioned by text and token, or by text and block, never by text alone.
 """
 
-from __future__ import annotations
-
 import lzma
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,11 +176,17 @@ def mtld(toks: str | Column) -> Column:
         t = list(t)
         return sum(len(t) / (mtld_factors(x) or 1.0) for x in (t, t[::-1])) / 2 if t else 0.0
 
-    return F.pandas_udf(lambda s: s.map(one), "double", F.PandasUDFType.SCALAR)(toks)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return F.pandas_udf(run, "double")(toks)
 
 
 def lzma_size(texts: str | Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: len(lzma.compress(t.encode())) if t else 0), "long", F.PandasUDFType.SCALAR)(texts)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: len(lzma.compress(t.encode())) if t else 0)
+
+    return F.pandas_udf(run, "long")(texts)
 
 
 def compression(texts: DataFrame) -> DataFrame:

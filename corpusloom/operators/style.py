@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.wordlists import FUNCTION_WORDS
+from .explore import correlation
 from .lexical import frequencies
 
 ALPHA, LEAST, FLOOR_RANK = 0.01, 5, 1000
@@ -95,5 +96,4 @@ def disagreement(pairs: DataFrame) -> DataFrame:
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("a", c)) - 1) / 2
 
     r = pairs.withColumn("rx", ranks("x")).withColumn("ry", ranks("y"))
-    rho = F.corr("rx", "ry")
-    return r.groupBy("a").agg(F.when(F.count("*") >= 2, 1 - F.coalesce(F.nanvl(rho, F.lit(0.0)), F.lit(0.0))).alias("burrows_cosine_disagreement")).withColumnRenamed("a", "text_id")
+    return r.groupBy("a").agg(F.when(F.count("*") >= 2, 1 - F.coalesce(correlation("rx", "ry"), F.lit(0.0))).alias("burrows_cosine_disagreement")).withColumnRenamed("a", "text_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
@@ -17,21 +17,26 @@ METADATA = Y.StructType(
 )
 
 
+def plain(path: Column) -> Column:
+    """A path as Spark reports it, without its escapes."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def text_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of ``root/<text>/txt_files/*.txt``: text_id, file_id, file_name, content."""
     df = spark.read.text(f"{root}/*/txt_files/*.txt", wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
-    text = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/txt_files/[^/]+$", 1)
+    name = F.regexp_replace(plain(F.col("_metadata.file_name")), r"\.txt$", "")
+    text = F.regexp_extract(plain(F.col("_metadata.file_path")), r"/([^/]+)/txt_files/[^/]+$", 1)
     found = F.regexp_extract(name, ID, 1)
     file_id = F.when(found != "", found).otherwise(F.element_at(F.split(name, r"\."), -1))
-    return df.select(F.url_decode(text).alias("text_id"), file_id.alias("file_id"), name.alias("file_name"), F.col("value").alias("content")).where(~F.col("text_id").startswith("."))
+    return df.select(text.alias("text_id"), file_id.alias("file_id"), name.alias("file_name"), F.col("value").alias("content")).where(~F.col("text_id").startswith("."))
 
 
 def directory_documents(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
     """A text per .txt file down to ``depth`` folders: text_id from its path, content. Long names are cut and hashed."""
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     top = root.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_extract(F.col("_metadata.file_path"), f"/{top}/(.*)$", 1)
+    rel = F.regexp_extract(plain(F.col("_metadata.file_path")), f"/{top}/(.*)$", 1)
     label = F.concat(F.lit("txt_"), F.regexp_replace(F.regexp_replace(rel, r"\.txt$", ""), "/", "__"))
     label = F.when(F.length(label) > 240, F.concat(F.substring(label, 1, 220), F.substring(F.sha2(label.cast("binary"), 256), 1, 16))).otherwise(label)
     return df.where(F.size(F.split(rel, "/")) - 1 <= depth).select(label.alias("text_id"), rel.alias("source_id"), F.col("value").alias("content"))
@@ -81,7 +86,7 @@ def clean_subtitles(lines: DataFrame, keep_marks: bool = False, censored: str =
 
 def subtitle_lines(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.text(path, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.(vtt|vtx)$", "")
+    name = F.regexp_replace(plain(F.col("_metadata.file_name")), r"\.(vtt|vtx)$", "")
     return df.select(name.alias("file_id"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
 
 
