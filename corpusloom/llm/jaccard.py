@@ -265,19 +265,21 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
     first = stored(first, "star")
     joined = components(first)
 
-    rest = posts.join(joined.withColumnRenamed("id", "sid"), "sid", "left").select("token", "sid", F.coalesce("component", "sid").alias("root"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)
+    rest = posts.join(found.select("sid", "n"), "sid").join(joined.withColumnRenamed("id", "sid"), "sid", "left")
+    rest = rest.select("token", "sid", F.coalesce("component", "sid").alias("root"), band.alias("own"))
+    # sets that link lie in one band or in neighbouring ones: block b holds b and b - 1
+    rest = stored(rest.withColumn("band", F.explode(F.array("own", F.col("own") + 1))), "posts")
     h = F.xxhash64("sid")
-    open_ = rest.groupBy("token").agg(
-        F.count("*").alias("c"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"), (F.min("root") < F.max("root")).alias("open")
+    block_ = rest.groupBy("token", "band").agg(
+        F.count("*").alias("c"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"), ((F.min("root") < F.max("root")) & (F.max("own") == F.col("band"))).alias("open")
     ).where("open")
-    alone = open_.groupBy("c", "s", "x").agg(F.min("token").alias("token")).select("token")  # tokens with the same sets count once
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)
-    member = rest.join(alone, "token").join(found.select("sid", "n", "members"), "sid").withColumn("own", band)
-    member = stored(member.select("token", "sid", "root", "n", "members", "own", F.explode(F.array("own", F.col("own") + 1)).alias("band")), "blocks")
-    size = member.groupBy("token", "band").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"), (F.max("own") == F.col("band")).alias("used")).where("used")
-    cut = member.join(size, ["token", "band"]).withColumn("chunk", F.pmod(F.xxhash64("sid", "token"), F.col("chunks")))
+    alone = block_.groupBy("band", "c", "s", "x").agg(F.min("token").alias("token"))  # blocks of the same sets count once
+    size = alone.select("token", "band", F.ceil(F.col("c") / CHUNK).alias("chunks"))
+    cut = rest.join(size, ["token", "band"]).withColumn("chunk", F.pmod(F.xxhash64("sid", "token"), F.col("chunks")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cut = cut.select("token", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "own", "sid", "root", "n", "members")
+    cut = cut.select("token", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "own", "sid", "root")
+    cut = cut.join(found.select("sid", "n", "members"), "sid")
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         _, b, i, j = (k.as_py() for k in key)
@@ -290,14 +292,14 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
         return pa.Table.from_batches([rows(_LINK, [(sid[p], sid[q]) for p, q in got])])
 
     second = stored(cut.groupBy("token", "band", "i", "j").applyInArrow(block, "a long, b long"), "tree")
-    drop_stored(member)
+    drop_stored(rest)
     release(spark)
     return first.union(second)
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable, itself included)."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = candidates(docs, size, num, den)
     release(df.sparkSession)
     joined = components(links(found, num, den)).select(F.col("id").alias("sid"), "component")
