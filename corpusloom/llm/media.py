@@ -54,7 +54,7 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
             )
 
-    return df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def fingerprint(payloads: list[bytes]) -> list[np.ndarray]:

@@ -64,7 +64,7 @@ def tokenise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             ids = [np.array([*encode(t or ""), END], "<u2") for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
-    return df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[int, np.ndarray]:

@@ -104,7 +104,7 @@ def _fragments(_: tuple, table: pa.Table) -> pa.Table:
 
 def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).cast("long").alias("k"), text.alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).cast("long").alias("k"), text.alias("text"))
 
 
 def _digest(words: list[bytes]) -> bytes:

@@ -307,7 +307,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for part in steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(pooler.pool(encoded(part.column(1)))), pa.float64())], names=["doc_id", "score"])
 
-    return df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, score double")
+    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
