@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, lines, lm, media, pack, pii, substrings, toxicity
+from . import decontaminate, jaccard, licences, lines, lm, media, oracles, pack, pii, substrings, toxicity
 from .common import read
 
 
@@ -77,4 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_licence_scans": op10_licence_scans,
 }
-ORACLES: dict[str, str] = {}
+#: The others need digests, models or tokenizers that SQL lacks; tests compare them with brute force.
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": oracles.LINES,
+    "op5_ngram_jaccard_join": oracles.JACCARD,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op7_benchmark_decontamination": oracles.DECONTAMINATION,
+}
