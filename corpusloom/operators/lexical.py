@@ -196,3 +196,40 @@ def compression(texts: DataFrame) -> DataFrame:
     b = blocks(texts).select("text_id", F.size("tokens").alias("n"), T.joined(F.col("tokens")).alias("j")).withColumn("c", lzma_size("j"))
     b = b.groupBy("text_id").agg(F.avg(F.col("c") / F.octet_length("j")).alias("moving_lzma_cr"), F.avg(F.col("c") / (F.col("n") * 4.5)).alias("window_normalized_lzma_cr"))
     return full.join(b, "text_id", "left").fillna(0.0)
+
+
+def greedy_chunks(toks: str | Column, size: int, pieces=None) -> Column:
+    """Tokens packed in order while their pieces stay within ``size``; a token beyond it is a chunk of its own.
+
+    ``pieces`` counts a token's model pieces (one each by default); it travels to the workers.
+    """
+    count = pieces or (lambda t: 1)
+
+    def one(t) -> list[str]:
+        out, held, n = [], [], 0
+        for x in t:
+            k = count(x)
+            if held and n + k > size:
+                out.append(" ".join(held))
+                held, n = [], 0
+            held.append(x)
+            n += k
+        return [*out, " ".join(held)] if held else out
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return F.pandas_udf(run, "array<string>")(toks)
+
+
+def sentiment(scores: DataFrame, edge: float = 0.05) -> DataFrame:
+    """positivity and volatility of chunk scores (text_id, score): positive over positive and negative, 0.5 without either; population deviation."""
+    pos, neg = F.count_if(F.col("score") >= edge), F.count_if(F.col("score") <= -edge)
+    return scores.groupBy("text_id").agg(
+        F.when(pos + neg > 0, pos / F.nullif(pos + neg, F.lit(0))).otherwise(0.5).alias("positivity"), F.stddev_pop("score").alias("volatility")
+    )
+
+
+def words_per_file(files: DataFrame) -> DataFrame:
+    """Mean tokens of a text's files that have any."""
+    return files.where(F.size("tokens") > 0).groupBy("text_id").agg(F.avg(F.size("tokens")).alias("avg_words_per_video"))

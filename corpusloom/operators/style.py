@@ -97,3 +97,25 @@ def disagreement(pairs: DataFrame) -> DataFrame:
 
     r = pairs.withColumn("rx", ranks("x")).withColumn("ry", ranks("y"))
     return r.groupBy("a").agg(F.when(F.count("*") >= 2, 1 - F.coalesce(correlation("rx", "ry"), F.lit(0.0))).alias("burrows_cosine_disagreement")).withColumnRenamed("a", "text_id")
+
+
+def top_contributors(parts: DataFrame, k: int = 12, *by: str) -> DataFrame:
+    """The k words with the greatest share, with rank and cumulative share. Ties by the word."""
+    w = Window.partitionBy(*by).orderBy(F.round("share", 9).desc(), "word")
+    out = parts.withColumn("rank", F.row_number().over(w)).withColumn("cumulative", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.where(F.col("rank") <= k).select(*by, "rank", "word", "share", "cumulative")
+
+
+def cluster_summary(z: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, n texts, mean absolute mean z, and whether it holds every text with a profile."""
+    m = z.join(clusters, "text_id").groupBy("cluster", "word").agg(F.avg("z").alias("mz"), F.count("*").alias("n"))
+    all_ = z.select("text_id").distinct().agg(F.count("*").alias("all"))
+    return m.groupBy("cluster").agg(F.max("n").alias("n"), F.avg(F.abs("mz")).alias("mean_abs_z")).crossJoin(F.broadcast(all_)).select(  # one row
+        "cluster", "n", "mean_abs_z", (F.col("n") == F.col("all")).alias("whole_corpus")
+    )
+
+
+def aggregated_rate(profile: DataFrame, words: list[str]) -> DataFrame:
+    """Sum of the words' rates of each text; null if one is missing."""
+    c = profile.where(F.col("word").isin(words)).groupBy("text_id").agg(F.sum("rate").alias("rate"), F.count("rate").alias("n"))
+    return c.select("text_id", F.when(F.col("n") == len(set(words)), F.col("rate")).alias("rate"))

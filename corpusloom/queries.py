@@ -428,6 +428,39 @@ def rate_context(spark, d):
     return p.select("text_id", "word", (F.round("rate", 9) + 0.0).alias("rate"), (F.round("z", 6) + 0.0).alias("z"), (F.round("percentile", 6) + 0.0).alias("percentile"))
 
 
+@query(
+    "cluster_summary",
+    f"""{_PROFILE}, m AS (SELECT {_CLUSTER} AS cluster, word, avg(z) AS mz, count(*) AS n FROM zz GROUP BY 1, 2)
+SELECT cluster, CAST(max(n) AS BIGINT) AS n, {_r("avg(abs(mz))")} AS mean_abs_z, max(n) = (SELECT count(DISTINCT text_id) FROM zz) AS whole_corpus FROM m GROUP BY 1""",
+)
+def cluster_summary(spark, d):
+    return rounded(style.cluster_summary(_z(spark, d), _clusters(spark, d)))
+
+
+@query(
+    "top_contributors",
+    f"""{_PROFILE}, w AS (SELECT x.word, abs(x.z - y.z) AS diff FROM zz x JOIN zz y ON x.word = y.word AND x.text_id = 'src0' AND y.text_id = 'src1'), s AS (SELECT word, diff / sum(diff) OVER () * 100 AS share FROM w),
+k AS (SELECT *, row_number() OVER o AS rank, sum(share) OVER o AS c FROM s WINDOW o AS (ORDER BY round(share, 9) DESC, word)) SELECT CAST(rank AS INTEGER) AS rank, word, {_r("share")} AS share, {_r("c")} AS cumulative FROM k WHERE rank <= 12""",
+)
+def top_contributors(spark, d):
+    return rounded(style.top_contributors(style.pair_decomposition(_z(spark, d), "src0", "src1")))
+
+
+@query("aggregated_rate", f"{_PROFILE} SELECT text_id, {_r('sum(rate)', 9)} AS rate FROM pr WHERE word IN ('the', 'of', 'and') GROUP BY 1")
+def aggregated_rate(spark, d):
+    return rounded(style.aggregated_rate(style.profiles(sources(spark, d)), ["the", "of", "and"]), 9)
+
+
+@query("words_per_file", f"{TOK} SELECT source AS text_id, {_r('avg(len(t))')} AS avg_words_per_video FROM tok WHERE len(t) > 0 GROUP BY 1")
+def words_per_file(spark, d):
+    return rounded(lexical.words_per_file(doc_files(spark, d)))
+
+
+@query("style_communities")
+def style_communities(spark, d):
+    return clusters.communities_of_pairs(_pairs(spark, d), 5)
+
+
 # ---------------------------------------------------------------- vectors
 _COS = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS cosine FROM e x, e y WHERE x.id <> y.id)"""
 

@@ -157,3 +157,11 @@ def test_records(spark):
     assert registry.measure(texts(spark, "a b"), ["how_count"]).columns == ["text_id", "how_count"]
     with pytest.raises(KeyError):
         registry.measure(texts(spark, "a b"), ["nothing_of_the_kind"])
+
+
+def test_chunks_and_sentiment(spark):
+    t = spark.createDataFrame([(0, ["aa", "b", "ccc", "d"]), (1, [])], "text_id int, tokens array<string>")
+    assert one(t.select("text_id", lexical.greedy_chunks("tokens", 3, len).alias("c")), "c") == [["aa b", "ccc", "d"], []]
+    assert one(t.select("text_id", T.chunks(F.col("tokens"), 3).alias("c")), "c") == [["aa b ccc", "d"], []]
+    s = lexical.sentiment(spark.createDataFrame([(0, 0.5), (0, -0.5), (0, 0.3), (1, 0.0)], "text_id int, score double")).orderBy("text_id").collect()
+    assert s[0].positivity == pytest.approx(2 / 3) and s[1].positivity == 0.5 and s[1].volatility == 0
