@@ -1,16 +1,17 @@
 """Line dedup: an exact set-similarity join with DataFrame functions alone.
 
-A line is its set of distinct word shingles (A-Z lower-cased words; a line of fewer words is one
-shingle). Shingles are ordered rarest first: by how often the first word's bucket occurs in the
-whole corpus (``BUCKETS`` counters, so what the plan holds is bounded), then by hash. Lines of one
-set are one *set*, placed at its first line. Two sets reach the threshold only if they share a
+A line is its set of distinct word shingles (lower-cased words; a line of fewer words is one
+shingle). Shingles are ordered rarest first: by how often the bucket of their rarest word occurs in
+the whole corpus (``BUCKETS`` counters, so what the plan holds is bounded), then by hash. Lines of the
+same words are one *set*, placed at its first line. Two sets reach the threshold only if they share a
 shingle among the first ``n - ceil(t n) + 1`` of each (prefix filter), their sizes are within t
 (length filter), and enough shingles are left after the shared one (positional filter). Candidates
 are verified by their Jaccard similarity.
 
 A line goes if an earlier line (by document id, then line) matches it; earlier lines are those of
 the input, whether they stay or not. So first each set is compared with the earliest set of each of
-its shingles, and only those that match none of these with the others. Lines without words stay.
+its shingles; those that match none, and the sets that they share a shingle with, are joined again
+with the shingles' exact counts as rarity. Lines without words stay.
 Null texts stay null. Rows without an id come last; rows of equal id and text count as one.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, lower_az, stored
+from .common import drop_stored, stored
 from .exchange import release
 
 SHINGLE = 5
@@ -49,22 +50,24 @@ def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_levels(docs: DataFrame) -> Column:
-    """Logarithm of each word bucket's count over the whole corpus, as a constant array."""
-    w = docs.select(F.explode(F.split(lower_az(F.col("text")), _SPACE)).alias("w")).select(_bucket(F.col("w")).alias("b"))
+    """Logarithm of each word bucket's count over the whole corpus, as the bytes of a constant."""
+    w = docs.select(F.explode(F.split(F.lower(F.col("text")), _SPACE)).alias("w")).select(_bucket(F.col("w")).alias("b"))
     count = {r.b: r.c for r in w.groupBy("b").agg(F.count("*").alias("c")).collect()}  # at most BUCKETS rows
-    return F.split(F.lit(",".join(str(int(count.get(b, 0)).bit_length()) for b in range(BUCKETS))), ",").cast("array<tinyint>")
+    return F.lit(bytearray(int(count.get(b, 0)).bit_length() for b in range(BUCKETS)))
 
 
-def _sets(lines: DataFrame, level: Column | None) -> DataFrame:
-    """Adds ``set`` to rows with ``line``, rarest shingles first: the first word's level above 57 bits of hash. Rows without words go."""
+def _tokens(level: bool) -> Column:
+    """The distinct shingles of column ``w``, rarest first: the least of ``levels`` in it above 57 bits of hash."""
 
-    def token(first: Column, words: Column) -> Column:
-        h = F.xxhash64(words).bitwiseAND(F.lit((1 << 57) - 1))
-        return h if level is None else h.bitwiseOR(F.shiftleft(F.get(level, _bucket(first)).cast("long"), 57))
+    def token(i: Column, size: Column) -> Column:
+        h = F.xxhash64(F.slice("w", i, size)).bitwiseAND(F.lit((1 << 57) - 1))
+        return h.bitwiseOR(F.shiftleft(F.array_min(F.slice("levels", i, size)).cast("long"), 57)) if level else h
 
-    w = lines.withColumn("w", _words(F.col("line"))).where("size(w) > 0").withColumn("size", F.least(F.size("w"), F.lit(SHINGLE)))
-    many = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: token(F.get("w", i - 1), F.slice("w", i, F.col("size"))))
-    return w.withColumn("set", F.sort_array(F.array_distinct(many))).drop("w", "size", "line")
+    size = F.least(F.size("w"), F.lit(SHINGLE))
+    # both sides of the condition use ``levels``, or Spark would compute it anew within the loop
+    full = F.size("levels") > 0 if level else F.size("w") > 0
+    many = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: token(i, size))
+    return F.when(full, F.sort_array(F.array_distinct(many))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def _need(n: str) -> Column:
@@ -77,49 +80,83 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     docs = _identified(df, id_col, text_col)
     level = word_levels(docs)
-    split = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
-    split = split.select("doc", "number", _code(F.col("number"), F.col("raw")).alias("code"), lower_az(F.col("raw")).alias("line"))
-    lines = _sets(split, level).withColumn("n", F.size("set"))
-    lines = lines.select("doc", "number", "code", F.xxhash64("set").alias("key"), "n", F.slice("set", F.lit(1), (F.col("n") - _need("n") + 1).cast("int")).alias("prefix"))
-    lines = stored(lines, "lines")
     place = F.struct("doc", "number", "code")
-    heads = stored(lines.groupBy("key").agg(F.min(place).alias("head"), F.min("n").alias("n"), F.first("prefix").alias("prefix")), "heads")
-    again = lines.select("doc", "number", "code", "key").join(heads.select("key", "head"), "key").where(place > F.col("head")).select("doc", "code")
 
+    def cut() -> DataFrame:
+        """Lines with their words and the key of these."""
+        one = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
+        one = one.select("doc", "number", _code(F.col("number"), F.col("raw")).alias("code"), _words(F.lower(F.col("raw"))).alias("w"))
+        return one.select("doc", "number", "code", F.xxhash64("w").alias("key"), "w")
+
+    # filters on words would be pushed down and split each text again: empty lines go after the write
+    sets_ = cut().withColumn("levels", F.transform("w", lambda x: F.ascii(F.substr(level, _bucket(x) + 1, F.lit(1)))))
+    sets_ = sets_.select(place.alias("place"), "key", _tokens(True).alias("set"))
+    sets_ = sets_.select("place", "key", F.size("set").alias("n"), "set")
+    sets_ = sets_.select("place", "key", "n", F.slice("set", F.lit(1), (F.col("n") - _need("n") + 1).cast("int")).alias("prefix"))
+    heads = stored(sets_.groupBy("key").agg(F.min("place").alias("head"), F.min("n").alias("n"), F.first("prefix").alias("prefix")), "heads").where("n > 0")
+    del sets_
+    release(spark)
+    again = cut().select(place.alias("place"), "key").join(heads.select("key", "head"), "key").where("place > head").select("place.doc", "place.code")
+
+    posts = heads.select("key", F.explode("prefix").alias("token"))
+    many = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    twice = stored(posts.join(many, "token"), "twice")
+    release(spark)
     order = F.col("head.doc") * F.lit(1 << 20) + F.least(F.col("head.number"), F.lit((1 << 20) - 1))  # may wrap: a hint for pivots only
-    posts = heads.select("key", "n", order.alias("ord"), F.posexplode("prefix").alias("pos", "token"))
-    many = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("ord").alias("least")).where("c > 1").drop("c")
-    shared = stored(posts.join(many, "token"), "shared")
+    pos = (F.array_position("prefix", F.col("token")) - 1).cast("int")
+    shared = twice.join(heads.select("key", "n", order.alias("ord"), "prefix"), "key").select("key", "token", "n", "ord", pos.alias("pos"))
+    least = shared.groupBy("token").agg(F.min("ord").alias("least"))
+    shared = stored(shared.join(least, "token"), "shared")
+    drop_stored(twice)
     release(spark)
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
         a = earlier.select("token", *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos")))
         both = later.join(a, "token").where("key <> a_key").where((F.col("n") * DEN >= F.col("a_n") * NUM) & (F.col("a_n") * DEN >= F.col("n") * NUM))
-        left = 1 + F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos")) - 1
-        return both.where(left * (NUM + DEN) >= (F.col("n") + F.col("a_n")) * NUM).select("key", "a_key").distinct()
-
-    def matched(found: DataFrame) -> DataFrame:
-        """Keys of which an earlier set matches."""
-        found = stored(found, "pairs")
-        wanted = found.select("key").union(found.select(F.col("a_key").alias("key"))).distinct().join(heads.select("key", "head"), "key")
-        wanted = stored(wanted.groupBy(F.col("head.doc").alias("doc")).agg(F.collect_list(F.struct("head.number", "head.code", "key")).alias("wanted")), "wanted")
+        left = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
+        return stored(both.where(left * (NUM + DEN) >= (F.col("n") + F.col("a_n")) * NUM).select("key", "a_key").distinct(), "pairs")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """Whole sets (key, head, set) of these keys, from the texts they are in."""
+        wanted = stored(
+            keys.distinct().join(heads.select("key", "head"), "key").groupBy(F.col("head.doc").alias("doc")).agg(F.collect_list(F.struct("head.number", "head.code", "key")).alias("wanted")), "wanted"
+        )
         side = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted
         one = docs.join(side, "doc").select("doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select("doc", "x.*", F.get("all", F.col("x.number")).alias("raw"))
-        one = one.where(_code(F.col("number"), F.col("raw")) == F.col("code")).dropDuplicates(["key"]).select("key", "doc", "number", "code", lower_az(F.col("raw")).alias("line"))
-        sets = stored(_sets(one, None).select("key", F.struct("doc", "number", "code").alias("head"), "set"), "sets")
-        x, y = sets, sets.select(F.col("key").alias("a_key"), F.col("head").alias("a_head"), F.col("set").alias("a_set"))
-        both = found.join(x, "key").join(y, "a_key").where("a_head < head").withColumn("i", F.size(F.array_intersect("set", "a_set")))
+        one = one.where(_code(F.col("number"), F.col("raw")) == F.col("code")).dropDuplicates(["key"]).select("key", place.alias("head"), _words(F.lower(F.col("raw"))).alias("w"))
+        out = stored(one.select("key", "head", _tokens(False).alias("set")), "sets")
+        drop_stored(wanted)
+        return out
+
+    def matched(found: DataFrame, sets: DataFrame) -> DataFrame:
+        """Keys of which an earlier set matches."""
+        y = sets.select(F.col("key").alias("a_key"), F.col("head").alias("a_head"), F.col("set").alias("a_set"))
+        both = found.join(sets, "key").join(y, "a_key").where("a_head < head").withColumn("i", F.size(F.array_intersect("set", "a_set")))
         out = stored(both.where(F.col("i") * DEN >= (F.size("set") + F.size("a_set") - F.col("i")) * NUM).select("key").distinct(), "matched")
-        for t in (found, wanted, sets):
+        for t in (found, sets):
             drop_stored(t)
+        release(spark)
         return out
 
-    first = matched(pairs(shared, shared.where("ord = least")))
-    rest = shared.join(first, "key", "left_anti")
-    second = matched(pairs(rest, shared.where("ord > least")))
+    found = pairs(shared, shared.where("ord = least"))
+    first = matched(found, sets_of(found.select("key").union(found.select(F.col("a_key").alias("key")))))
+
+    # The others and what shares a token with them, once more with the shingles' own counts as rarity:
+    # a hot group's shingles come last, and what sets its lines apart comes first.
+    tokens = shared.join(first, "key", "left_anti").select("token").distinct()
+    sets = sets_of(shared.join(tokens, "token", "left_semi").select("key"))
+    each = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("token"))
+    common = each.join(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token")
+    own = common.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("own"))  # bounded by a line
+    alone = F.col("n") - F.size("own")
+    reach = (F.col("n") - _need("n") + 1 - alone).cast("int")
+    short = own.where(reach > 0).select("key", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), reach)).alias("at", "x"))
+    short = stored(short.select("key", "n", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "short")
+    second = matched(pairs(short.join(first, "key", "left_anti"), short), sets)
+    drop_stored(short)
     near = heads.join(first.union(second), "key", "left_semi").select("head.doc", "head.code")
     out = stored(again.union(near).groupBy("doc").agg(F.collect_set("code").alias("codes")), "later")  # bounded by a document's lines
-    for t in (lines, heads, shared, first, second):
+    for t in (heads, shared, first, second):
         drop_stored(t)
     release(spark)
     return out
