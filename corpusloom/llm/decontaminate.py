@@ -84,8 +84,8 @@ def scan(
     )
 
 
-#: Rows up to which found documents are broadcast.
-FEW = 100_000
+#: Spans up to which found documents are broadcast (about 20 bytes each).
+FEW = 1_000_000
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -97,7 +97,7 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))
     named = df.select(key.alias("__key"), F.col(text_col).alias("text"))
     hit = stored(scan(named, items, id_col="__key", text_col="text", **options).where("n_hit > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__key"), "contaminated", "spans"), "hits")
-    side = F.broadcast(hit) if hit.limit(FEW + 1).count() <= FEW else hit
+    side = F.broadcast(hit) if (hit.agg(F.sum(F.size("spans"))).first()[0] or 0) <= FEW else hit
     one = df.withColumn("__key", key).join(side.select("__key", F.col("contaminated").alias("__bad"), F.col("spans").alias("__spans")), "__key", "left")
     one = one.where("__bad is null or not __bad")
     t = F.col(text_col)

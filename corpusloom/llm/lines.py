@@ -27,8 +27,8 @@ SHINGLE = 5
 #: Sets match when DEN * intersection >= NUM * union.
 NUM, DEN = 8, 10
 BUCKETS = 1 << 16
-#: Rows up to which a side is broadcast (about 40 bytes each).
-FEW = 300_000
+#: Lines that a side may name for it to be broadcast (about 40 bytes each).
+FEW = 1_000_000
 LAST = (1 << 63) - 1
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -75,6 +75,10 @@ def _need(n: str) -> Column:
     return F.ceil(F.col(n) * NUM / DEN)
 
 
+def _few(df: DataFrame, column: str) -> bool:
+    return (df.agg(F.sum(F.size(column))).first()[0] or 0) <= FEW
+
+
 def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc (id; LAST for null), codes (array of long): the lines that go, named by number and content."""
     spark = df.sparkSession
@@ -121,7 +125,7 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         wanted = stored(
             keys.distinct().join(heads.select("key", "head"), "key").groupBy(F.col("head.doc").alias("doc")).agg(F.collect_list(F.struct("head.number", "head.code", "key")).alias("wanted")), "wanted"
         )
-        side = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted
+        side = F.broadcast(wanted) if _few(wanted, "wanted") else wanted
         one = docs.join(side, "doc").select("doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select("doc", "x.*", F.get("all", F.col("x.number")).alias("raw"))
         one = one.where(_code(F.col("number"), F.col("raw")) == F.col("code")).dropDuplicates(["key"]).select("key", place.alias("head"), _words(F.lower(F.col("raw"))).alias("w"))
         out = stored(one.select("key", "head", _tokens(False).alias("set")), "sets")
@@ -165,7 +169,7 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later matches cut from its texts; other columns and rows as they were."""
     gone = later_matches(df, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("codes").alias("__codes"))
-    if gone.limit(FEW + 1).count() <= FEW:
+    if _few(gone, "__codes"):
         gone = F.broadcast(gone)
     one = df.join(gone, F.coalesce(df[id_col].cast("long"), F.lit(LAST)) == F.col("__doc"), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__codes", _code(i, line)))
