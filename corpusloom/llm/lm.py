@@ -116,7 +116,7 @@ def _ids(docs: list) -> bytes:
 
 
 def _join(key: tuple, table: pa.Table) -> pa.Table:
-    """Counts of a block's tokens, cut by document."""
+    """Counts of a block's tokens, cut by document; those of the deleted part only where EM reads them."""
     mine = table.filter(pa.compute.equal(table["kind"], -1)).to_pylist()[0]
     token, n, role = unsmall(mine["at"]), unsmall(mine["deleted"]), unsmall(mine["role"])
     docs = np.frombuffer(mine["train"], "<i8")
@@ -141,7 +141,8 @@ def _join(key: tuple, table: pa.Table) -> pa.Table:
     out, lo = [], 0
     for doc, m, r in zip(docs.tolist(), n.tolist(), role.tolist(), strict=True):
         cut = slice(lo, lo + m)
-        out.append((None if doc == -(1 << 63) else doc, r, m, *(small(x[cut]) for k in (1, 2) for x in got[k])))
+        kept = [small(x[cut]) if r == DELETED or not of_deleted else None for k in (1, 2) for of_deleted, x in enumerate(got[k])]
+        out.append((None if doc == -(1 << 63) else doc, r, m, *kept))
         lo += m
     return pa.Table.from_batches([rows(_DOC, out)])
 
@@ -151,7 +152,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     parts = parts_of(spark)
     docs = df.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % MODULUS).cast("int").alias("role")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % MODULUS).cast("int").alias("role")
     )
     asked = docs.mapInArrow(lambda batches: _ask(batches, parts), _ASK_SQL)
     answers = stored(grouped(asked, "part", _answer, _ANSWER_SQL), "counts")
