@@ -1,11 +1,12 @@
 """Licence scans: exact phrase places, and template containment by an exact set-similarity join.
 
 Templates are few and fixed, so they are the indexed side: their tokens are ordered by how many
-documents of the whole corpus hold them, rarest first. A block (a line; longer lines are cut into
-overlapping windows) can hold ``need = ceil(threshold * |T|)`` tokens of template T only if it
-holds one of T's first ``|T| - need + 1`` tokens (prefix filter), at least ``need`` template
-tokens (length filter), and enough of them from the shared token on (positional filter). What
-passes is verified, so the filters lose nothing. Null and empty texts have no words and no labels.
+documents of the whole corpus hold them, rarest first. A block is any ``BLOCK`` words in a row of
+the whole text, whatever line breaks lie between. It can hold ``need = ceil(threshold * |T|)``
+tokens of template T only if it holds one of T's first ``|T| - need + 1`` tokens (prefix filter),
+and only in a text with at least ``need`` of T's tokens (length filter). For what passes, a block
+slides over the places of T's tokens and the most that it holds is counted exactly, so nothing is
+lost. Null and empty texts have no words and no labels.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ TEMPLATES = (
 )
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
-#: Longest block in words, unless a template needs more; blocks of a long line overlap by half.
+#: Words of a block, unless a template needs more.
 BLOCK = 64
 
 _WORD = np.array([c not in b" " for c in ALNUM])
@@ -75,36 +76,36 @@ class Matcher:
             self.sets.append((label, t, frozenset(t), need))
         self.block = max(BLOCK, 2 * max(len(_words(t.encode())) for _, t in templates))
 
-    def blocks(self, words: list[bytes]) -> Iterator[list[bytes]]:
-        step = self.block // 2
-        for at in range(0, max(1, len(words) - step), step):
-            yield words[at : at + self.block]
-
-    def match(self, block: list[bytes]) -> dict[str, float]:
+    def scan(self, text: bytes) -> dict[str, float]:
+        """For each label the largest share of a template that ``block`` words in a row hold, if it reaches the threshold."""
         found: dict[str, float] = {}
-        own = sorted(self.order.keys() & block, key=self.order.__getitem__)
-        seen: set[int] = set()
-        for j, w in enumerate(own):
-            for k, i in self.index.get(w, ()):
-                label, t, whole, need = self.sets[k]
-                if k in seen or len(own) < need or 1 + min(len(t) - i, len(own) - j) - 1 < need:
-                    continue
-                seen.add(k)
-                share = len(whole.intersection(own)) / len(t)
+        low = text.lower()
+        if not any(w in low for w in self.index):  # no prefix token, no match
+            return found
+        at = [(i, w) for i, w in enumerate(_words(low)) if w in self.order]
+        own = {w for _, w in at}
+        for k in sorted({k for w in self.index.keys() & own for k, _ in self.index[w]}):
+            label, t, whole, need = self.sets[k]
+            if len(whole & own) >= need:
+                share = self._most([(i, w) for i, w in at if w in whole]) / len(t)
                 if share >= self.threshold - 1e-9:
                     found[label] = max(found.get(label, 0.0), share)
         return found
 
-    def scan(self, text: bytes) -> dict[str, float]:
-        found: dict[str, float] = {}
-        low = text.lower()
-        if any(w in low for w in self.index):  # no prefix token, no match
-            for line in low.split(b"\n"):
-                if any(w in line for w in self.index):
-                    for block in self.blocks(_words(line)):
-                        for label, share in self.match(block).items():
-                            found[label] = max(found.get(label, 0.0), share)
-        return found
+    def _most(self, at: list[tuple[int, bytes]]) -> int:
+        """Most distinct words of ``at`` (place, word) within ``block`` places in a row."""
+        held: dict[bytes, int] = {}
+        most = first = 0
+        for i, w in at:
+            held[w] = held.get(w, 0) + 1
+            while at[first][0] <= i - self.block:
+                old = at[first][1]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                first += 1
+            most = max(most, len(held))
+        return most
 
 
 def places(words: list[bytes], phrases: dict[bytes, list[tuple[list[bytes], str]]]) -> list[tuple[int, str]]:

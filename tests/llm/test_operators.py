@@ -406,6 +406,17 @@ def test_licences(spark, base, docs):
         assert r.labels == ",".join(sorted(labels)) and 0 <= r.score <= 1
 
 
+def test_licences_over_lines_and_any_window(spark):
+    mit, bsd = licences.TEMPLATES[1][1].split(), licences.TEMPLATES[4][1].split()
+    far = ["x"] * 20 + bsd[:7] + ["y"] * 46 + bsd[7:] + ["z"] * 60  # 59 words from the first to the last
+    rows = [
+        "\n * ".join([" ".join(mit[:13]), " ".join(mit[13:])]), "\n".join([" ".join(bsd[:6]), " ".join(bsd[6:])]), " ".join(far), " ".join([*bsd[:7], *["y"] * 60, *bsd[7:]]),
+        "all rights\nreserved", "\n".join(["x"] * 64).join(["all rights", "reserved"]),
+    ]
+    got = {r.doc_id: r.labels for r in licences.scan_licences(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {0: "mit", 1: "bsd", 2: "bsd", 3: "", 4: "all-rights-reserved", 5: ""}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "labels", "benchmark"):
