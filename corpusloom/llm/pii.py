@@ -36,7 +36,15 @@ _FORMS = {
     "ip": r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
-_ANY = r"(?<![A-Za-z0-9+(])(?<![0-9][.@-])(?:" + "|".join(f"(?:{x})" for x in _FORMS.values()) + r")(?![A-Za-z0-9]|[.@-][0-9])"
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9+])(?<![0-9][.@-])", r"(?![A-Za-z0-9]|[.@-][0-9])"
+#: The forms but for cards; after a date as yyyy-mm-dd a time may follow.
+_OTHER = _BEFORE + r"(?:(?:1[89]|2[01])\d\d-\d\d-\d\d(?=[Tt]\d)|(?:" + "|".join(f"(?:{x})" for k, x in _FORMS.items() if k != "card") + ")" + _AFTER + ")"
+#: Digits, spaces and hyphens, in which cards are looked for. It leaves the first part of dd/mm/yyyy.
+_RUN = r"\d[\d -]{11,}\d"
+_ANY = "(?:" + _OTHER + "|" + _BEFORE + _RUN + _AFTER + r"(?!(?<=[ -]\d{1,2})/\d))"
+#: Groups in which cards are written. They are looked for at each group of a run, any other at its start.
+_GROUPS = (r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{6}\1\d{4,5}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,3}", r"\d{13,19}")
+_LOOSE = tuple(r"\d(?:[ -]?\d){%d}" % n for n in range(18, 11, -1))
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _BASE26 = "0123456789abcdefghijklmnop"
 
@@ -218,16 +226,48 @@ def _wrap(kind: str, new: Column) -> Column:
     return _let(new, lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("new"))))
 
 
+def _piece(s: Column, value: bool) -> Column:
+    return F.struct(s.alias("s"), F.lit(value).alias("value"))
+
+
+def _between(s: Column) -> Column:
+    """What lies between cards, as array of struct s, value: dates, numbers and the like, and the rest."""
+    both = F.zip_with(F.split(s, _OTHER, -1), F.regexp_extract_all(s, F.lit(_OTHER), F.lit(0)), lambda gap, x: F.array(_piece(gap, False), _piece(F.coalesce(x, F.lit("")), True)))
+    return F.flatten(both)
+
+
+def _cut(run: Column) -> Column:
+    """A run of digits as array of struct s, value: its cards from left to right, and what lies between."""
+
+    def card(at: Column) -> Column:
+        rest = run.substr(at, F.lit(38))
+        fresh = (at == 1) | run.substr(F.greatest(at - 2, F.lit(1)), F.lit(2)).rlike("^[ -]{2}$")
+        tries = [F.regexp_extract(rest, f"^(?:{x})(?![0-9])", 0) for x in _GROUPS] + [F.when(fresh, F.regexp_extract(rest, f"^(?:{x})(?![0-9])", 0)) for x in _LOOSE]
+        good = F.filter(F.array(*tries), lambda c: F.when(c != "", _luhn(_only(c, "0-9")) == 0))
+        return F.struct(at.alias("at"), F.get(good, F.lit(0)).alias("s"))
+
+    begins = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: (i == 1) | run.substr(F.greatest(i - 1, F.lit(1)), F.lit(2)).rlike("^[ -][0-9]$"))
+    cards = F.filter(F.transform(begins, card), lambda c: c["s"].isNotNull())
+
+    def add(x: Column, c: Column) -> Column:
+        both = F.concat(x["parts"], F.array(_piece(run.substr(x["to"], c["at"] - x["to"]), False), _piece(c["s"], True)))
+        return F.when(c["at"] < x["to"], x).otherwise(F.struct((c["at"] + F.length(c["s"])).alias("to"), both.alias("parts")))
+
+    start = F.struct(F.lit(1).alias("to"), F.expr("cast(array() as array<struct<s:string,value:boolean>>)").alias("parts"))
+    parts = F.aggregate(cards, start, add, lambda x: F.concat(x["parts"], F.array(_piece(run.substr(x["to"], F.length(run)), False))))
+    return F.flatten(F.transform(parts, lambda p: F.when(p["value"], F.array(p)).otherwise(_between(p["s"]))))
+
+
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``df`` with ``text_col`` rewritten, and ``found``: array of struct kind, new."""
     t = F.col(text_col)
     some = t.rlike("[0-9@]")
     df = df.withColumn("__old", F.when(some, F.regexp_extract_all(t, F.lit(_ANY), F.lit(0))))
-    df = df.withColumn("__new", F.transform("__old", lambda x: pseudonym(x, key)))
     df = df.withColumn("__gap", F.when(F.size("__old") > 0, F.split(t, _ANY, -1)))
-    tail = F.zip_with(
-        F.zip_with("__old", "__new", lambda old, new: F.coalesce(new["new"], old)), F.slice("__gap", F.lit(2), F.size("__old")), lambda a, b: F.concat(a, b)
-    )
-    text = F.when(F.size("__old") > 0, F.concat(F.get("__gap", F.lit(0)), F.array_join(tail, ""))).otherwise(t)
+    cut = F.transform("__old", lambda x: F.when(x.rlike(f"^{_RUN}$"), _cut(x)).otherwise(F.array(_piece(x, True))))
+    none = F.expr("cast(array() as array<struct<s:string,value:boolean>>)")
+    df = df.withColumn("__old", F.flatten(F.zip_with("__gap", cut, lambda gap, x: F.concat(F.array(_piece(gap, False)), F.coalesce(x, none)))))
+    df = df.withColumn("__new", F.transform("__old", lambda x: F.when(x["value"], pseudonym(x["s"], key))))
+    text = F.array_join(F.zip_with("__old", "__new", lambda old, new: F.coalesce(new["new"], old["s"])), "")
     found = F.filter(F.coalesce("__new", F.expr("cast(array() as array<struct<kind:string,new:string>>)")), lambda x: x["new"].isNotNull())
-    return df.withColumn(text_col, text).withColumn("found", found).drop("__old", "__new", "__gap")
+    return df.withColumn(text_col, F.coalesce(text, t)).withColumn("found", found).drop("__old", "__new", "__gap")
