@@ -52,16 +52,32 @@ for _d, _l in zip("013457", "oieast", strict=True):
 _PUNCT = bytes(c for c in range(128) if not (chr(c).isalnum() or c in (9, 10, 11, 12, 13, 32)))
 _SPACED = re.compile(rb"(?<![^\s])\S(?:[ \t]+\S){2,}(?![^\s])")
 _SENTENCE = re.compile(rb"[.!?]+(?=\s|$)|\n")
+_DOTTED = re.compile(rb"(?<![^\s])[^\s.!?](?:[.!?]*[ \t]+[^\s.!?]){2,}(?![^\s.!?])")
+_LONE = re.compile(rb"[.!?][ \t]+[^\s.!?](?![^\s.!?])")  # in every text that has such a word; quick to look for
+_MARK = re.compile(rb"[.!?]+[ \t]")
+
+
+def _join(m: re.Match[bytes]) -> bytes:
+    """Single characters with two or more marks between them are one word; one mark alone ends a sentence."""
+    return re.sub(rb"[\s.!?]", b"", m[0]) if len(_MARK.findall(m[0])) > 1 else m[0]
 
 
 def _plain(text: bytes) -> bytes:
-    text = text.lower().translate(None, _PUNCT)
+    """A sentence a line, words between spaces. Dotted letters are joined before the cut, spaced-out ones within a sentence."""
+    text = text.lower()
+    if _LONE.search(text):
+        text = _DOTTED.sub(_join, text)
+    text = _SENTENCE.sub(b"\n", text).translate(None, _PUNCT)
     return _SPACED.sub(lambda m: b"".join(m[0].split()), text)
 
 
+def _lines(plain: bytes) -> list[list[bytes]]:
+    return [w for s in plain.split(b"\n") if (w := s.split())]
+
+
 def sentences(text: bytes) -> list[list[bytes]]:
-    """Word lists; spaced-out letters are joined before the cut, so they need not end a sentence."""
-    return [w for s in _SENTENCE.split(text) if (w := _plain(s).split())]
+    """Word lists."""
+    return _lines(_plain(text))
 
 
 class Kernel:
@@ -142,7 +158,8 @@ class Pooler:
         self.cold: set[bytes] = set()
 
     def pool(self, texts: list[bytes]) -> list[np.ndarray]:
-        bags = [set(_plain(t).split()) for t in texts]
+        plain = [_plain(t) for t in texts]
+        bags = [set(t.split()) for t in plain]
         if len(self.cold) + len(self.hot) > self.memory:
             self.cold.clear()
             self.hot.clear()
@@ -151,10 +168,10 @@ class Pooler:
         self.hot |= hot
         self.cold.update(w for w in new if w not in hot)
         out = []
-        for text, bag in zip(texts, bags, strict=True):
+        for text, bag in zip(plain, bags, strict=True):
             rows = []
             if not self.hot.keys().isdisjoint(bag):
-                for words in sentences(text):
+                for words in _lines(text):
                     if own := self.hot.keys() & words:
                         rows.append(np.max([self.hot[w] for w in own], 0))
             out.append(np.array(rows, np.float32).reshape(-1, len(self.kernel.landmarks)))

@@ -313,6 +313,19 @@ def test_toxicity_of_gapped_insults(spark):
     assert all((r.score >= 0.7) == (r.doc_id % 3 == 0) for r in held)
 
 
+def test_toxicity_of_letters_at_sentence_ends():
+    assert toxicity.sentences(b"g. r. u. m. b. l. e. r. now") == [[b"grumbler"], [b"now"]]
+    assert toxicity.sentences(b"you g r u m b l e r. I like it") == [[b"you", b"grumbler"], [b"i", b"like", b"it"]]
+    kernel = toxicity.Kernel([b"grumbler"])
+    texts = [b"g. r. u. m. b. l. e. r. now", b"you g r u m b l e r. I like it", b"I am a. b", b"you grumbler", b"fine words"]
+    alone = [toxicity.Pooler(kernel).pool([t])[0] for t in texts]
+    assert [len(x) for x in alone] == [1, 1, 0, 1, 0] and all(x.max() > 0.99 for x in alone if len(x))
+    for order in (range(5), (3, 4, 1, 0, 2), (2, 1, 0, 4, 3)):  # whatever the worker saw before
+        pooler = toxicity.Pooler(kernel, 2)
+        for i in order:
+            assert np.array_equal(pooler.pool([texts[i]])[0], alone[i])
+
+
 def test_subsequence_kernel_by_brute_force():
     def features(w):
         c = [int(x) for x in toxicity._CLASS[np.frombuffer(w, np.uint8)]]
