@@ -727,7 +727,7 @@ def compression(spark, d):
 
 @query("lda_topics")
 def lda_topics(spark, d):
-    return clusters.topics(filters.texts_of(doc_files(spark, d)), 5, rounds=5, vocabulary=2000)[0]
+    return clusters.topics(filters.texts_of(doc_files(spark, d)))[0]
 
 
 @query("kmeans")
