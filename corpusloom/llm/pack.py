@@ -28,8 +28,6 @@ WIDTH = 2048
 END = 1
 SHARD = 1024
 TERMS = 8
-#: Neighbours tried before any unused document is taken.
-NEAR = 48
 K1, B = 1.2, 0.75
 VOCABULARY = 50_257
 
@@ -121,8 +119,6 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH) ->
                 score[post_doc[begin[t] : begin[t + 1]]] += post_gain[begin[t] : begin[t + 1]]
             score[rest == 0] = 0
             near = np.flatnonzero(score)
-            if len(near) > NEAR:
-                near = near[np.argpartition(-score[near], NEAR)[:NEAR]]
             near = near[np.argsort(-score[near], kind="stable")]
             cut = -1
             for d in near:

@@ -155,6 +155,13 @@ def test_packing_prefers_neighbours():
     assert sorted(kinds, key=min) == [{0}, {1}]
 
 
+def test_packing_walks_on_through_short_neighbours():
+    short = [np.array([7, 8, 9, 1], "<u2") for _ in range(100)]
+    other = [np.arange(1000, 1100, dtype="<u2") for _ in range(40)]
+    made = pack.pack_shard([np.array([7] * 1800, "<u2"), *short, *other], np.ones(pack.VOCABULARY))
+    assert made[0][0] == (0, 0, 1800) and {d for d, _, _ in made[0][1:]} >= {*range(1, 63)} and len(made[0]) == 63
+
+
 def _groups(docs, size, num, den):
     sets, inverted, parent = {}, collections.defaultdict(list), {i: i for i in docs}
     for i, t in docs.items():
