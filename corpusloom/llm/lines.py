@@ -1,27 +1,33 @@
 """Line dedup: an exact set-similarity join with DataFrame functions alone.
 
 A line is its set of distinct word shingles (lower-cased words; a line of fewer words is one
-shingle). Shingles are ordered rarest first: by how often the bucket of their rarest word occurs in
-the whole corpus (``BUCKETS`` counters, so what the plan holds is bounded), then by hash. Lines of the
-same words are one *set*, placed at its first line. Two sets reach the threshold only if they share a
-shingle among the first ``n - ceil(t n) + 1`` of each (prefix filter), their sizes are within t
-(length filter), and enough shingles are left after the shared one (positional filter). Candidates
-are verified by their Jaccard similarity.
-
-A line goes if an earlier line (by document id, then line) matches it; earlier lines are those of
-the input, whether they stay or not. So first each set is compared with the earliest set of each of
-its shingles; those that match none, and the sets that they share a shingle with, are joined again
-with the shingles' exact counts as rarity. Lines without words stay.
-Null texts stay null. Rows without an id come last; rows of equal id and text count as one.
+shingle). Shingles are ordered by their first word, rarest first: by how often the word's bucket
+occurs in the whole corpus (``BUCKETS`` counters, so what the plan holds is bounded), then by hash.
+Lines of the same words are one *set*, placed at its first line. Two sets reach the threshold only
+if they share a shingle among the first ``n - ceil(t n) + 1`` of each (prefix filter), their sizes
+are within t (length filter), and enough shingles are left after the shared one (positional filter).
+Candidates are verified by their Jaccard similarity.
+
+A line goes if an earlier line (by document id, hash of its text, then line) matches it; earlier
+lines are those of the input, whether they stay or not. So first each set is compared with the
+earliest set of each of its shingles (its *pivot*); what is then unmatched is joined again, with
+the shingles' exact counts as rarity, with the sets that share a shingle of three sets or more.
+
+Defined results: lines without words stay; null texts stay null, empty ones empty; an empty table
+gives an empty one. Ids may be of any type that has an order (whole numbers by value, others as
+text); rows without an id come last. Rows of equal id and text count as one, rows of equal id and
+different texts do not. Equal similarity and repeated lines need no tie rule: any earlier match
+removes. A table's other columns, whatever their names, are unchanged. Lines are told apart by
+128 bits of hash; shingles are compared by 64 bits within one pair of lines.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import drop_stored, stored
-from .exchange import release
 
 SHINGLE = 5
 #: Sets match when DEN * intersection >= NUM * union.
@@ -29,148 +35,166 @@ NUM, DEN = 8, 10
 BUCKETS = 1 << 16
 #: Lines that a side may name for it to be broadcast (about 40 bytes each).
 FEW = 1_000_000
-LAST = (1 << 63) - 1
+#: Stand for a missing id: whole numbers, and texts.
+LAST, LAST_TEXT = (1 << 63) - 1, chr(0x10FFFF)
+_BLANK = " \t\n\x0B\f\r"
 _SPACE = r"[ \t\n\x0B\f\r]+"
+#: Bits of a shingle's hash in the order, below its level.
+HASH = 57
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, _SPACE), "")
+    """Words of a line; one empty word if it has none."""
+    return F.split(F.btrim(line, F.lit(_BLANK)), _SPACE)
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _row(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What names a row: its id and a hash of its text."""
+    whole = isinstance(df.schema[id_col].dataType, IntegralType)
+    doc = F.coalesce(df[id_col].cast("long"), F.lit(LAST)) if whole else F.coalesce(df[id_col].cast("string"), F.lit(LAST_TEXT))
+    return [doc.alias("doc"), F.xxhash64(df[text_col]).alias("h")]
 
 
-def _code(number: Column, line: Column) -> Column:
-    return F.xxhash64(number.cast("int"), line)
+def word_levels(docs: DataFrame) -> Column:
+    """Logarithm of each word bucket's count over the whole corpus, above the bits of a shingle's hash: a constant array."""
+    w = docs.select(F.explode(F.split(F.lower(F.col("text")), _SPACE)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
+    count = {r.b: r.c for r in w.groupBy("b").agg(F.count("*").alias("c")).collect()}  # at most BUCKETS rows
+    return F.split(F.lit(",".join(str(int(count.get(b, 0)).bit_length() << HASH) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
-def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+def _barrier(df: DataFrame, *columns: Column) -> DataFrame:
+    """Columns computed once and kept: projections above would copy an expression into each place that names it."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def word_levels(docs: DataFrame) -> Column:
-    """Logarithm of each word bucket's count over the whole corpus, as the bytes of a constant."""
-    w = docs.select(F.explode(F.split(F.lower(F.col("text")), _SPACE)).alias("w")).select(_bucket(F.col("w")).alias("b"))
-    count = {r.b: r.c for r in w.groupBy("b").agg(F.count("*").alias("c")).collect()}  # at most BUCKETS rows
-    return F.lit(bytearray(int(count.get(b, 0)).bit_length() for b in range(BUCKETS)))
+def _shingles(hashes: Column) -> Column:
+    """Hashes of a line's shingles, one for each place, from its words' hashes: of two words, of four, of five."""
+    two = lambda a, b: F.xxhash64(a, b)
+
+    def beyond(x: Column, k: int) -> Column:
+        return F.slice(x, F.lit(k + 1), F.greatest(F.size(x) - k, F.lit(0)))
+
+    def four(pairs: Column) -> Column:
+        return F.zip_with(F.zip_with(pairs, beyond(pairs, 2), two), beyond(hashes, 4), two)
+
+    every = F.transform(F.array(F.zip_with(hashes, beyond(hashes, 1), two)), four)[0]  # the last ones run out of words
+    return F.slice(every, F.lit(1), F.greatest(F.size(hashes) - (SHINGLE - 1), F.lit(1)))
 
 
-def _tokens(level: bool) -> Column:
-    """The distinct shingles of column ``w``, rarest first: the least of ``levels`` in it above 57 bits of hash."""
+def _hashed(lines: DataFrame, *names: Column) -> DataFrame:
+    """Column ``raw`` as its words' hashes, and ``k1``, ``k2``: what names these words."""
+    one = _barrier(lines, *names, _words(F.lower("raw")).alias("w"))
+    keys = [F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(SHINGLE), "w").alias("k2"), (F.get("w", F.lit(0)) == "").alias("blank")]
+    return _barrier(one, *names, *keys, F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
 
-    def token(i: Column, size: Column) -> Column:
-        h = F.xxhash64(F.slice("w", i, size)).bitwiseAND(F.lit((1 << 57) - 1))
-        return h.bitwiseOR(F.shiftleft(F.array_min(F.slice("levels", i, size)).cast("long"), 57)) if level else h
 
-    size = F.least(F.size("w"), F.lit(SHINGLE))
-    # both sides of the condition use ``levels``, or Spark would compute it anew within the loop
-    full = F.size("levels") > 0 if level else F.size("w") > 0
-    many = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: token(i, size))
-    return F.when(full, F.sort_array(F.array_distinct(many))).otherwise(F.expr("cast(array() as array<bigint>)"))
+def _prefixes(docs: DataFrame, level: Column) -> DataFrame:
+    """Rows doc, h, number, k1, k2, n (distinct shingles), prefix (of them, in order; null for a line without words)."""
+    name = [F.col(c) for c in ("doc", "h", "number")]
+    one = _hashed(docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("number", "raw")), *name)
+    rank = lambda t, w: F.get(level, w.bitwiseAND(BUCKETS - 1)).bitwiseOR(F.shiftrightunsigned(t, 64 - HASH))
+    shingles = F.transform(F.array(_shingles(F.col("hashes"))), lambda t: F.zip_with(t, F.slice("hashes", F.lit(1), F.size(t)), rank))[0]
+    one = _barrier(one, *name, F.col("k1"), F.col("k2"), F.when(~F.col("blank"), F.sort_array(F.array_distinct(shingles))).alias("all"))
+    n = F.size("all")
+    return one.select("doc", "h", "number", "k1", "k2", n.alias("n"), F.slice("all", F.lit(1), _reach(n)).alias("prefix"))
 
 
-def _need(n: str) -> Column:
-    """Least overlap of a set of n with any that it matches."""
-    return F.ceil(F.col(n) * NUM / DEN)
+def _reach(n: Column) -> Column:
+    """Shingles of a set of n of which any that matches must hold one."""
+    return n - F.ceil(n * NUM / DEN).cast("int") + 1
 
 
 def _few(df: DataFrame, column: str) -> bool:
     return (df.agg(F.sum(F.size(column))).first()[0] or 0) <= FEW
 
 
+def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs sid, a_sid that share a token and pass the length and positional filters."""
+    a = earlier.select("token", *(F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos")))
+    both = later.join(a, "token").where("sid <> a_sid").where((F.col("n") * DEN >= F.col("a_n") * NUM) & (F.col("a_n") * DEN >= F.col("n") * NUM))
+    left = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
+    return stored(both.where(left * (NUM + DEN) >= (F.col("n") + F.col("a_n")) * NUM).select("sid", "a_sid").distinct(), "pairs")
+
+
+def _matched(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The later sets of those of these pairs that match."""
+    y = sets.select(F.col("sid").alias("a_sid"), F.col("head").alias("a_head"), F.col("set").alias("a_set"))
+    both = found.join(sets, "sid").join(y, "a_sid").withColumn("i", F.size(F.array_intersect("set", "a_set")))
+    both = both.where(F.col("i") * DEN >= (F.size("set") + F.size("a_set") - F.col("i")) * NUM)
+    out = stored(both.select(F.when(F.col("a_head") < F.col("head"), F.col("sid")).otherwise(F.col("a_sid")).alias("sid")).distinct(), "matched")
+    drop_stored(found)
+    return out
+
+
 def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows doc (id; LAST for null), codes (array of long): the lines that go, named by number and content."""
-    spark = df.sparkSession
-    docs = _identified(df, id_col, text_col)
-    level = word_levels(docs)
-    place = F.struct("doc", "number", "code")
-
-    def cut() -> DataFrame:
-        """Lines with their words and the key of these."""
-        one = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
-        one = one.select("doc", "number", _code(F.col("number"), F.col("raw")).alias("code"), _words(F.lower(F.col("raw"))).alias("w"))
-        return one.select("doc", "number", "code", F.xxhash64("w").alias("key"), "w")
-
-    # filters on words would be pushed down and split each text again: empty lines go after the write
-    sets_ = cut().withColumn("levels", F.transform("w", lambda x: F.ascii(F.substr(level, _bucket(x) + 1, F.lit(1)))))
-    sets_ = sets_.select(place.alias("place"), "key", _tokens(True).alias("set"))
-    sets_ = sets_.select("place", "key", F.size("set").alias("n"), "set")
-    sets_ = sets_.select("place", "key", "n", F.slice("set", F.lit(1), (F.col("n") - _need("n") + 1).cast("int")).alias("prefix"))
-    heads = stored(sets_.groupBy("key").agg(F.min("place").alias("head"), F.min("n").alias("n"), F.first("prefix").alias("prefix")), "heads").where("n > 0")
-    del sets_
-    release(spark)
-    again = cut().select(place.alias("place"), "key").join(heads.select("key", "head"), "key").where("place > head").select("place.doc", "place.code")
-
-    posts = heads.select("key", F.explode("prefix").alias("token"))
-    many = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    twice = stored(posts.join(many, "token"), "twice")
-    release(spark)
-    order = F.col("head.doc") * F.lit(1 << 20) + F.least(F.col("head.number"), F.lit((1 << 20) - 1))  # may wrap: a hint for pivots only
-    pos = (F.array_position("prefix", F.col("token")) - 1).cast("int")
-    shared = twice.join(heads.select("key", "n", order.alias("ord"), "prefix"), "key").select("key", "token", "n", "ord", pos.alias("pos"))
-    least = shared.groupBy("token").agg(F.min("ord").alias("least"))
-    shared = stored(shared.join(least, "token"), "shared")
+    """Rows doc, h (what names a row), numbers (sorted array): the lines that go. A stored table."""
+    docs = df.select(*_row(df, id_col, text_col), F.col(text_col).alias("text")).where("text is not null")
+    place = F.struct("doc", "h", "number")
+    lines = stored(_prefixes(docs, word_levels(docs)), "lines").where("prefix is not null")
+    heads = lines.groupBy("k1", "k2").agg(F.min(place).alias("head"), F.count("*").alias("lines"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    heads = stored(heads.withColumn("sid", F.monotonically_increasing_id()), "heads")  # the ids are fixed by the write
+    again = lines.join(heads.where("lines > 1").select("k1", "k2", "head"), ["k1", "k2"]).where(place > F.col("head")).select("doc", "h", "number")
+    again = stored(again, "again")
+    drop_stored(lines)
+
+    posts = heads.select("sid", F.posexplode("prefix").alias("pos", "token"))
+    many = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    twice = stored(posts.join(many.hint("shuffle_hash"), "token"), "twice")
+
+    # near the order of places; any order gives the same result, this one leaves least to the second join
+    number = F.least(F.col("head.number"), F.lit((1 << 20) - 1)).cast("long")
+    doc = F.col("head.doc") if dict(heads.select("head.doc").dtypes)["doc"] == "bigint" else F.xxhash64("head.doc")
+    order = F.shiftleft(doc.bitwiseAND(F.lit((1 << 43) - 1)), 20).bitwiseOR(number)
+    shared = stored(twice.join(heads.select("sid", "n", order.alias("ord")), "sid"), "shared")
     drop_stored(twice)
-    release(spark)
-
-    def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        a = earlier.select("token", *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos")))
-        both = later.join(a, "token").where("key <> a_key").where((F.col("n") * DEN >= F.col("a_n") * NUM) & (F.col("a_n") * DEN >= F.col("n") * NUM))
-        left = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
-        return stored(both.where(left * (NUM + DEN) >= (F.col("n") + F.col("a_n")) * NUM).select("key", "a_key").distinct(), "pairs")
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        """Whole sets (key, head, set) of these keys, from the texts they are in."""
-        wanted = stored(
-            keys.distinct().join(heads.select("key", "head"), "key").groupBy(F.col("head.doc").alias("doc")).agg(F.collect_list(F.struct("head.number", "head.code", "key")).alias("wanted")), "wanted"
-        )
-        side = F.broadcast(wanted) if _few(wanted, "wanted") else wanted
-        one = docs.join(side, "doc").select("doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select("doc", "x.*", F.get("all", F.col("x.number")).alias("raw"))
-        one = one.where(_code(F.col("number"), F.col("raw")) == F.col("code")).dropDuplicates(["key"]).select("key", place.alias("head"), _words(F.lower(F.col("raw"))).alias("w"))
-        out = stored(one.select("key", "head", _tokens(False).alias("set")), "sets")
-        drop_stored(wanted)
-        return out
-
-    def matched(found: DataFrame, sets: DataFrame) -> DataFrame:
-        """Keys of which an earlier set matches."""
-        y = sets.select(F.col("key").alias("a_key"), F.col("head").alias("a_head"), F.col("set").alias("a_set"))
-        both = found.join(sets, "key").join(y, "a_key").where("a_head < head").withColumn("i", F.size(F.array_intersect("set", "a_set")))
-        out = stored(both.where(F.col("i") * DEN >= (F.size("set") + F.size("a_set") - F.col("i")) * NUM).select("key").distinct(), "matched")
-        for t in (found, sets):
-            drop_stored(t)
-        release(spark)
-        return out
-
-    found = pairs(shared, shared.where("ord = least"))
-    first = matched(found, sets_of(found.select("key").union(found.select(F.col("a_key").alias("key")))))
-
-    # The others and what shares a token with them, once more with the shingles' own counts as rarity:
-    # a hot group's shingles come last, and what sets its lines apart comes first.
-    tokens = shared.join(first, "key", "left_anti").select("token").distinct()
-    sets = sets_of(shared.join(tokens, "token", "left_semi").select("key"))
-    each = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("token"))
-    common = each.join(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token")
-    own = common.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("own"))  # bounded by a line
+    least = shared.groupBy("token").agg(F.min("ord").alias("least"))
+    pivoted = stored(shared.join(least, "token"), "pivoted")
+    drop_stored(shared)
+    found = _candidates(pivoted, pivoted.where("ord = least"))
+
+    # whole sets of what these pairs and the second join may need, cut from the texts that they are in
+    some = found.select("sid").union(found.select("a_sid")).union(pivoted.where("c > 2").select("sid")).distinct()
+    wanted = heads.select("sid", "head").join(some, "sid").groupBy("head.doc", "head.h").agg(F.collect_list(F.struct("head.number", "sid")).alias("wanted"))
+    wanted = stored(wanted, "wanted")  # a row is bounded by a document's lines
+    side = F.broadcast(wanted) if _few(wanted, "wanted") else wanted
+    one = docs.join(side, ["doc", "h"]).select("doc", "h", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
+    one = one.select(F.col("x.sid").alias("sid"), F.struct("doc", "h", "x.number").alias("head"), F.get("all", F.col("x.number")).alias("raw"))
+    one = _hashed(one, F.col("sid"), F.col("head"))
+    sets = stored(one.select("sid", "head", F.array_distinct(_shingles(F.col("hashes"))).alias("set")), "sets")  # repeated rows repeat their sets, which changes nothing below
+    drop_stored(wanted)
+    first = _matched(found, sets)
+
+    # All pairs with a pivot are settled. Others share a token of three sets or more and are joined by the
+    # shingles' own counts: a hot group's shingles come last, and what sets its lines apart first.
+    tokens = pivoted.where("c > 2 and ord > least").join(first, "sid", "left_anti").select("token").distinct()
+    some = sets.join(pivoted.join(tokens, "token", "left_semi").select("sid").distinct(), "sid", "left_semi")
+    some = stored(some.select("sid", F.size("set").alias("n"), "set"), "some")
+    each = some.select("sid", "n", F.explode("set").alias("token"))
+    common = each.join(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").hint("shuffle_hash"), "token")
+    own = common.groupBy("sid", "n").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))  # bounded by a line
     alone = F.col("n") - F.size("own")
-    reach = (F.col("n") - _need("n") + 1 - alone).cast("int")
-    short = own.where(reach > 0).select("key", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), reach)).alias("at", "x"))
-    short = stored(short.select("key", "n", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "short")
-    second = matched(pairs(short.join(first, "key", "left_anti"), short), sets)
-    drop_stored(short)
-    near = heads.join(first.union(second), "key", "left_semi").select("head.doc", "head.code")
-    out = stored(again.union(near).groupBy("doc").agg(F.collect_set("code").alias("codes")), "later")  # bounded by a document's lines
-    for t in (heads, shared, first, second):
+    reach = (_reach(F.col("n")) - alone).cast("int")
+    short = own.where(reach > 0).select("sid", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), reach)).alias("at", "x"))
+    short = stored(short.select("sid", "n", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "short")
+    second = _matched(_candidates(short.join(first, "sid", "left_anti"), short), sets)
+    near = heads.join(first.union(second), "sid", "left_semi").select("head.*")
+    out = stored(again.union(near).groupBy("doc", "h").agg(F.array_sort(F.collect_set("number")).alias("numbers")), "later")  # bounded by a document's lines
+    for t in (heads, again, sets, pivoted, first, some, short, second):
         drop_stored(t)
-    release(spark)
     return out
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later matches cut from its texts; other columns and rows as they were."""
-    gone = later_matches(df, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("codes").alias("__codes"))
-    if _few(gone, "__codes"):
-        gone = F.broadcast(gone)
-    one = df.join(gone, F.coalesce(df[id_col].cast("long"), F.lit(LAST)) == F.col("__doc"), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__codes", _code(i, line)))
-    return one.withColumn(text_col, F.when(F.col("__codes").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__doc", "__codes")
+    gone = later_matches(df, id_col, text_col)
+    side = F.broadcast(gone) if _few(gone, "numbers") else gone
+    row = F.struct(*(df[c] for c in df.columns)).alias("row")  # one column: no other name can clash
+    one = df.select(row, *_row(df, id_col, text_col)).join(side, ["doc", "h"], "left")
+    lines = F.struct(F.split(F.col("row")[text_col], "\n").alias("all"), F.col("numbers").alias("gone"))
+
+    def left(x: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(x["all"]) - 1), x["gone"])
+        return F.array_join(F.transform(kept, lambda i: F.get(x["all"], i)), "\n")
+
+    text = F.when(F.col("numbers").isNull(), F.col("row")[text_col]).otherwise(F.transform(F.array(lines), left)[0])
+    return one.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))
