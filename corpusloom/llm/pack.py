@@ -1,106 +1,150 @@
 """Lexical retrieval packing: a sharded BM25 index hands each seed its unused neighbours.
 
-Documents are tokenised once (a byte-level BPE; ids below 65,536 are kept in two bytes) and end
-with ``END``. Whole windows of a long document are sequences by themselves. What is left of each
-document goes to a shard of about ``SHARD`` documents, by a hash of its id, so that shards are
-bounded and even however hot a source or a group of copies is. Inverse document frequencies are
-counted over the whole corpus (at most one number per vocabulary entry). Within a shard, the
-longest unused document is the seed; its ``TERMS`` weightiest terms query the shard's inverted
-index; neighbours that fit are taken by falling BM25 score, then any unused document, and the
-first that does not fit is cut to fill the window. So only a shard's last window has padding.
-
-A null text counts as empty: one piece with ``END`` alone. Rows with equal ids are packed apart.
+Documents are tokenised once (a byte-level BPE) and end with ``END``. Whole windows of a long
+document are sequences by themselves and never move. What is left of each document (its *tail*)
+goes to a shard of the index. Shards are runs of ``shard`` tails in the order of their documents'
+*signatures* (the weightiest BM25 terms of the whole document that some other document holds too),
+so that documents about the same meet; a hash of id and ids breaks ties, so that rows of equal or
+null ids, or of one hot source, spread. Spark's range partitioning cuts that order by count.
+Inverse document frequencies are counted over the whole corpus (at most one number per vocabulary
+entry).
+
+Within a shard, the longest unused tail is the seed. It queries the shard's inverted index with all
+of its terms (``terms`` may limit them to the weightiest), and every unused neighbour that fits is
+taken by falling BM25 score, then any unused tail; the first that does not fit is cut to fill the
+window. So only the last window of a partition's shards has padding. A seed does not query other
+shards; the README gives the recall against an index of everything.
+
+Defined results: a null text counts as empty, one piece with ``END`` alone; rows of equal ids, or
+without one, are packed apart; ties go by order within the shard; an empty table gives none. Ids
+must be whole numbers. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, steps, stored
+from .common import STEP, parts_for, steps, stored
 
 WIDTH = 2048
 END = 1
 SHARD = 1024
-TERMS = 8
 K1, B = 1.2, 0.75
-VOCABULARY = 50_257
+#: Terms of a signature, and the bits of each.
+SIGNATURE, BITS = 3, 21
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """The byte-level BPE of a rank file: the ids that the JSON file of the same vocabulary gives."""
-    if path not in _ENCODERS:
+class Encoder:
+    """Ids of a ``tokenizers`` byte-level BPE file, added tokens included, without special ones around a text.
+
+    What lies between added tokens is encoded by the same vocabulary as ranks (a faster encoder of
+    the same ids; tests compare the two).
+    """
+
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path, encoding="utf-8") as f:
+            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = added
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.size = max([*ranks.values(), *added.values()]) + 1
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.ordinary = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> list[int]:
+        if self.cut is None or not self.cut.search(text):
+            return self.ordinary(text)
+        out = []
+        for x in self.cut.split(text):
+            out.extend([self.added[x]] if x in self.added else self.ordinary(x))
+        return out
+
+
+def encoder(path: str | None = None) -> Encoder:
+    path = path or default_tokenizer()
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
 def tokenise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Rows doc_id, n (tokens with END), ids (binary, unsigned 16-bit little-endian)."""
+    """Rows doc_id, n (tokens with END), ids (binary, little-endian, as wide as the vocabulary needs: ``Encoder.kind``)."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for part in steps(batches, "text", STEP):
-            ids = [np.array([*encode(t or ""), END], "<u2") for t in part.column(1).to_pylist()]
+            ids = [np.array([*encode(t or ""), END], encode.kind) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
-    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def document_frequencies(tokens: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each id."""
+def document_frequencies(tokens: DataFrame, size: int, kind: str) -> tuple[int, np.ndarray, float]:
+    """Number of documents, of those that hold each id, and their mean length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(VOCABULARY, np.int64)
+        n, total, df = 0, 0, np.zeros(size, np.int64)
         for part in steps(batches, "ids"):
             ids = part.column(0).to_pylist()
             n += len(ids)
             for x in ids:
-                df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                x = np.frombuffer(x, kind)
+                total += len(x)
+                df[np.unique(x)] += 1
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], df[at]]))], names=["id", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[total, n], df[at]]))], names=["id", "df"])
 
     rows = tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()
-    out, n = np.zeros(VOCABULARY, np.int64), 0
-    for r in rows:  # at most one row per vocabulary entry
-        if r.id < 0:
-            n = r.df
-        else:
-            out[r.id] = r.df
-    return n, out
+    got = {r.id: r.df for r in rows}  # at most one row per vocabulary entry
+    out = np.zeros(size, np.int64)
+    for i, n in got.items():
+        if i >= 0:
+            out[i] = n
+    n = got.get(-1, 0)
+    return n, out, got.get(-2, 0) / max(1, n)
+
 
+def _gain(idf: np.ndarray, tf: np.ndarray, length: np.ndarray | float, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
-def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int, int]]]:
+
+def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH, terms: int | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start in its tail, length); every id of every tail in exactly one."""
     n = len(tails)
     length = np.array([len(t) for t in tails], np.int64)
-    key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64) << 16, length) | np.concatenate(tails), return_counts=True)
-    doc, term = key >> 16, key & 0xFFFF
-    gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
+    key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64) << 32, length) | np.concatenate(tails), return_counts=True)
+    doc, term = key >> 32, np.unique(key & 0xFFFFFFFF, return_inverse=True)
+    idf, term = idf[term[0]], term[1]
+    gain = _gain(idf[term], tf, length[doc], length.mean())
     by_term = np.argsort(term, kind="stable")
     post_doc, post_gain = doc[by_term], gain[by_term]
-    begin = np.searchsorted(term[by_term], np.arange(VOCABULARY + 1))
+    begin = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
     of_doc = np.searchsorted(doc, np.arange(n + 1))
 
-    rest, at, score = length.copy(), np.zeros(n, np.int64), np.zeros(n)
+    rest, at = length.copy(), np.zeros(n, np.int64)
     order = np.argsort(-length, kind="stable")
     first, out = 0, []
     while True:
@@ -113,10 +157,10 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH) ->
         rest[seed] = 0
         if room:
             a, b = of_doc[seed], of_doc[seed + 1]
-            own = gain[a:b]
-            score[:] = 0
-            for t in term[a:b][np.argsort(-own, kind="stable")[:TERMS]]:
-                score[post_doc[begin[t] : begin[t + 1]]] += post_gain[begin[t] : begin[t + 1]]
+            asked = term[a:b] if terms is None else term[a:b][np.argsort(-gain[a:b], kind="stable")[:terms]]
+            size = begin[asked + 1] - begin[asked]
+            where = np.repeat(begin[asked] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score = np.bincount(post_doc[where], post_gain[where], n)
             score[rest == 0] = 0
             near = np.flatnonzero(score)
             near = near[np.argsort(-score[near], kind="stable")]
@@ -147,34 +191,91 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH) ->
         out.append(sequence)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: int = WIDTH, shard: int = SHARD) -> DataFrame:
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+
+def whole_windows(tokens: DataFrame, kind: str, width: int = WIDTH) -> DataFrame:
+    """Pieces of ``width`` ids; their sequences count from 2 ** 62 up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (1 << 62) + (TaskContext.get().partitionId() << 40)
+        for part in steps(batches, "ids"):
+            rows = []
+            for d, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(x, kind)
+                for a in range(0, len(x) - width + 1, width):
+                    rows.append((d, a, width, len(x), number, 0, x[a : a + width].astype("<u4").tobytes()))
+                    number += 1
+            yield _table(rows)
+
+    return tokens.where(F.col("n") >= width).mapInArrow(run, PIECES)
+
+
+def tails(tokens: DataFrame, kind: str, frequency: np.ndarray, idf: np.ndarray, mean: float, width: int = WIDTH) -> DataFrame:
+    """Rows sig, tie, doc_id, n, start, ids: what whole windows leave of each document, with the signature of all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "ids"):
+            sig, start, left = [], [], []
+            for x in part.column(2).to_pylist():
+                x = np.frombuffer(x, kind)
+                term, tf = np.unique(x, return_counts=True)
+                some = frequency[term] > 1
+                term, tf = term[some].astype(np.int64), tf[some]
+                top = term[np.argsort(-_gain(idf[term], tf, len(x), mean), kind="stable")[:SIGNATURE]]
+                sig.append(sum((int(t) & ((1 << BITS) - 1)) << BITS * (SIGNATURE - 1 - i) for i, t in enumerate(top)))
+                start.append(len(x) // width * width)
+                left.append(x[start[-1] :].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig, pa.int64()), part.column(0), part.column(1), pa.array(start, pa.int64()), pa.array(left, pa.binary())], names=["sig", "doc_id", "n", "start", "ids"]
+            )
+
+    out = tokens.mapInArrow(run, "sig long, doc_id long, n long, start long, ids binary").where("length(ids) > 0")
+    return out.select("sig", F.xxhash64("doc_id", "ids").alias("tie"), "doc_id", "n", "start", "ids")
+
+
+def pack(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, width: int = WIDTH, shard: int = SHARD, terms: int | None = None,
+) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit little-endian)."""
+    size, kind = encoder(tokenizer).size, encoder(tokenizer).kind
     tokens = stored(tokenise(df, id_col, text_col, tokenizer), "tokens")
-    n, frequency = document_frequencies(tokens)
+    n, frequency, mean = document_frequencies(tokens, size, kind)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-    shards = max(1, -(-n // shard))
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        base = key[0].as_py() << 32
-        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
-        docs, size = table["doc_id"].to_pylist(), table["n"].to_pylist()
-        ids = [np.frombuffer(x, "<u2") for x in table["ids"].to_pylist()]
-        full = [len(x) // width * width for x in ids]
-        rows, number = [], 0
-        for d, x in enumerate(ids):
-            for a in range(0, full[d], width):
-                rows.append((docs[d], a, width, size[d], base + number, 0, x[a : a + width].astype("<u4").tobytes()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 40, []
+
+        def packed(last: bool) -> pa.RecordBatch:
+            """The held tails' pieces; what a window that is not full holds waits for the next shard."""
+            nonlocal number, held
+            rows, left, ids = [], [], [np.frombuffer(x[-1], kind) for x in held]
+            for sequence in pack_shard(ids, idf, width, terms):
+                if not last and sum(m for _, _, m in sequence) < width:
+                    left += [(*held[d][:2], held[d][2] + a, ids[d][a : a + m].tobytes()) for d, a, m in sequence]
+                    continue
+                offset = 0
+                for d, a, m in sequence:
+                    doc, whole, start, _ = held[d]
+                    rows.append((doc, start + a, m, whole, number, offset, ids[d][a : a + m].astype("<u4").tobytes()))
+                    offset += m
                 number += 1
-        left = [d for d, x in enumerate(ids) if len(x) > full[d]]
-        for sequence in pack_shard([ids[d][full[d] :] for d in left], idf, width) if left else ():
-            offset = 0
-            for k, a, m in sequence:
-                d = left[k]
-                rows.append((docs[d], full[d] + a, m, size[d], base + number, offset, ids[d][full[d] + a : full[d] + a + m].astype("<u4").tobytes()))
-                offset += m
-            number += 1
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    by = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return by.groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+            held = left
+            return _table(rows)
+
+        fresh = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                fresh += 1
+                if fresh == shard:
+                    yield packed(False)
+                    fresh = 0
+        if held:
+            yield packed(True)
+
+    by = tails(tokens, kind, frequency, idf, mean, width).repartitionByRange(max(1, min(parts_for(df), -(-n // shard))), "sig", "tie").sortWithinPartitions("sig", "tie", "doc_id", "n")
+    return by.select("doc_id", "n", "start", "ids").mapInArrow(run, PIECES).unionAll(whole_windows(tokens, kind, width))
