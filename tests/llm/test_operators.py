@@ -16,7 +16,7 @@ from corpusloom.llm import common, decontaminate, jaccard, licences, lines, lm,
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LONG = " ".join(f"w{i % 977}x{i % 1009}" for i in range(9000))
-ODD = [None, "", " \n\t ", "one", "One", "a b c", "A  b\nc", "ÀÉ î x", "x" * 5000, LONG, LONG + " end", "Under the MIT License, cc-by-nc. Under the MIT license", "same line here now again\nsame line here now again", "\n\n"]
+ODD = [None, "", " \n\t ", "one", "One", "a b c", "A  b\nc", "ÀÉ î x", "x" * 5000, LONG, LONG + " end", "a<|endoftext|>b <|endoftext|><|endoftext|>\n1", "Under the MIT License, cc-by-nc. Under the MIT license", "same line here now again\nsame line here now again", "\n\n"]
 
 
 @pytest.fixture(scope="module")
@@ -149,8 +149,7 @@ def test_packing_prefers_neighbours():
     rng = np.random.default_rng(3)
     topics = [rng.choice(np.arange(100 + 300 * k, 400 + 300 * k), 512).astype("<u2") for k in (0, 1) for _ in range(4)]
     order = rng.permutation(8)
-    idf = np.ones(pack.VOCABULARY)
-    made = pack.pack_shard([topics[i] for i in order], idf)
+    made = pack.pack_shard([topics[i] for i in order], np.ones(1000))
     kinds = [{int(order[d]) // 4 for d, _, _ in s} for s in made if len(s) > 1]
     assert sorted(kinds, key=min) == [{0}, {1}]
 
@@ -158,7 +157,7 @@ def test_packing_prefers_neighbours():
 def test_packing_walks_on_through_short_neighbours():
     short = [np.array([7, 8, 9, 1], "<u2") for _ in range(100)]
     other = [np.arange(1000, 1100, dtype="<u2") for _ in range(40)]
-    made = pack.pack_shard([np.array([7] * 1800, "<u2"), *short, *other], np.ones(pack.VOCABULARY))
+    made = pack.pack_shard([np.array([7] * 1800, "<u2"), *short, *other], np.ones(1100))
     assert made[0][0] == (0, 0, 1800) and {d for d, _, _ in made[0][1:]} >= {*range(1, 63)} and len(made[0]) == 63
 
 
@@ -422,38 +421,74 @@ def test_pii_by_brute_force(spark, base, docs):
     assert all(r.text == docs[r.doc_id] or r.n_found or r.text is None for r in rows)
 
 
+def _licences(text):
+    """Labels and base places by brute force: every window of every template's size."""
+    w, at, labels = ALNUM.findall(text.translate(LOW)), [], {}
+    for p, label in licences.PHRASES.items():
+        q = p.split()
+        at += [k for k in range(len(w)) if w[k : k + len(q)] == q]
+        if at and w[at[-1] : at[-1] + len(q)] == q:
+            labels[label] = 1.0
+    pairs = list(zip(w, w[1:], strict=False))
+    for label, deciding, template in licences.TEMPLATES:
+        words = ALNUM.findall(template.translate(LOW))
+        own = set(zip(words, words[1:], strict=False))
+        must = {x for d in deciding for x in zip(d.split(), d.split()[1:], strict=False)}
+        size = max(licences.BLOCK, 2 * len(words))
+        for k in range(max(1, len(pairs) - size + 1)):
+            block = set(pairs[k : k + size])
+            if must <= block and len(own & block) >= 0.8 * len(own) - 1e-9:
+                labels[label] = max(labels.get(label, 0), len(own & block) / len(own))
+    return len(w), at, ",".join(sorted(labels)), max(labels.values(), default=0.0)
+
+
 def test_licences(spark, base, docs):
     got = {r.doc_id: r for r in run(spark, base, "op10_licence_scans")}
     for i, t in docs.items():
-        w, at, labels = ALNUM.findall(t.translate(LOW)), [], set()
-        for p, label in licences.PHRASES.items():
-            q = p.split()
-            for k in range(len(w)):
-                if w[k : k + len(q)] == q:
-                    at.append(k)
-                    labels.add(label)
-        for line in t.translate(LOW).split("\n"):
-            words = ALNUM.findall(line)
-            for a in range(0, max(1, len(words) - 32), 32):
-                block = set(words[a : a + 64])
-                for label, template in licences.TEMPLATES:
-                    s = set(template.split())
-                    if len(s & block) >= 0.8 * len(s) - 1e-9:
-                        labels.add(label)
-        r = got[i]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
-        assert r.labels == ",".join(sorted(labels)) and 0 <= r.score <= 1
+        r, (n, at, labels, score) = got[i], _licences(t if len(t) < 30_000 else t[:0])
+        if len(t) < 30_000:
+            assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(at), min(at, default=None), max(at, default=None))
+            assert r.labels == labels and r.score == pytest.approx(score)
+
+
+def test_licences_precision_and_recall(spark):
+    """Whole templates wrapped as comments, with words changed, among others; and look-alikes."""
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for label, deciding, template in licences.TEMPLATES:
+        words = template.split()
+        for mark in (" * ", "# ", "  ", "// "):
+            w = list(words)
+            keep = {x for d in deciding for x in d.split()}
+            for _ in range(len(w) // 30):  # a changed word breaks two pairs
+                k = int(rng.integers(0, len(w)))
+                if re.sub(r"\W", "", w[k].lower()) not in keep:
+                    w[k] = "zzz"
+            lines_ = [" ".join(w[k : k + 9]) for k in range(0, len(w), 9)]
+            rows.append("Some text before it\n" + "\n".join(mark + x for x in lines_) + "\nand after.")
+            want.append(label)
+    other = [
+        "released under the gnu license", "all of these rights are hereby not reserved", "permission is hereby denied to any person obtaining a copy",
+        "licensed under an apache style license", "the terms of the license are under review", "redistribution of source and binary forms is not permitted", "",
+    ]
+    exact = {"Licensed under CC BY 4.0": "cc-by", "licensed under the mit license version 2 0": "mit", "This work is licensed under the GNU General Public License version 2": "gpl-2"}
+    every = [*rows, *other, *exact, None]
+    got = {r.doc_id: r.labels for r in licences.scan_licences(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    labels = [got[i].split(",") for i in range(len(rows))]
+    assert sum(w in x for w, x in zip(want, labels, strict=True)) / len(rows) >= 0.95  # recall
+    assert sum(x != [""] and set(x) - {w} != set() for w, x in zip(want, labels, strict=True)) / len(rows) <= 0.05  # labels of other templates
+    assert [got[len(rows) + i] for i in range(len(other))] == [""] * len(other)
+    assert [got[len(rows) + len(other) + i] for i in range(len(exact))] == list(exact.values())
+    assert got[len(every) - 1] == ""
 
 
 def test_licences_over_lines_and_any_window(spark):
-    mit, bsd = licences.TEMPLATES[1][1].split(), licences.TEMPLATES[4][1].split()
-    far = ["x"] * 20 + bsd[:7] + ["y"] * 46 + bsd[7:] + ["z"] * 60  # 59 words from the first to the last
-    rows = [
-        "\n * ".join([" ".join(mit[:13]), " ".join(mit[13:])]), "\n".join([" ".join(bsd[:6]), " ".join(bsd[6:])]), " ".join(far), " ".join([*bsd[:7], *["y"] * 60, *bsd[7:]]),
-        "all rights\nreserved", "\n".join(["x"] * 64).join(["all rights", "reserved"]),
-    ]
+    bsd = ALNUM.findall(licences.TEMPLATES[14][2].lower())
+    assert licences.TEMPLATES[14][0] == "bsd"
+    apart = [*bsd[:9], *["y"] * 40, *bsd[9:]]
+    rows = ["\n".join([" ".join(bsd[:6]), " ".join(bsd[6:])]), " ".join(["x"] * 77 + bsd + ["z"] * 60), " ".join(apart), "all rights\nreserved", "all rights x reserved"]
     got = {r.doc_id: r.labels for r in licences.scan_licences(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    assert got == {0: "mit", 1: "bsd", 2: "bsd", 3: "", 4: "all-rights-reserved", 5: ""}
+    assert got == {0: "bsd", 1: "bsd", 2: "", 3: "all-rights-reserved", 4: ""}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
