@@ -118,6 +118,7 @@ def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def _matched(found: DataFrame, sets: DataFrame) -> DataFrame:
     """The later sets of those of these pairs that match."""
+    sets = sets.select("sid", "head", "set")
     y = sets.select(F.col("sid").alias("a_sid"), F.col("head").alias("a_head"), F.col("set").alias("a_set"))
     both = found.join(sets, "sid").join(y, "a_sid").withColumn("i", F.size(F.array_intersect("set", "a_set")))
     both = both.where(F.col("i") * DEN >= (F.size("set") + F.size("a_set") - F.col("i")) * NUM)
@@ -140,6 +141,9 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     posts = heads.select("sid", F.posexplode("prefix").alias("pos", "token"))
     many = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     twice = stored(posts.join(many.hint("shuffle_hash"), "token"), "twice")
+    light = stored(heads.select("sid", "n", "head"), "places")
+    drop_stored(heads)
+    heads = light
 
     # near the order of places; any order gives the same result, this one leaves least to the second join
     number = F.least(F.col("head.number"), F.lit((1 << 20) - 1)).cast("long")
@@ -168,7 +172,9 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # shingles' own counts: a hot group's shingles come last, and what sets its lines apart first.
     tokens = pivoted.where("c > 2 and ord > least").join(first, "sid", "left_anti").select("token").distinct()
     some = sets.join(pivoted.join(tokens, "token", "left_semi").select("sid").distinct(), "sid", "left_semi")
-    some = stored(some.select("sid", F.size("set").alias("n"), "set"), "some")
+    some = stored(some.select("sid", F.size("set").alias("n"), "head", "set"), "some")
+    drop_stored(sets)
+    drop_stored(pivoted)
     each = some.select("sid", "n", F.explode("set").alias("token"))
     common = each.join(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").hint("shuffle_hash"), "token")
     own = common.groupBy("sid", "n").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))  # bounded by a line
@@ -176,10 +182,10 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reach = (_reach(F.col("n")) - alone).cast("int")
     short = own.where(reach > 0).select("sid", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), reach)).alias("at", "x"))
     short = stored(short.select("sid", "n", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "short")
-    second = _matched(_candidates(short.join(first, "sid", "left_anti"), short), sets)
+    second = _matched(_candidates(short.join(first, "sid", "left_anti"), short), some)
     near = heads.join(first.union(second), "sid", "left_semi").select("head.*")
     out = stored(again.union(near).groupBy("doc", "h").agg(F.array_sort(F.collect_set("number")).alias("numbers")), "later")  # bounded by a document's lines
-    for t in (heads, again, sets, pivoted, first, some, short, second):
+    for t in (heads, again, first, some, short, second):
         drop_stored(t)
     return out
 
