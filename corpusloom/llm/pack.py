@@ -2,12 +2,14 @@
 
 Documents are tokenised once (a byte-level BPE) and end with ``END``. Whole windows of a long
 document are sequences by themselves and never move. What is left of each document (its *tail*)
-goes to a shard of the index. Shards are runs of ``shard`` tails in the order of their documents'
-*signatures* (the weightiest BM25 terms of the whole document that some other document holds too),
-so that documents about the same meet; a hash of id and ids breaks ties, so that rows of equal or
-null ids, or of one hot source, spread. Spark's range partitioning cuts that order by count.
-Inverse document frequencies are counted over the whole corpus (at most one number per vocabulary
-entry).
+goes to a shard of the index. Shards are runs of ``shard`` tails in an order by content, so that
+documents about the same meet: by the nearest of ``CENTROIDS`` points in the plane of the strongest
+``AXES`` components of BM25 vectors (fitted on about ``SAMPLE`` documents, which only shapes the
+order: every document is indexed), then by *signature* (the weightiest BM25 terms of the whole
+document that some other document holds too). A hash of id and ids breaks ties, so that rows of
+equal or null ids, or of one hot source, spread. Spark's range partitioning cuts that order by
+count. Inverse document frequencies are counted over the whole corpus (at most one number per
+vocabulary entry).
 
 Within a shard, the longest unused tail is the seed. It queries the shard's inverted index with all
 of its terms (``terms`` may limit them to the weightiest), and every unused neighbour that fits is
@@ -26,6 +28,7 @@ import base64
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ SHARD = 1024
 K1, B = 1.2, 0.75
 #: Terms of a signature, and the bits of each.
 SIGNATURE, BITS = 3, 21
+#: Documents that the order is fitted on (expected; four times as many at most), weightiest terms of each, components, points.
+SAMPLE, WEIGHTIEST, AXES, CENTROIDS = 2048, 512, 6, 32
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -214,27 +219,88 @@ def whole_windows(tokens: DataFrame, kind: str, width: int = WIDTH) -> DataFrame
     return tokens.where(F.col("n") >= width).mapInArrow(run, PIECES)
 
 
-def tails(tokens: DataFrame, kind: str, frequency: np.ndarray, idf: np.ndarray, mean: float, width: int = WIDTH) -> DataFrame:
-    """Rows sig, tie, doc_id, n, start, ids: what whole windows leave of each document, with the signature of all of it."""
+@dataclass
+class Weights:
+    """What turns ids into BM25 vectors, and the order by content."""
+
+    kind: str
+    frequency: np.ndarray
+    idf: np.ndarray
+    mean: float
+    axes: np.ndarray  # vocabulary x AXES
+    points: np.ndarray  # CENTROIDS x AXES
+
+    def vector(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms that other documents hold too, heaviest first, and their weights."""
+        term, tf = np.unique(x, return_counts=True)
+        some = self.frequency[term] > 1
+        term = term[some].astype(np.int64)
+        gain = _gain(self.idf[term], tf[some], len(x), self.mean)
+        order = np.argsort(-gain, kind="stable")
+        return term[order], gain[order]
+
+    def place(self, x: np.ndarray) -> tuple[int, int]:
+        """Nearest point and signature."""
+        term, gain = self.vector(x)
+        sig = sum((int(t) & ((1 << BITS) - 1)) << BITS * (SIGNATURE - 1 - i) for i, t in enumerate(term[:SIGNATURE]))
+        at = gain @ self.axes[term] / max(1e-9, float(np.sqrt(gain @ gain)))
+        return int(((self.points - at) ** 2).sum(1).argmin()), sig
+
+
+def fit_order(tokens: DataFrame, w: Weights, n: int) -> None:
+    """Components of a sample's BM25 vectors by subspace iteration, and points among them by k-means."""
+    every = max(1, n // SAMPLE)
+    rows = tokens.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(every)) == 0).limit(4 * SAMPLE).select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "ids"):
-            sig, start, left = [], [], []
+            got = [w.vector(np.frombuffer(x, w.kind)) for x in part.column(1).to_pylist()]
+            cut = [(t[:WEIGHTIEST].astype("<i8").tobytes(), g[:WEIGHTIEST].astype("<f8").tobytes()) for t, g in got]
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in cut], pa.binary()) for k in (0, 1)], names=["t", "g"])
+
+    got = sorted((bytes(r.t), bytes(r.g)) for r in rows.mapInArrow(run, "t binary, g binary").collect())
+    rng = np.random.default_rng(0)
+    axes = np.zeros((len(w.idf), AXES))
+    if not got:
+        w.axes, w.points = axes, np.zeros((1, AXES))
+        return
+    vectors = [(np.frombuffer(t, "<i8"), np.frombuffer(g, "<f8")) for t, g in got]
+    row = np.repeat(np.arange(len(got)), [len(t) for t, _ in vectors])
+    term = np.concatenate([t for t, _ in vectors])
+    x = np.concatenate([g / max(1e-9, np.sqrt(g @ g)) for _, g in vectors])
+    used, col = np.unique(term, return_inverse=True)
+    sums = lambda at, values, size: np.column_stack([np.bincount(at, x * v, size) for v in values.T])
+    left = np.linalg.qr(rng.normal(size=(len(got), AXES)))[0] if len(got) >= AXES else rng.normal(size=(len(got), AXES))
+    for _ in range(8):
+        right = sums(col, left[row], len(used))
+        right /= np.maximum(np.sqrt((right**2).sum(0)), 1e-9)
+        right = np.linalg.qr(right)[0] if len(used) >= AXES else right
+        left = sums(row, right[col], len(got))
+    axes[used] = right
+    at = left
+    points = at[rng.choice(len(at), min(CENTROIDS, len(at)), replace=False)]
+    for _ in range(10):
+        near = ((at[:, None] - points) ** 2).sum(2).argmin(1)
+        points = np.array([at[near == k].mean(0) if (near == k).any() else points[k] for k in range(len(points))])
+    w.axes, w.points = axes, points[np.lexsort(points.T[::-1])]
+
+
+def tails(tokens: DataFrame, w: Weights, width: int = WIDTH) -> DataFrame:
+    """Rows point, sig, tie, doc_id, n, start, ids: what whole windows leave of each document, placed by all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "ids"):
+            at, start, left = [], [], []
             for x in part.column(2).to_pylist():
-                x = np.frombuffer(x, kind)
-                term, tf = np.unique(x, return_counts=True)
-                some = frequency[term] > 1
-                term, tf = term[some].astype(np.int64), tf[some]
-                top = term[np.argsort(-_gain(idf[term], tf, len(x), mean), kind="stable")[:SIGNATURE]]
-                sig.append(sum((int(t) & ((1 << BITS) - 1)) << BITS * (SIGNATURE - 1 - i) for i, t in enumerate(top)))
+                x = np.frombuffer(x, w.kind)
+                at.append(w.place(x))
                 start.append(len(x) // width * width)
                 left.append(x[start[-1] :].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig, pa.int64()), part.column(0), part.column(1), pa.array(start, pa.int64()), pa.array(left, pa.binary())], names=["sig", "doc_id", "n", "start", "ids"]
-            )
+            cols = [pa.array([a[0] for a in at], pa.int32()), pa.array([a[1] for a in at], pa.int64()), part.column(0), part.column(1), pa.array(start, pa.int64()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["point", "sig", "doc_id", "n", "start", "ids"])
 
-    out = tokens.mapInArrow(run, "sig long, doc_id long, n long, start long, ids binary").where("length(ids) > 0")
-    return out.select("sig", F.xxhash64("doc_id", "ids").alias("tie"), "doc_id", "n", "start", "ids")
+    out = tokens.mapInArrow(run, "point int, sig long, doc_id long, n long, start long, ids binary").where("length(ids) > 0")
+    return out.select("point", "sig", F.xxhash64("doc_id", "ids").alias("tie"), "doc_id", "n", "start", "ids")
 
 
 def pack(
@@ -245,6 +311,8 @@ def pack(
     tokens = stored(tokenise(df, id_col, text_col, tokenizer), "tokens")
     n, frequency, mean = document_frequencies(tokens, size, kind)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+    weights = Weights(kind, frequency, idf, mean, np.zeros((0, 0)), np.zeros((0, 0)))
+    fit_order(tokens, weights, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 40, []
@@ -277,5 +345,6 @@ def pack(
         if held:
             yield packed(True)
 
-    by = tails(tokens, kind, frequency, idf, mean, width).repartitionByRange(max(1, min(parts_for(df), -(-n // shard))), "sig", "tie").sortWithinPartitions("sig", "tie", "doc_id", "n")
+    by = stored(tails(tokens, weights, width), "tails")  # ranges are found by a pass of their own
+    by = by.repartitionByRange(max(1, min(parts_for(df), -(-n // shard))), "point", "sig", "tie").sortWithinPartitions("point", "sig", "tie", "doc_id", "n")
     return by.select("doc_id", "n", "start", "ids").mapInArrow(run, PIECES).unionAll(whole_windows(tokens, kind, width))
