@@ -42,6 +42,8 @@ WIDTH = 2048
 END = 1
 SHARD = 1024
 K1, B = 1.2, 0.75
+#: A term that one in so many tails of a shard holds is common.
+COMMON = 8
 #: Terms of a signature, and the bits of each.
 SIGNATURE, BITS = 3, 21
 #: Documents that the order is fitted on (expected; four times as many at most), weightiest terms of each, components, points.
@@ -147,6 +149,14 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH, ter
     by_term = np.argsort(term, kind="stable")
     post_doc, post_gain = doc[by_term], gain[by_term]
     begin = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
+    # terms that many tails hold are rows of a small matrix, the others posting lists
+    held = np.diff(begin)
+    common = np.flatnonzero(held * COMMON >= n)
+    row = np.full(len(idf), -1)
+    row[common] = np.arange(len(common))
+    table = np.zeros((len(common), n), np.float32)
+    often = row[term] >= 0
+    table[row[term[often]], doc[often]] = gain[often]
     of_doc = np.searchsorted(doc, np.arange(n + 1))
 
     rest, at = length.copy(), np.zeros(n, np.int64)
@@ -163,14 +173,17 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH, ter
         if room:
             a, b = of_doc[seed], of_doc[seed + 1]
             asked = term[a:b] if terms is None else term[a:b][np.argsort(-gain[a:b], kind="stable")[:terms]]
-            size = begin[asked + 1] - begin[asked]
-            where = np.repeat(begin[asked] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            score = np.bincount(post_doc[where], post_gain[where], n)
+            rare = asked[row[asked] < 0]
+            size = held[rare]
+            where = np.repeat(begin[rare] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score = np.bincount(post_doc[where], post_gain[where], n) + table[row[asked[row[asked] >= 0]]].sum(0)
             score[rest == 0] = 0
             near = np.flatnonzero(score)
             near = near[np.argsort(-score[near], kind="stable")]
-            cut = -1
-            for d in near:
+            cut, least = -1, rest[rest > 0].min(initial=width + 1)
+            for d in near.tolist():
+                if cut >= 0 and room < least:
+                    break
                 if rest[d] <= room:
                     sequence.append((int(d), int(at[d]), int(rest[d])))
                     room -= int(rest[d])
