@@ -173,9 +173,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cuts lineage by a Parquet table in the shared folder. It outlives lost executors."""
+    """Cuts lineage by a Parquet table in the shared folder. It outlives lost executors and goes with the session at the latest."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # the write's shuffle files go when it is done
     try:
