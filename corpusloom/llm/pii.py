@@ -3,7 +3,8 @@
 A Feistel network over mixed radices permutes each kind's whole domain under a key: a pair (l, r)
 with l below A and r below B becomes another such pair, and different pairs stay different. So a
 value always gets the same pseudonym, in every document and whatever separators it is written
-with, and no table of values is kept or shuffled: each row is rewritten where it lies.
+with, and no table of values is kept or shuffled: each row is rewritten where it lies. The round
+function is HMAC-SHA-256 under the key.
 
 Kinds (checked before they are permuted, and valid afterwards):
 
@@ -12,18 +13,23 @@ Kinds (checked before they are permuted, and valid afterwards):
 - iban: right modulo 97; the country and letters stay, digits are permuted, check digits computed anew;
 - ssn: ddd-dd-dddd with a valid area, group and serial;
 - ip: four octets; phone: a number with a country code, or in the (ddd) ddd-dddd or ddd-ddd-dddd form;
-- email: the letters before the @ (the first 24).
+- email: the letters and the digits before the @, each kind in its places.
 
-Anything that fails its check is left as it is. A null text stays null and has none.
+Defined results: anything that fails its check is left as it is; a null text stays null and an empty
+one empty, without values; repeated rows and equal values are rewritten alike; where two kinds could
+fit, the first of this list that passes its check wins; an empty table gives an empty one. Other
+columns, whatever their names, are unchanged: if ``found`` is taken, underscores are added to it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key for tests and examples. Give a secret one.
-KEY = "example key"
+#: A key for tests and examples alone: who knows the key can undo the pseudonyms.
+EXAMPLE_KEY = "example key"
 ROUNDS = 8
 
 # The forms of each kind.
@@ -31,7 +37,7 @@ _FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "date": r"(?:1[89]|2[01])\d\d-\d\d-\d\d|\d\d[/.-]\d\d[/.-](?:1[89]|2[01])\d\d",
     "iban": r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "phone": r"\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}",
+    "phone": r"\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,8}){2,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "ip": r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}",
     "card": r"\d(?:[ -]?\d){12,18}",
@@ -58,6 +64,14 @@ def _power(base: int, n: Column) -> Column:
     return F.element_at(F.array(*(F.lit(min(base**i, (1 << 63) - 1)) for i in range(18))), n.cast("int") + 1)
 
 
+def _keyed(message: Column, key: str) -> Column:
+    """HMAC-SHA-256 (RFC 2104) of a string, in hexadecimal."""
+    k = key.encode()
+    k = (k if len(k) <= 64 else hashlib.sha256(k).digest()).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytearray(c ^ 0x36 for c in k)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytearray(c ^ 0x5C for c in k)), F.unhex(inner)), 256)
+
+
 def feistel(left: Column, right: Column, a: Column, b: Column, kind: str, key: str) -> Column:
     """Permutes pairs (l, r), l < a, r < b: a struct of both. In turn each side shifts by a keyed digest of the other."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
@@ -65,7 +79,7 @@ def feistel(left: Column, right: Column, a: Column, b: Column, kind: str, key: s
     def step(x: Column, i: Column) -> Column:
         even = i % 2 == 0
         other = F.when(even, x["r"]).otherwise(x["l"])
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), a.cast("string"), b.cast("string"), other.cast("string")).cast("binary"), 256)
+        digest = _keyed(F.concat_ws("|", F.lit(kind), i.cast("string"), a.cast("string"), b.cast("string"), other.cast("string")), key)
         shift = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
         return F.struct(
             F.when(even, (x["l"] + shift % a) % a).otherwise(x["l"]).cast("long").alias("l"), F.when(even, x["r"]).otherwise((x["r"] + shift % b) % b).cast("long").alias("r")
@@ -192,11 +206,14 @@ def _date(s: Column, key: str) -> Column:
     return F.when(value.isNotNull(), _let(feistel(F.floor(days / 773), days % 773, F.lit(189), F.lit(773), "date", key), write))
 
 
-def _email(s: Column, key: str) -> Column:
-    """Letters are numbers in base 26; case stays by position. Names without letters stay."""
-    name, rest = F.regexp_extract(s, "^([^@]+)(@.+)$", 1), F.regexp_extract(s, "^([^@]+)(@.+)$", 2)
-    letters = F.lower(_only(name, "A-Za-z"))
-    part = letters.substr(F.lit(1), F.lit(24))
+def _pieces(s: Column, size: int, then) -> Column:
+    """``then`` of each ``size`` characters in turn, joined; empty for an empty string."""
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(s) - 1) / size), F.lit(0)).cast("int"))
+    return F.array_join(F.transform(starts, lambda i: then(s.substr(i * size + 1, F.lit(size)))), "")
+
+
+def _alphabet(part: Column, kind: str, key: str) -> Column:
+    """Permutes up to 24 letters among those of their number, as numbers in base 26."""
     n = F.length(part)
     h = F.floor(n / 2).cast("int")
 
@@ -206,15 +223,23 @@ def _email(s: Column, key: str) -> Column:
     def text(x: Column, size: Column) -> Column:
         return F.when(size > 0, F.translate(F.lpad(F.lower(F.conv(x.cast("string"), 10, 26)), size, F.lit("0")), _BASE26, _LETTERS)).otherwise(F.lit(""))
 
-    got = feistel(value(part.substr(F.lit(1), h)), value(part.substr(h + 1, n - h)), _power(26, h), _power(26, n - h), "email", key)
-    new = _let(got, lambda x: F.concat(text(x["l"], h), text(x["r"], n - h), letters.substr(F.lit(25), F.length(letters))))
-    return F.when(n > 0, F.concat(_let(new, lambda x: _refill(name, x, "A-Za-z")), rest))
+    got = feistel(value(part.substr(F.lit(1), h)), value(part.substr(h + 1, n - h)), _power(26, h), _power(26, n - h), kind, key)
+    return _let(got, lambda x: F.concat(text(x["l"], h), text(x["r"], n - h)))
+
+
+def _email(s: Column, key: str) -> Column:
+    """Upper case becomes lower case. Names of neither letters nor digits stay."""
+    name, rest = F.regexp_extract(s, "^([^@]+)(@.+)$", 1), F.regexp_extract(s, "^([^@]+)(@.+)$", 2)
+    letters, digits = F.lower(_only(name, "A-Za-z")), _only(name, "0-9")
+    new = _let(_pieces(letters, 24, lambda x: _let(x, lambda y: _alphabet(y, "email", key))), lambda x: _refill(name, x, "A-Za-z"))
+    new = _let(new, lambda n: _let(_pieces(digits, 34, lambda x: _let(x, lambda y: _digits(y, "email", key))), lambda x: _refill(n, x, "0-9")))
+    return F.when(F.length(letters) + F.length(digits) > 0, F.concat(new, rest))
 
 
 _KINDS = {"email": _email, "date": _date, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "card": _card}
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """Struct kind, new: of the first kind whose form and check fit, else nulls."""
     out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("new"))
     for kind, make in reversed(_KINDS.items()):
@@ -258,16 +283,20 @@ def _cut(run: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.when(p["value"], F.array(p)).otherwise(_between(p["s"]))))
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """``df`` with ``text_col`` rewritten, and ``found``: array of struct kind, new."""
-    t = F.col(text_col)
-    some = t.rlike("[0-9@]")
-    df = df.withColumn("__old", F.when(some, F.regexp_extract_all(t, F.lit(_ANY), F.lit(0))))
-    df = df.withColumn("__gap", F.when(F.size("__old") > 0, F.split(t, _ANY, -1)))
-    cut = F.transform("__old", lambda x: F.when(x.rlike(f"^{_RUN}$"), _cut(x)).otherwise(F.array(_piece(x, True))))
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``text_col`` rewritten under ``key``, and ``found``: array of struct kind, new."""
+    name = "found"
+    while name in df.columns:
+        name += "_"
+    t = F.col("row")[text_col]
+    # one column holds the rest: no other name can clash
+    one = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"))
+    one = one.withColumn("old", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(_ANY), F.lit(0))))
+    one = one.withColumn("gap", F.when(F.size("old") > 0, F.split(t, _ANY, -1)))
+    cut = F.transform("old", lambda x: F.when(x.rlike(f"^{_RUN}$"), _cut(x)).otherwise(F.array(_piece(x, True))))
     none = F.expr("cast(array() as array<struct<s:string,value:boolean>>)")
-    df = df.withColumn("__old", F.flatten(F.zip_with("__gap", cut, lambda gap, x: F.concat(F.array(_piece(gap, False)), F.coalesce(x, none)))))
-    df = df.withColumn("__new", F.transform("__old", lambda x: F.when(x["value"], pseudonym(x["s"], key))))
-    text = F.array_join(F.zip_with("__old", "__new", lambda old, new: F.coalesce(new["new"], old["s"])), "")
-    found = F.filter(F.coalesce("__new", F.expr("cast(array() as array<struct<kind:string,new:string>>)")), lambda x: x["new"].isNotNull())
-    return df.withColumn(text_col, F.coalesce(text, t)).withColumn("found", found).drop("__old", "__new", "__gap")
+    one = one.withColumn("old", F.flatten(F.zip_with("gap", cut, lambda gap, x: F.concat(F.array(_piece(gap, False)), F.coalesce(x, none)))))
+    one = one.withColumn("new", F.transform("old", lambda x: F.when(x["value"], pseudonym(x["s"], key))))
+    text = F.coalesce(F.array_join(F.zip_with("old", "new", lambda old, new: F.coalesce(new["new"], old["s"])), ""), t)
+    found = F.filter(F.coalesce("new", F.expr("cast(array() as array<struct<kind:string,new:string>>)")), lambda x: x["new"].isNotNull())
+    return one.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns), found.alias(name))
