@@ -51,12 +51,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_on_labels(docs, read(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.EXAMPLE_KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",")
     return out.select("doc_id", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 

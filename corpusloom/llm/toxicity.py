@@ -3,24 +3,35 @@
 Words are compared by a gap-weighted subsequence kernel: features are triples of characters in
 order, at most ``SPAN`` characters apart, each weighted ``DECAY ** span``; the kernel is the
 cosine of the two feature vectors. A word with gaps or inserted characters keeps most of its
-triples. Look-alike digits count as letters, punctuation inside a word is dropped, and three or
-more single characters in a row count as one word.
+triples. Look-alike digits count as letters, accents are folded, letters of other scripts are told
+apart by their code points, punctuation inside a word is dropped, and three or more single
+characters in a row count as one word.
 
-Landmarks are words. Of the words that hardly occur outside toxic training documents, a greedy
+A word's kernel value is the largest of its own and its *stems'* (its first ``STEMS`` letters), so that
+endings do not hide it. Landmarks are words and stems. Of those that hardly occur outside toxic training documents, a greedy
 cover takes those that reach most toxic documents not reached ``COVER`` times yet, so a group of
 near copies gives few; the commonest other words that resemble them follow. A sentence's kernel
 value with a landmark is the largest of its words'; values below ``FLOOR`` count as 0. The
 map ``K_LL ** -1/2 k(sentence)`` (Nyström) feeds a linear squared-hinge SVM trained on labelled
 sentences: of a toxic document, those that hold a toxic landmark (kernel at least ``SURE``) and the
-one with the highest score; any sentence of another document is a negative. A document scores its highest sentence, calibrated to 0..1.
+one with the highest score; any sentence of another document is a negative. A document scores its highest sentence; one in
+``CALIBRATE`` training documents is kept from the fit to turn margins into shares of toxic documents.
 
-Training reads at most ``SAMPLE`` labelled documents (lowest hash of their ids); scoring reads
-every whole text. A null or empty text has no sentence and gets the score of the zero vector.
+Training reads at most ``SAMPLE`` labelled documents (lowest hash; equal id and text count once).
+The model is bounded too: landmarks, their candidates (words of ``LETTERS`` letters or more, as a
+triple needs three) and the sentences of one training document. Scoring reads every whole text.
+
+Defined results: a null or empty text has no sentence and gets the score of the zero vector; rows
+with a null id or label are not learned from; repeated rows get equal scores; without rows of both
+labels the score is constant; ties between landmarks go by name. Other columns, whatever their
+names, are unchanged.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,17 +47,31 @@ SAMPLE = 20_000
 #: Landmarks from toxic documents, and from others.
 TOXIC_LANDMARKS, PLAIN_LANDMARKS = 64, 32
 #: Landmarks that a toxic document should reach, and candidates for landmarks.
-COVER, CANDIDATES = 2, 4000
+COVER, CANDIDATES = 6, 4000
 SPAN, DECAY, FLOOR, SURE = 6, 0.6, 0.55, 0.9
+#: Cost of a training sentence on the wrong side, the same for both labels: margins then follow purity.
+COST = 1.0
+#: One in so many training documents calibrates, if ``ENOUGH`` of either label do; else all of them.
+CALIBRATE, ENOUGH = 5, 30
+#: Expected number of landmarks that only chance puts into toxic documents.
+CHANCE = 0.05
 #: Sentences of one training document, highest kernel values first.
 SENTENCES = 4
 #: A score from which a document counts as toxic.
 THRESHOLD = 0.7
 
+#: Lengths of stems.
+STEMS = (4, 5, 6)
+#: Letters of a candidate for a landmark, at least.
+LETTERS = 3
+
 _PAIRS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
+#: Bits of a character's class: letters, anything else of ASCII, and classes of other letters.
+BITS, OTHERS = 7, 100
+CODES = 1 << 3 * BITS
 _CLASS = np.zeros(256, np.int32)
 for _c in range(256):
-    _CLASS[_c] = _c - 96 if 97 <= _c <= 122 else 28 + (_c & 3) if _c >= 128 else 27
+    _CLASS[_c] = _c - 96 if 97 <= _c <= 122 else 28 + (_c - 128) % OTHERS if _c >= 128 else 27
 for _d, _l in zip("013457", "oieast", strict=True):
     _CLASS[ord(_d)] = ord(_l) - 96
 _PUNCT = bytes(c for c in range(128) if not (chr(c).isalnum() or c in (9, 10, 11, 12, 13, 32)))
@@ -62,9 +87,23 @@ def _join(m: re.Match[bytes]) -> bytes:
     return re.sub(rb"[\s.!?]", b"", m[0]) if len(_MARK.findall(m[0])) > 1 else m[0]
 
 
+class _Fold(dict):
+    """Of a decomposed character, one of the first 256: ASCII stays, marks go, spaces are spaces, others by code point."""
+
+    def __missing__(self, c: int) -> str | None:
+        x = chr(c)
+        self[c] = x if c < 128 else None if unicodedata.combining(x) else " " if x.isspace() else chr(128 + c % OTHERS)
+        return self[c]
+
+
+_FOLD = _Fold()
+
+
 def _plain(text: bytes) -> bytes:
-    """A sentence a line, words between spaces. Dotted letters are joined before the cut, spaced-out ones within a sentence."""
+    """A sentence a line, words between spaces, one byte a letter. Dotted letters are joined before the cut, spaced-out ones within a sentence."""
     text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text.decode("utf-8", "replace").lower()).translate(_FOLD).encode("latin-1").lower()
     if _LONE.search(text):
         text = _DOTTED.sub(_join, text)
     text = _SENTENCE.sub(b"\n", text).translate(None, _PUNCT)
@@ -75,6 +114,11 @@ def _lines(plain: bytes) -> list[list[bytes]]:
     return [w for s in plain.split(b"\n") if (w := s.split())]
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word and its stems."""
+    return [word, *(word[:n] for n in STEMS if n < len(word))]
+
+
 def sentences(text: bytes) -> list[list[bytes]]:
     """Word lists."""
     return _lines(_plain(text))
@@ -85,14 +129,15 @@ class Kernel:
 
     def __init__(self, landmarks: list[bytes]):
         self.landmarks = landmarks
-        self.table = np.zeros((1 << 15, len(landmarks)), np.float32)
         code, weight, owner = self._features(landmarks)
-        np.add.at(self.table, (code, owner), weight)
+        used, row = np.unique(code, return_inverse=True)
+        self.table = np.zeros((len(used), len(landmarks)), np.float32)
+        np.add.at(self.table, (row, owner), weight)
         self.table /= np.maximum(np.sqrt((self.table**2).sum(0)), 1e-9)
-        self.known = self.table.any(1)
-        self.at = np.full(1 << 15, -1)
-        self.at[self.known] = np.arange(self.known.sum())
-        self.table = self.table[self.known]
+        self.known = np.zeros(CODES, bool)
+        self.known[used] = True
+        self.at = np.zeros(CODES, np.int16 if len(used) < 1 << 15 else np.int32)
+        self.at[used] = np.arange(len(used))
 
     @staticmethod
     def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +153,7 @@ class Kernel:
         for a, z in _PAIRS:
             ok = i + z < end
             j = i[ok]
-            codes.append((c[j] << 10) | (c[j + a] << 5) | c[j + z])
+            codes.append((c[j] << 2 * BITS) | (c[j + a] << BITS) | c[j + z])
             weights.append(np.full(len(j), DECAY ** (z - 2), np.float32))
             owners.append(owner[ok])
         return np.concatenate(codes), np.concatenate(weights), np.concatenate(owners)
@@ -128,9 +173,9 @@ class Kernel:
         keep = near >= FLOOR**2 * 0.8 * whole  # repeats of a feature within a word can add to its share
         sel = keep[owner]
         code, weight, owner = code[sel], weight[sel], owner[sel]
-        key, at = np.unique(owner.astype(np.int64) << 15 | code, return_inverse=True)
+        key, at = np.unique(owner.astype(np.int64) << 3 * BITS | code, return_inverse=True)
         w = np.bincount(at, weight)
-        owner, code = key >> 15, key & 0x7FFF
+        owner, code = key >> 3 * BITS, key & (CODES - 1)
         norm = np.sqrt(np.bincount(owner, w**2, len(words)))
         on = self.known[code]
         owner, w, code = owner[on], w[on].astype(np.float32), self.at[code[on]]
@@ -163,8 +208,10 @@ class Pooler:
         if len(self.cold) + len(self.hot) > self.memory:
             self.cold.clear()
             self.hot.clear()
-        new = list(set().union(*bags) - self.cold - self.hot.keys()) if bags else []
-        hot = self.kernel.values(new)
+        new = set().union(*bags) - self.cold - self.hot.keys() if bags else set()
+        parts = {w: pieces(w) for w in new}
+        value = self.kernel.values(list({p for x in parts.values() for p in x}))
+        hot = {w: np.max(own, 0) for w, x in parts.items() if (own := [value[p] for p in x if p in value])}
         self.hot |= hot
         self.cold.update(w for w in new if w not in hot)
         out = []
@@ -183,12 +230,16 @@ class Model:
     landmarks: list[bytes]
     weights: np.ndarray  # on kernel values: the Nyström map is folded in
     bias: float
-    slope: float
-    offset: float
+    margins: np.ndarray  # calibration: margins, rising, and the share of toxic documents there
+    shares: np.ndarray
+
+    def margin(self, pooled: list[np.ndarray]) -> np.ndarray:
+        return np.array([(p @ self.weights).max() if len(p) else 0.0 for p in pooled]) + self.bias
 
     def scores(self, pooled: list[np.ndarray]) -> np.ndarray:
-        margin = np.array([(p @ self.weights).max() if len(p) else 0.0 for p in pooled]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
+        m = self.margin(pooled)
+        within = 1 / (1 + np.exp(-np.clip(m, -40, 40)))  # keeps the order where the share is level
+        return 0.999 * np.interp(m, self.margins, self.shares) + 0.001 * within
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -207,30 +258,29 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> tuple
     return w[:-1], float(w[-1])
 
 
-def _calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's logistic on margins, with his smoothed targets."""
-    pos, neg = (y > 0).sum(), (y <= 0).sum()
-    t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a = np.zeros(2)
-    x = np.column_stack([m, np.ones(len(m))])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-4, 1e-6])
-        step = np.linalg.solve(h, x.T @ (p - t) + np.array([1e-4, 0]) * a)
-        a -= np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(a[0]), float(a[1])
+def _calibrate(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of labels on margins by pooling neighbours; shares are (toxic + 1/2) / (all + 1)."""
+    m, at = np.unique(m, return_inverse=True)
+    blocks: list[tuple[float, float, float, float]] = []  # least and largest margin, toxic, all
+    for x, p, n in zip(m, np.bincount(at, y > 0), np.bincount(at), strict=True):
+        blocks.append((x, x, p, n))
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            (a, _, p0, n0), (_, z, p1, n1) = blocks[-2:]
+            blocks[-2:] = [(a, z, p0 + p1, n0 + n1)]
+    share = np.maximum.accumulate([(p + 0.5) / (n + 1) for _, _, p, n in blocks])
+    return np.array([x for b in blocks for x in b[:2]]), np.repeat(share, 2)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on ``labelled`` (doc_id, text, toxic). Without both labels the model gives a constant."""
-    rows = labelled.where("toxic is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample).persist()
+    rows = labelled.where("toxic is not null and doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    chosen = rows.select("key", "toxic").distinct().orderBy("key", "toxic").limit(sample)  # without texts
+    rows = rows.join(F.broadcast(chosen), ["key", "toxic"]).dropDuplicates(["key", "toxic"]).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(CALIBRATE)) > 0).cast("int").alias("fit")).persist()
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
-            own = [sorted({w for w in _plain(t).split() if len(w) > 2}) for t in encoded(part.column(1))]
+            own = [sorted({p for w in _plain(t).split() for p in pieces(w) if len(p) >= LETTERS}) for t in encoded(part.column(1))]
             size = [len(b) for b in own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for b in own for w in b], pa.binary()), pa.array(np.repeat(part.column(2).to_numpy(), size), pa.int32()), pa.array(np.repeat(part.column(3).to_numpy(), size), pa.int64())],
@@ -238,15 +288,20 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             )
 
     try:
-        total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        total = {r.toxic: r["count"] for r in rows.where("fit = 1").groupBy("toxic").count().collect()}
         pos, neg = total.get(1, 0), total.get(0, 0)
         if not pos or not neg:
-            return Model([b"landmark"], np.zeros(1), 0.0, 1.0, -3.0 if neg else 3.0 if pos else 0.0)
-        words = rows.select("doc_id", "text", "toxic", F.xxhash64("text").alias("h")).mapInArrow(bags, "w binary, toxic int, h long").distinct()
+            return Model([b"landmark"], np.zeros(1), 0.0, np.zeros(1), np.array([0.05 if neg else 0.95 if pos else 0.5]))
+        words = rows.where("fit = 1").select("doc_id", "text", "toxic", F.xxhash64("text").alias("h")).mapInArrow(bags, "w binary, toxic int, h long").distinct()
         # copies count once; the lists hold at most ``sample`` hashes
         words = words.groupBy("w").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"), F.collect_list(F.when(F.col("toxic") == 1, F.col("h"))).alias("docs")).persist()
-        rich = words.where("p >= 2 and (n - p) * 20 <= p").orderBy(F.desc("p"), "w").limit(CANDIDATES).collect()
-        toxic = _cover({bytes(r.w): frozenset(r.docs) for r in rich})
+        # so many toxic documents that chance gives hardly one such word among all that there are
+        bound = math.log(CHANCE / max(1, words.where("n > 1").count()))
+        least = max(2, math.ceil(bound / math.log(pos / (pos + neg))))
+        rich = words.where(f"p >= {least} and (n - p) * 4 <= p").orderBy(F.desc("p"), "w").limit(CANDIDATES).collect()
+        odds = math.log(pos / (pos + neg))
+        sure = [r for r in rich if _choices(r.n, r.p) + r.p * odds <= bound]
+        toxic = _cover({bytes(r.w): frozenset(r.docs) for r in sure}, {bytes(r.w): 4 * (r.n - r.p) for r in sure})
         near = Kernel(toxic or [b"landmark"])
         common = [bytes(r.w) for r in words.where("p * 10 < n").orderBy(F.desc("n"), "w").limit(CANDIDATES).select("w").collect()]
         alike = near.values(common)
@@ -263,13 +318,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 for x in pooler.pool(encoded(part.column(1))):
                     top = np.argsort(-(x @ weight), kind="stable")[:SENTENCES]
                     out.append((x[top] if len(x) else np.zeros((1, len(landmarks)), np.float32)).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.binary())], names=["doc_id", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out, pa.binary())], names=["doc_id", "toxic", "fit", "x"])
 
-        got = sorted(rows.mapInArrow(vectors, "doc_id long, toxic int, x binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.toxic, r.x))
+        got = sorted(rows.mapInArrow(vectors, "doc_id long, toxic int, fit int, x binary").collect(), key=lambda r: (r.doc_id, r.toxic, r.x))
     finally:
         rows.unpersist()
-    x = [np.frombuffer(r.x, np.float32).reshape(-1, len(landmarks)) for r in got]
-    y = np.array([1 if r.toxic else -1 for r in got])
+    every = [np.frombuffer(r.x, np.float32).reshape(-1, len(landmarks)) for r in got]
+    labels, fit = np.array([1 if r.toxic else -1 for r in got]), np.array([r.fit for r in got]) > 0
+    x, y = [v for v, f in zip(every, fit, strict=True) if f], labels[fit]
     gram = np.array([kernel_row for kernel_row in _gram(kernel)], np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
@@ -277,35 +333,44 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for _ in range(4):
         bag = [v[sorted({k, *np.flatnonzero(v[:, : len(toxic)].max(1) >= SURE)})] if t > 0 and toxic else v for v, k, t in zip(x, witness, y, strict=True)]
         rows_y = np.repeat(y, [len(b) for b in bag])
-        c = np.where(rows_y > 0, 4 / max(1, pos), 4 / max(1, (rows_y < 0).sum())) * 200
+        c = np.full(len(rows_y), COST)
         w, bias = _svm(np.concatenate(bag) @ root, rows_y, c)
         weights = root @ w
         again = [int(np.argmax(v @ weights)) for v in x]
         if again == witness:
             break
         witness = again
-    margin = np.array([(v @ weights).max() for v in x]) + bias
-    slope, offset = _calibrate(margin, y)
-    return Model(landmarks, weights, bias, slope, offset)
+    model = Model(landmarks, weights, bias, np.zeros(1), np.zeros(1))
+    apart = ~fit if min((labels[~fit] > 0).sum(), (labels[~fit] < 0).sum()) >= ENOUGH else np.ones(len(fit), bool)
+    model.margins, model.shares = _calibrate(model.margin([v for v, f in zip(every, apart, strict=True) if f]), labels[apart])
+    return model
+
+
+def _choices(n: int, k: int) -> float:
+    """Logarithm of the number of ways to choose k of n."""
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
-def _cover(docs: dict[bytes, frozenset[int]]) -> list[bytes]:
-    """Words in the order in which they reach most documents that were reached fewer than COVER times."""
+def _cover(docs: dict[bytes, frozenset[int]], cost: dict[bytes, int]) -> list[bytes]:
+    """Words in the order in which they reach most documents that were reached fewer than COVER times, less their cost."""
     reached: dict[int, int] = {}
     left, out = dict(docs), []
-    gain = {w: len(d) for w, d in left.items()}
+    gain = {w: len(d) - cost[w] for w, d in left.items()}
     while left and len(out) < TOXIC_LANDMARKS:
         w = max(left, key=lambda x: (gain[x], x))
         while True:  # gains only fall: count again until the best stays best
-            gain[w] = sum(reached.get(d, 0) < COVER for d in left[w])
+            gain[w] = sum(reached.get(d, 0) < COVER for d in left[w]) - cost[w]
             again = max(left, key=lambda x: (gain[x], x))
             if again == w:
                 break
             w = again
         if gain[w] < 2:
             break
+        own = left.pop(w)
+        if any((w.startswith(x) or x.startswith(w)) and 10 * len(own & docs[x]) >= 9 * max(len(own), len(docs[x])) for x in out):
+            continue  # the stem of a landmark, or the word of one, in the same documents
         out.append(w)
-        for d in left.pop(w):
+        for d in own:
             reached[d] = reached.get(d, 0) + 1
     return out
 
@@ -324,7 +389,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for part in steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(pooler.pool(encoded(part.column(1)))), pa.float64())], names=["doc_id", "score"])
 
-    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, score double")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
