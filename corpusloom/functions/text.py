@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .wordlists import CONTRACTIONS
 
 #: Letters, digits and underscore; an apostrophe only between them.
 TOKEN = r"[\p{L}\p{N}_]+(?:'[\p{L}\p{N}_]+)*"
+#: A pattern that is one word of plain letters.
+_PLAIN = re.compile(r"\\b[A-Za-z]+\\b")
 WORD = r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"
 
 
@@ -40,8 +44,15 @@ def pieces(toks: Column) -> Column:
 
 
 def pattern_count(joined_text: Column, patterns: list[str]) -> Column:
-    """Sum over the patterns of their matches that do not overlap, ignoring case, with Unicode word classes."""
+    """Sum over the patterns of their matches that do not overlap, ignoring case, with Unicode word classes.
+
+    Plain words are looked up among the text's words, all in one pass; only other patterns scan the text each.
+    """
     out = F.lit(0).cast("long")
+    plain = [p for p in patterns if _PLAIN.fullmatch(p)]
+    if len(plain) > 2 and len(set(map(str.lower, plain))) == len(plain):
+        patterns = [p for p in patterns if p not in plain]
+        out = F.size(F.filter(F.split(joined_text, "[ ']"), lambda w: w.isin([p[2:-2].lower() for p in plain]))).cast("long")
     for p in patterns:
         out = out + F.regexp_count(joined_text, F.lit(f"(?iU){p}")).cast("long")
     return out

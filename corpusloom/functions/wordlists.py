@@ -45,7 +45,7 @@ PATTERNS: dict[str, list[str]] = {
         r"\bthen\b", r"\bafter\b", r"\bafterward\b", r"\bnext\b", r"\bfirst\b", r"\bsecond\b", r"\bfollowed by\b", r"\bwhile\b", r"\bduring\b",
         r"\bas\b", r"\bonce\b", r"\bsuddenly\b", r"\bnow\b", r"\bimmediately\b", r"\brealizing\b", r"\bstarting\b", r"\bbeginning\b",
         r"\band\b", r"\balso\b", r"\btoo\b", r"\bas well\b", r"\bplus\b", r"\bmoreover\b", r"\bfurthermore\b", r"\badditionally\b",
-        r"\bsimilarly\b", r"\blikewise\b", r"\bor\b", r"\beither\b", r"\bneither\b", r"\bboth\b", r"\beither way\b",
+        r"\bsimilarly\b", r"\blikewise\b", r"\bor\b", r"\neither\b", r"\bneither\b", r"\bboth\b", r"\beither way\b",
     ],
     "family_exclamations": [
         r"\boh my (god|gosh|goodness|word)\b", r"\bgosh\b", r"\bjeez\b", r"\bgeez\b", r"\bheck\b", r"\bdang\b", r"\bdarn\b", r"\bshoot\b",
@@ -167,3 +167,162 @@ OVERVIEWS = {
     ).split(),
     "tutorial_language_density": "education academic_discourse tutorial_explanation programming_tutorial scientific_method_research".split(),
 }
+
+# Pattern lists of the niche metrics that follow no rule, by metric.
+GAMING_LISTS: dict[str, list[str]] = {
+    "fart_count": [r"\bfart\w*\b", r"\bflatul\w*\b", r"\btoot(?:s|ed|ing)?\b"],
+    "shut_up_count": [r"\bshut(?:ting)?\s*-?\s*up\b"],
+    "yall_count": [r"\by'all\b", r"\byall\b"],
+    "baby_count": [
+        r"\bbaby\w*\b", r"\binfant\w*\b", r"\bnewborns?\b", r"\btoddler\w*\b", r"\bchild(?:ren)?\b", r"\bkid(?:s)?\b", r"\bdiaper\w*\b",
+        r"\bcrib\w*\b", r"\bpacifier\w*\b", r"\bteething\b",
+    ],
+    "ding_dong_count": [r"\bding\s*-?\s*dong(?:s)?\b"],
+    "nostril_humor_count": [r"\bnose\b", r"\bnoses\b", r"\bnostril\w*\b", r"\bbooger\w*\b", r"\bsnot\w*\b"],
+    "ooh_count": [r"\boo+h+\b"],
+    "small_word_count": [r"\blittle\w*\b", r"\bshort\w*\b", r"\bsmall\w*\b", r"\btiny\w*\b", r"\bteeny\w*\b"],
+    "big_word_count": [r"\bbig\w*\b", r"\btall\w*\b", r"\bgiant\w*\b", r"\bginormous\w*\b", r"\bgigantic\w*\b"],
+    "hard_count": [r"\bhard\w*\b", r"\bdifficult\w*\b"],
+    "smores_tasty_count": [r"\bsmores\b", r"\btasty\b"],
+    "alright_then_count": [r"\balright\s+then\b", r"\balrighty\s+then\b"],
+    "ragdoll_count": [r"\bragdoll\w*\b", r"\brag doll\w*\b"],
+    "woah_count": [r"\bwoa+h?\w*\b", r"\bwhoops\b", r"\bwhoa+h?\w*\b"],
+    "oh_boy_count": [r"\boh boy\b", r"\boh man\b"],
+    "weird_count": [
+        r"\bweird\b", r"\bbizarre\b", r"\bstrange\b", r"\bwacky\b", r"\bodd\b", r"\bpeculiar\b", r"\bquirky\b", r"\bunusual\b", r"\bfunky\b",
+    ],
+    "punk_count": [r"\b(?<!cyber)(?<!cyber\s)(?<!cm)(?<!cm\s)punk(?:s)?\b(?!\s+(?:music|rock|disc|discs|record|album|band|song|genre))"],
+    "please_count": [r"\bplease\w*\b", r"\bpls\w*\b", r"\bplz\w*\b"],
+    "car_count": [r"\bcar\b", r"\bcars\b"],
+    "boat_count": [r"\bboat\b", r"\bboats\b"],
+    "truck_count": [r"\btruck\b", r"\btrucks\b"],
+    "plane_count": [r"\bplane\b", r"\bplanes\b"],
+    "mr_count": [r"\bm(?:r|rs)\b"],
+    "block_count": [r"\bfuck\w*\b", r"\bf+u+c+k+\w*\b"],
+    "animal_count": [
+        r"\bcapybara(?:s)?\b", r"\bshark(?:s)?\b", r"\baxolotl(?:s)?\b", r"\bdog(?:s)?\b", r"\bcat(?:s)?\b", r"\bfrog(?:s)?\b", r"\bchicken(?:s)?\b",
+        r"\bbird(?:s)?\b", r"\bduck(?:s)?\b", r"\bgoose(?:s)?\b", r"\bpig(?:s)?\b", r"\bcow(?:s)?\b", r"\bhorse(?:s)?\b", r"\bgoat(?:s)?\b", r"\bsheep\b",
+        r"\brabbit(?:s)?\b", r"\bbunny(?:s)?\b", r"\bhamster(?:s)?\b", r"\bmouse\b", r"\bmice\b", r"\bdeer\b", r"\bfox(?:es)?\b", r"\bwolf(?:s)?\b",
+        r"\bbear(?:s)?\b", r"\btiger(?:s)?\b", r"\blion(?:s)?\b", r"\belephant(?:s)?\b", r"\bgiraffe(?:s)?\b", r"\bmonkey(?:s)?\b", r"\bape(?:s)?\b",
+        r"\bkoala(?:s)?\b", r"\bpanda(?:s)?\b", r"\botter(?:s)?\b", r"\bsloth(?:s)?\b", r"\bhedgehog(?:s)?\b", r"\blizard(?:s)?\b", r"\bsnake(?:s)?\b",
+        r"\bturtle(?:s)?\b", r"\bwhale(?:s)?\b", r"\bdolphin(?:s)?\b", r"\bseal(?:s)?\b", r"\bcrab(?:s)?\b", r"\bshrimp\b", r"\boctopus(?:es)?\b",
+        r"\bsquid\b", r"\bfish\b",
+    ],
+    "67_count": [r"\b6[\s-]?7\b", r"\bsixty[\s-]?seven\b", r"\bsix[\s-]?seven\b"],
+    "wafflestomp_count": [r"\bwaffle[\s-]?stomp\w*\b"],
+    "stupid_count": [r"\bstupid\w*\b", r"\bstoopid\w*\b", r"\bstoopit\w*\b"],
+    "idiot_count": [r"\bidiot\w*\b", r"\bidoit\w*\b"],
+    "bad_boy_count": [r"\bbad\s+boy\w*\b"],
+    "high_five_count": [r"\bhigh\s*-?\s*five\w*\b"],
+    "jeez_geez_count": [r"\bjeez\b", r"\bgeez\b"],
+    "tree_word_count": [
+        r"\bcedar\w*\b", r"\boak\w*\b", r"\bmaple\w*\b", r"\bbirch\w*\b", r"\baspen\w*\b", r"\bspruce\w*\b", r"\bpine\w*\b", r"\bwillow\w*\b",
+        r"\bpoplar\w*\b", r"\belm\w*\b", r"\bfir\w*\b", r"\bredwood\w*\b", r"\bsequoia\w*\b", r"\bsycamore\w*\b", r"\byew\w*\b", r"\bpalm\w*\b",
+    ],
+    "burger_count": [r"\bcheeseburger\w*\b", r"\bhamburger\w*\b", r"\bburger\w*\b"],
+    "bye_count": [r"\bbye\w*\b", r"\bgoodbye\w*\b"],
+    "cringe_count": [r"\bcringe\w*\b", r"\bcringy\w*\b", r"\bcringey\w*\b"],
+    "explosion_count": [r"\bexplod\w*\b", r"\bexplosion\w*\b", r"\bexplosive\w*\b"],
+    "finish_line_count": [r"\bfinish\s+line\w*\b"],
+    "fumble_count": [r"\bfumbl\w+\b"],
+    "goo_goop_count": [r"\bgoo\b", r"\bgoos\b", r"\bgoop\w*\b"],
+    "grandma_count": [r"\bgrandma\w*\b", r"\bgrandmother\w*\b", r"\bgrandmom\w*\b", r"\bgranny\w*\b"],
+    "homie_count": [r"\bhomie\w*\b", r"\bhomies\b"],
+    "hypothetical_count": [r"\bhypothetical\w*\b", r"\bhypothetically\w*\b"],
+    "insane_count": [r"\binsane\w*\b", r"\binsanity\w*\b"],
+    "its_okay_count": [r"\bit'?s\s+okay\b", r"\bit\s+is\s+okay\b", r"\bit'?s\s+ok\b", r"\bit\s+is\s+ok\b"],
+    "lets_go_count": [r"\blet'?s\s+go\b"],
+    "lock_in_count": [r"\block\s+in\b", r"\blocking\s+in\b", r"\blocked\s+in\b"],
+    "loo_count": [r"\bloo\b", r"\bloos\b"],
+    "nonchalant_count": [r"\bnonchalan\w*\b"],
+    "ow_count": [r"\bow\b", r"\boww+\b"],
+    "okay_so_count": [r"\boka?y\s+so\b"],
+    "pookie_count": [r"\bpooki\w*\b", r"\bpookie\w*\b", r"\bpooky\w*\b"],
+    "skill_issue_count": [r"\bskill\s+issue\w*\b"],
+    "so_cool_count": [r"\bso\s+cool\w*\b"],
+    "son_of_a_not_before_block_count": [r"\bson\s+of\s+a\b(?!\s*(?:fuck\w*|f+u+c+k+\w*)\b)"],
+    "thats_okay_count": [r"\bthat'?s\s+okay\b", r"\bthat\s+is\s+okay\b", r"\bthat'?s\s+fine\b", r"\bthat\s+is\s+fine\b"],
+    "uh_count": [r"\buh\b", r"\buhh+\b"],
+    "um_count": [r"\bum\b", r"\bumm+\b", r"\buhm\b", r"\buhmm+\b"],
+    "violation_count": [r"\bviolat\w*\b"],
+    "youre_a_little_count": [r"\byou(?:'re|re|\s+are)\s+(?:such\s+a\s+)?little\b"],
+    "roygbiv_count": [r"\broy\s*g\s*b\s*i\s*v\b", r"\broy\s*g\s*b\s*i\b", r"\broy\s*g\s*b\b", r"\broy\s*g\b"],
+    "duck_goose_count": [r"\bduck(?:s)?\b", r"\bgoose(?:s)?\b", r"\bgeese\b"],
+    "marry_count": [r"\bmarry\w*\b", r"\bmarried\b", r"\bmarriage\w*\b"],
+    "scary_count": [r"\bscary\b", r"\bscared\b", r"\bscare\w*\b"],
+    "yes_count": [r"\byes\b", r"\byeah\b", r"\byep\b", r"\byup\b", r"\byea\b"],
+    "no_count": [r"\bno+\b", r"\bnope\b", r"\bnah\b", r"\bnuh\s*-?\s*uh\b"],
+    "chat_address_count": [r"\bchat\b", r"\bguys?\b", r"\by['’]?all\b"],
+    "yes_yeah_count": [r"\byes\b", r"\byeah\b", r"\byep\b", r"\byup\b", r"\byea\b"],
+    "no_nope_count": [r"\bno+\b", r"\bnope\b", r"\bnah\b", r"\bnuh\s*-?\s*uh\b"],
+    "vomiting_count": [r"\bvomit\w*\b", r"\bbarf\w*\b", r"\b(thr(?:ew|ow)(?:s|n)?)\s+up\w*\b"],
+    "double_modal_count": [r"\b(?:may|might|must)\s+(?:could|should|would)\b"],
+    "triple_auxiliary_count": [
+        r"\b(?:can|could|may|might|must|shall|should|will|would)\s+(?:have|'ve)\s+(?:been|had)\b",
+        r"\b(?:can|could|may|might|must|shall|should|will|would)\s+be\s+being\b", r"\b(?:has|have|had)\s+been\s+being\b",
+    ],
+    "modal_perfect_count": [r"\b(?:can|could|may|might|must|shall|should|will|would)\s+(?:have|['’]ve)\b"],
+    "modal_progressive_count": [r"\b(?:can|could|may|might|must|shall|should|will|would)\s+be\s+\w+ing\b"],
+    "modal_passive_count": [
+        r"\b(?:can|could|may|might|must|shall|should|will|would)\s+be\s+(?:\w+(?:ed|en|wn|lt|pt|ft)|done|made|seen|given|known|taken|built|bought|brought|caught|told|sold|left|felt|found)\b",
+    ],
+    "semi_modal_count": [r"\b(?:have|has|had)\s+to\b", r"\bneed(?:s|ed)?\s+to\b", r"\bgot\s+to\b", r"\bought\s+to\b", r"\bgonna\b"],
+    "modal_negation_count": [
+        r"\b(?:can(?:not|['’]t)|won['’]t|shan['’]t|(?:could|would|should|might|may|must|shall)\s+not|(?:could|would|should|might|must|shall)n['’]t)\b",
+    ],
+    "conditional_modal_count": [r"\bif\b(?:\s+\w+){0,6}\s+(?:would|could|might|should|may|can|will)\b"],
+    "be_gonna_count": [
+        r"\b(?:am|is|are|was|were|i['’]m|you['’]re|we['’]re|they['’]re|he['’]s|she['’]s|it['’]s)\s+gonna\b",
+        r"\b(?:am|is|are|was|were|i['’]m|you['’]re|we['’]re|they['’]re|he['’]s|she['’]s|it['’]s)\s+going\s+to\b",
+    ],
+    "be_gotta_count": [r"\b(?:have|has|had)\s+got\s+to\b", r"\bgotta\b"],
+    "stance_marker_count": [r"\bi\s+think\b", r"\bi\s+guess\b", r"\bi\s+mean\b", r"\byou\s+know\b", r"\bto\s+be\s+honest\b"],
+    "evidential_marker_count": [r"\bapparently\b", r"\bit\s+seems\b", r"\bseems\s+like\b", r"\blooks\s+like\b", r"\bsounds\s+like\b", r"\bappears\s+to\b"],
+    "intensifier_stack_count": [
+        r"\b(?:so|very|really|super|extremely|totally|absolutely)\s+(?:so|very|really|super|extremely|totally|absolutely)\b",
+    ],
+    "hedge_stack_count": [
+        r"\b(?:maybe|perhaps|probably|possibly|kinda|kind\s+of|sort\s+of|i\s+guess|i\s+think)\s+(?:maybe|perhaps|probably|possibly|kinda|kind\s+of|sort\s+of|i\s+guess|i\s+think)\b",
+    ],
+    "tag_question_count": [
+        r"\bright\b", r"\bisn['’]t\s+it\b", r"\bdon['’]t\s+you\b",
+        r"\b(?:aren['’]t|wasn['’]t|weren['’]t|won['’]t|wouldn['’]t|couldn['’]t|shouldn['’]t)\s+(?:i|you|we|they|it|he|she)\b",
+    ],
+    "repair_restart_count": [r"\bi\s+i\b", r"\bi\s+mean\b", r"\bor\s+rather\b", r"\bwell\s+no\b", r"\bno\s+i\s+mean\b"],
+    "disfluency_cluster_count": [r"\b(?:uh|um|uhm|er|erm|ah)\s+(?:uh|um|uhm|er|erm|ah)\b", r"\b(?:uh|um|uhm|er|erm|ah)(?:\s+(?:uh|um|uhm|er|erm|ah)){2,}\b"],
+    "i_dont_know_count": [r"\bi\s+don't\s+know\b"],
+    "oh_my_god_count": [r"\boh\s+my\s+(?:\w+\s+)*?god\b"],
+    "oh_my_gosh_count": [r"\boh\s+my\s+(?:\w+\s+)*?gosh\b"],
+    "oh_my_goodness_count": [r"\boh\s+my\s+(?:\w+\s+)*?goodness\b"],
+    "im_not_a_count": [r"\bi'm\s+not\s+a\b", r"\byou're\s+not\s+a\b", r"\bi\s+am\s+not\s+a\b", r"\byou\s+are\s+not\s+a\b"],
+    "secret_count": [
+        r"\bsea\s*-?\s*top\w*\b", r"\bseatop\w*\b", r"\bctop\w*\b", r"\bc\s*-?\s*top\w*\b", r"\bseat\s*-?\s*top\w*\b", r"\bseattop\w*\b",
+        r"\bsetop\w*\b", r"\bsee\s*-?\s*top\w*\b",
+    ],
+    "buddy_count": [r"\bbud\b", r"\bbuddy\w*\b", r"\bbuddies\b"],
+    "thank_you_count": [r"\bthank\s+you\b", r"\bthanks\b", r"\bthanky\w*\b"],
+    "dog_count": [r"\bdog\w*\b", r"\bdoggo\w*\b", r"\bhound\w*\b", r"\bpuppy\w*\b", r"\bpuppies\b", r"\bbark\w*\b", r"\bwoof\w*\b"],
+    "cat_count": [r"\bcat\w*\b", r"\bkitty\w*\b", r"\bkitties\b", r"\bmeow\w*\b", r"\bpurr\w*\b"],
+    "gay_count": [r"\bgay\w*\b", r"\bgayz\w*\b"],
+    "money_count": [
+        r"\bmoney\b", r"\bcash\b", r"\bdollar\w*\b", r"\bcent\w*\b", r"\bcurrency\b", r"\bpay\w*\b", r"\bcost\w*\b", r"\bprice\w*\b", r"\bexpensive\b",
+        r"\bcheap\w*\b", r"\bbuy\w*\b", r"\bsell\w*\b", r"\bpurchase\w*\b", r"\bspend\w*\b", r"\bbudget\w*\b", r"\bfunds?\b",
+    ],
+    "fast_food_count": [r"\b(?:mcdonald's|burger king|kfc|taco bell|door dash|uber eat|uber eats)\w*\b"],
+    "excellent_count": [r"\bexcellen\w*\b"],
+    "bodily_humor": [
+        r"\bbutt\b", r"\bbutts\b", r"\bfart\w*\b", r"\bpoop\w*\b", r"\bpee\b", r"\bpeed\b", r"\bpeeing\b", r"\btooted?\b", r"\bburp\w*\b", r"\bbarf\w*\b",
+        r"\bvomit\w*\b", r"\bpuke\w*\b", r"\bturd\w*\b", r"\bbooger\w*\b", r"\bsnot\w*\b", r"\bstink\w*\b", r"\bgross\b", r"\bgassy\b",
+        r"\bbutt\s*-?\s*hole\w*\b", r"\bwee\s*-?\s*wee\w*\b",
+    ],
+    "actual_peak_comedy_count": [r"\bpeak comedy\b"],
+    "really_actual_peak_comedy_count": [r"\bno fucking way mr gibbs and just joe king got skibidi'd i am so sad sobs\b"],
+}
+# Insults, which ``peak_comedy_count`` adds to ``bodily_humor``.
+INSULTS = [
+    r"\bstupid\w*\b", r"\bdumb\w*\b", r"\bidiot\w*\b", r"\bnerd\w*\b", r"\bdork\w*\b", r"\bdummy\w*\b", r"\bjerks?\b", r"\bdingle\w*\b", r"\bdoofus\w*\b",
+    r"\bcoward\w*\b", r"\bdummies\w*\b", r"\bbuffoon\w*\b", r"\blame\w*\b", r"\bgoofball\w*\b", r"\bnoob\w*\b", r"\b(?:these|this|that|another|a|the)\s+fools?\b",
+    r"\bnincompoop\w*\b", r"\bcretin\w*\b", r"\bmoron\w*\b", r"\b(?<!the )loser\w*\b", r"\brascal\w*\b", r"\bhooligan\w*\b", r"\byou(?:\s+\w+)?\s+fool\b",
+    r"\byou(?:\s+\w+)?\s+prick\b", r"\bskank\w*\b", r"\bugly\b",
+    r"\b(?<!cyber)(?<!cyber\s)(?<!cm)(?<!cm\s)punk(?:s)?\b(?!\s+(?:music|rock|disc|discs|record|album|band|song|genre))",
+]

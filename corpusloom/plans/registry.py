@@ -55,10 +55,11 @@ def base_registry() -> dict[str, Builder]:
     return out
 
 
-def gaming_registry(patterns: dict[str, list[str]] | None = None) -> dict[str, Builder]:
-    """Niche counts by rule: a stem counts with any ending, a phrase as its words, a letter as itself.
+def gaming_registry(patterns: dict[str, list[str]] | None = None, terms: dict[str, list[str]] | None = None) -> dict[str, Builder]:
+    """Niche counts: by rule (a stem counts with any ending, a phrase as its words, a letter as itself) or by list.
 
-    ``patterns`` adds or replaces whole pattern lists by metric name (a parameter, for tables of one's own).
+    ``patterns`` adds or replaces whole pattern lists by metric name; ``terms`` gives the tables of metrics that count
+    tokens of a large vocabulary (``minecraft_lexicon_density``, ``vehicle_lexicon_density``; 0 where none is given).
     """
     # Metrics named after the stem that they count, the word, and the phrase.
     stems = (
@@ -67,28 +68,16 @@ def gaming_registry(patterns: dict[str, list[str]] | None = None) -> dict[str, B
     ).split()
     words = "unbelievably dang damn darn man ready you i go god goodness wa yonder also technically bro rubbish too brought took well the".split()
     phrases = (
-        "you_guys going_to over_to you_know_what there_we_go here_we_go look_at_that oh_no give_me hate_you love_you i_think i_feel i_swear i_can well_done hang_on hold_on hold_up "
+        "you_guys going_to over_to i_can you_know_what there_we_go here_we_go look_at_that oh_no give_me hate_you love_you i_think i_feel i_swear i_can well_done hang_on hold_on hold_up "
         "to_be_fair to_be_honest real_quick what_do_you_mean son_of_a are_you_kidding nailed_it thanks_for_watching go_ahead make_sure makes_me good_question see_you_next_time "
         "hear_me_out whole_bunch take_care all_right"
     ).split()
-    # Lists that no rule gives.
-    lists = {
-        "fart_count": [r"\bfart\w*\b", r"\bflatul\w*\b", r"\btoot(?:s|ed|ing)?\b"], "shut_up_count": [r"\bshut(?:ting)?\s*-?\s*up\b"],
-        "ding_dong_count": [r"\bding\s*-?\s*dong(?:s)?\b"], "small_word_count": [rf"\b{w}\w*\b" for w in ("little", "short", "small", "tiny", "teeny")],
-        "big_word_count": [rf"\b{w}\w*\b" for w in ("big", "tall", "giant", "ginormous", "gigantic")], "hard_count": [r"\bhard\w*\b", r"\bdifficult\w*\b"],
-        "weird_count": [rf"\b{w}\b" for w in ("weird", "bizarre", "strange", "wacky", "odd", "peculiar", "quirky", "unusual", "funky")],
-        "yes_count": [rf"\b{w}\b" for w in ("yes", "yeah", "yep", "yup", "yea")], "no_count": [r"\bno+\b", r"\bnope\b", r"\bnah\b", r"\bnuh\s*-?\s*uh\b"],
-        "um_count": [r"\bum\b", r"\bumm+\b", r"\buhm\b", r"\buhmm+\b"], "uh_count": [r"\buh\b", r"\buhh+\b"], "ow_count": [r"\bow\b", r"\boww+\b"], "ooh_count": [r"\boo+h+\b"],
-        "double_modal_count": [r"\b(?:may|might|must)\s+(?:could|should|would)\b"], "modal_perfect_count": [r"\b(?:can|could|may|might|must|shall|should|will|would)\s+(?:have|['’]ve)\b"],
-        "modal_progressive_count": [r"\b(?:can|could|may|might|must|shall|should|will|would)\s+be\s+\w+ing\b"],
-        "semi_modal_count": [r"\b(?:have|has|had)\s+to\b", r"\bneed(?:s|ed)?\s+to\b", r"\bgot\s+to\b", r"\bought\s+to\b", r"\bgonna\b"],
-        "conditional_modal_count": [r"\bif\b(?:\s+\w+){0,6}\s+(?:would|could|might|should|may|can|will)\b"],
-        "stance_marker_count": [rf"\b{w}\b" for w in (r"i\s+think", r"i\s+guess", r"i\s+mean", r"you\s+know", r"to\s+be\s+honest")],
-        "car_count": [r"\bcar\b", r"\bcars\b"], "boat_count": [r"\bboat\b", r"\bboats\b"], "truck_count": [r"\btruck\b", r"\btrucks\b"], "plane_count": [r"\bplane\b", r"\bplanes\b"],
-    }
     table = {f"{s}_count": [rf"\b{s}\w*\b"] for s in stems} | {f"{w}_count": [rf"\b{w}\b"] for w in words}
-    table |= {f"{p}_count": [r"\b" + p.replace("_", r"\s+") + r"\b"] for p in phrases} | lists | (patterns or {})
+    table |= {f"{p}_count": [r"\b" + p.replace("_", r"\s+") + r"\b"] for p in phrases} | W.GAMING_LISTS | (patterns or {})
     out: dict[str, Builder] = {name: (lambda t, j, p=p: T.pattern_count(j, p)) for name, p in table.items()}
+    out["peak_comedy_count"] = lambda t, j: T.pattern_count(j, W.INSULTS) + T.pattern_count(j, W.GAMING_LISTS["bodily_humor"])
+    for name, words in ({"minecraft_lexicon_density": [], "vehicle_lexicon_density": []} | (terms or {})).items():
+        out[name] = lambda t, j, words=words: T.set_count(t, words).cast("double") if words else F.lit(0.0)
     for c in "abcdefghijklmnopqrstuvwxyzñ":
         out[f"letter_{c}_count"] = lambda t, j, c=c: T.letter_count(j, c)
     return out

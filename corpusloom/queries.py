@@ -32,14 +32,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Uses all cores where a small table is a few splits; a table of more splits than cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """A text per document."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), T.tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("text_id"), T.tokens(F.col("text")).alias("tokens"))
 
 
 def doc_files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files of their source."""
-    return table(spark, d, "documents").select(F.col("source").alias("text_id"), F.col("doc_id").alias("file_id"), F.col("doc_id").alias("ord"), T.tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source")).select(F.col("source").alias("text_id"), F.col("doc_id").alias("file_id"), F.col("doc_id").alias("ord"), T.tokens(F.col("text")).alias("tokens"))
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +234,7 @@ def article_counts(spark, d):
 
 
 _DEICTIC = [p[2:-2] for p in W.PATTERNS["deictic_spatial_temporal"]]
-_NARRATION = [p[2:-2] for p in W.PATTERNS["narration_continuation_ratio"]]
+_NARRATION = [p[2:-2] for p in W.PATTERNS["narration_continuation_ratio"] if p.startswith(r"\b")]  # one asks for a line end, which joined tokens lack
 
 
 @query(
