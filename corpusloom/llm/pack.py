@@ -97,34 +97,43 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 def tokenise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Rows doc_id, n (tokens with END), ids (binary, little-endian, as wide as the vocabulary needs: ``Encoder.kind``)."""
+    """Rows doc_id, n (tokens with END), ids (binary, little-endian, as wide as the vocabulary needs: ``Encoder.kind``), counts.
+
+    ``counts`` is null but in a row that each task ends with, which has nothing else: pairs of an id and the documents that
+    hold it; -1 stands for the documents, -2 for their tokens.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        n, total, held = 0, 0, np.zeros(encode.size, np.int64)
+        names = ["doc_id", "n", "ids", "counts"]
         for part in steps(batches, "text", STEP):
             ids = [np.array([*encode(t or ""), END], encode.kind) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+            n += len(ids)
+            for x in ids:
+                total += len(x)
+                held[np.unique(x)] += 1
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names
+            )
+        at = np.flatnonzero(held)
+        counts = np.column_stack([np.concatenate([[-2, -1], at]), np.concatenate([[total, n], held[at]])]).astype("<i8")
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
-def document_frequencies(tokens: DataFrame, size: int, kind: str) -> tuple[int, np.ndarray, float]:
-    """Number of documents, of those that hold each id, and their mean length."""
+def document_frequencies(counts: DataFrame, size: int) -> tuple[int, np.ndarray, float]:
+    """Number of documents, of those that hold each id, and their mean length, from ``counts`` of ``tokenise``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, df = 0, 0, np.zeros(size, np.int64)
-        for part in steps(batches, "ids"):
-            ids = part.column(0).to_pylist()
-            n += len(ids)
-            for x in ids:
-                x = np.frombuffer(x, kind)
-                total += len(x)
-                df[np.unique(x)] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[total, n], df[at]]))], names=["id", "df"])
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                pairs = np.frombuffer(x, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "df"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()
+    rows = counts.select("counts").where("counts is not null").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()
     got = {r.id: r.df for r in rows}  # at most one row per vocabulary entry
     out = np.zeros(size, np.int64)
     for i, n in got.items():
@@ -180,18 +189,19 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, width: int = WIDTH, ter
             score[rest == 0] = 0
             near = np.flatnonzero(score)
             near = near[np.argsort(-score[near], kind="stable")]
-            cut, least = -1, rest[rest > 0].min(initial=width + 1)
-            for d in near.tolist():
-                if cut >= 0 and room < least:
-                    break
-                if rest[d] <= room:
-                    sequence.append((int(d), int(at[d]), int(rest[d])))
-                    room -= int(rest[d])
-                    rest[d] = 0
-                    if not room:
-                        break
-                elif cut < 0:
-                    cut = int(d)
+            size, at_near, cut = rest[near], 0, -1
+            while room and at_near < len(near):  # all that fit in a row, then on to the next that fits
+                held_to = np.cumsum(size[at_near:])
+                k = int(np.searchsorted(held_to, room, side="right"))
+                took = near[at_near : at_near + k]
+                sequence.extend(zip(took.tolist(), at[took].tolist(), rest[took].tolist(), strict=True))
+                room -= int(held_to[k - 1]) if k else 0
+                rest[took] = 0
+                at_near += k
+                if at_near < len(near):
+                    cut = int(near[at_near]) if cut < 0 else cut
+                    fits = size[at_near:] <= room
+                    at_near = at_near + int(fits.argmax()) if fits.any() else len(near)
             k = first
             while room:
                 if cut < 0:
@@ -321,8 +331,9 @@ def pack(
 ) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit little-endian)."""
     size, kind = encoder(tokenizer).size, encoder(tokenizer).kind
-    tokens = stored(tokenise(df, id_col, text_col, tokenizer), "tokens")
-    n, frequency, mean = document_frequencies(tokens, size, kind)
+    tokens = stored(tokenise(df, id_col, text_col, tokenizer), "tokens", "snappy")
+    n, frequency, mean = document_frequencies(tokens, size)
+    tokens = tokens.where("counts is null").select("doc_id", "n", "ids")
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
     weights = Weights(kind, frequency, idf, mean, np.zeros((0, 0)), np.zeros((0, 0)))
     fit_order(tokens, weights, n)
@@ -358,6 +369,6 @@ def pack(
         if held:
             yield packed(True)
 
-    by = stored(tails(tokens, weights, width), "tails")  # ranges are found by a pass of their own
+    by = stored(tails(tokens, weights, width), "tails", "snappy")  # ranges are found by a pass of their own
     by = by.repartitionByRange(max(1, min(parts_for(df), -(-n // shard))), "point", "sig", "tie").sortWithinPartitions("point", "sig", "tie", "doc_id", "n")
     return by.select("doc_id", "n", "start", "ids").mapInArrow(run, PIECES).unionAll(whole_windows(tokens, kind, width))
