@@ -88,11 +88,11 @@ def _join(m: re.Match[bytes]) -> bytes:
 
 
 class _Fold(dict):
-    """Of a decomposed character, one of the first 256: ASCII stays, marks go, spaces are spaces, others by code point."""
+    """Of a character, one of the first 256 or several: accents go, spaces are spaces, letters of other scripts by code point."""
 
     def __missing__(self, c: int) -> str | None:
-        x = chr(c)
-        self[c] = x if c < 128 else None if unicodedata.combining(x) else " " if x.isspace() else chr(128 + c % OTHERS)
+        own = [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]
+        self[c] = "".join(x if ord(x) < 128 else " " if x.isspace() else chr(128 + ord(x) % OTHERS) for x in own)
         return self[c]
 
 
@@ -103,7 +103,7 @@ def _plain(text: bytes) -> bytes:
     """A sentence a line, words between spaces, one byte a letter. Dotted letters are joined before the cut, spaced-out ones within a sentence."""
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.decode("utf-8", "replace").lower()).translate(_FOLD).encode("latin-1").lower()
+        text = text.decode("utf-8", "replace").lower().translate(_FOLD).encode("latin-1").lower()
     if _LONE.search(text):
         text = _DOTTED.sub(_join, text)
     text = _SENTENCE.sub(b"\n", text).translate(None, _PUNCT)
@@ -140,15 +140,19 @@ class Kernel:
         self.at[used] = np.arange(len(used))
 
     @staticmethod
-    def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, weights and owners of all triples. A word of fewer characters is padded with class 0."""
+    def _layout(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of all characters, and of each that a word has: its word, its place, the end of the word. Short words are padded with class 0."""
         b = np.frombuffer(b"\0\0".join([*words, b"", b"", b"", b""]), np.uint8)
-        size = np.array([len(w) for w in words])
-        first = np.concatenate([[0], np.cumsum(size + 2)[:-1]]) if len(words) else np.zeros(0, int)
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.concatenate([[0], np.cumsum(size + 2)[:-1]]) if len(words) else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(words)), size)
-        i = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(owner)) if len(words) else np.zeros(0, int)
-        end = (first + np.maximum(size, 3))[owner]
-        c = np.where(b == 0, 0, _CLASS[b])
+        i = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(owner)) if len(words) else np.zeros(0, np.int64)
+        return np.where(b == 0, 0, _CLASS[b]), owner, i, (first + np.maximum(size, 3))[owner]
+
+    @classmethod
+    def _features(cls, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, weights and owners of all triples."""
+        c, owner, i, end = cls._layout(words)
         codes, weights, owners = [], [], []
         for a, z in _PAIRS:
             ok = i + z < end
@@ -158,21 +162,35 @@ class Kernel:
             owners.append(owner[ok])
         return np.concatenate(codes), np.concatenate(weights), np.concatenate(owners)
 
+    def _near(self, words: list[bytes]) -> np.ndarray:
+        """Words whose share of squared weights on features of landmarks lets a value reach ``FLOOR``. A word's whole weight goes by its length."""
+        c, owner, i, end = self._layout(words)
+        near = np.zeros(len(words))
+        high, mid = c << 2 * BITS, c << BITS
+        for z in range(2, SPAN + 1):
+            ok = i + z < end
+            j, own = i[ok], owner[ok]
+            ends = high[j] | c[j + z]
+            for a in range(1, z):
+                hit = own[self.known[ends | mid[j + a]]]
+                if len(hit):
+                    near += np.bincount(hit, minlength=len(words)) * DECAY ** (2 * (z - 2))
+        size = np.maximum([len(w) for w in words], 3)
+        whole = sum((z - 1) * np.maximum(size - z, 0) * DECAY ** (2 * (z - 2)) for z in range(2, SPAN + 1))
+        return np.flatnonzero(near >= FLOOR**2 * 0.8 * whole)  # repeats of a feature within a word can add to its share
+
     def values(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """For words that reach ``FLOOR`` with some landmark, their values; below it, 0.
 
         By Cauchy-Schwarz no value exceeds the root of the share of a word's squared weights that
         lies on features of landmarks, so the first step drops words without losing any.
         """
+        if not words:
+            return {}
+        words = [words[k] for k in self._near(words)]
         if not words:
             return {}
         code, weight, owner = self._features(words)
-        square = weight**2
-        whole = np.bincount(owner, square, len(words))
-        near = np.bincount(owner, square * self.known[code], len(words))
-        keep = near >= FLOOR**2 * 0.8 * whole  # repeats of a feature within a word can add to its share
-        sel = keep[owner]
-        code, weight, owner = code[sel], weight[sel], owner[sel]
         key, at = np.unique(owner.astype(np.int64) << 3 * BITS | code, return_inverse=True)
         w = np.bincount(at, weight)
         owner, code = key >> 3 * BITS, key & (CODES - 1)
@@ -195,25 +213,34 @@ class Kernel:
 
 
 class Pooler:
-    """Sentence vectors of texts. Words seen before are not computed again."""
+    """Sentence vectors of texts. Words and stems seen before are not computed again."""
 
     def __init__(self, kernel: Kernel, memory: int = 250_000):
         self.kernel, self.memory = kernel, memory
-        self.hot: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.hot: dict[bytes, np.ndarray] = {}  # words, by their pieces
         self.cold: set[bytes] = set()
+        self.value: dict[bytes, np.ndarray] = {}  # pieces that reach a landmark
+        self.seen: set[bytes] = set()  # stems
 
     def pool(self, texts: list[bytes]) -> list[np.ndarray]:
         plain = [_plain(t) for t in texts]
         bags = [set(t.split()) for t in plain]
-        if len(self.cold) + len(self.hot) > self.memory:
-            self.cold.clear()
-            self.hot.clear()
+        if len(self.cold) + len(self.seen) > self.memory:
+            self.forget()
         new = set().union(*bags) - self.cold - self.hot.keys() if bags else set()
-        parts = {w: pieces(w) for w in new}
-        value = self.kernel.values(list({p for x in parts.values() for p in x}))
-        hot = {w: np.max(own, 0) for w, x in parts.items() if (own := [value[p] for p in x if p in value])}
-        self.hot |= hot
-        self.cold.update(w for w in new if w not in hot)
+        stems = set().union(*({w[:n] for w in new} for n in STEMS)) - self.seen - new
+        self.value |= self.kernel.values([*new, *stems])
+        self.seen |= stems
+        found = new & self.value.keys()
+        for n in STEMS:
+            if near := {p for p in self.value if len(p) == n}:
+                found |= {w for w in new if w[:n] in near}
+        for w in found:
+            self.hot[w] = np.max([self.value[p] for p in pieces(w) if p in self.value], 0)
+        self.cold |= new - found
         out = []
         for text, bag in zip(plain, bags, strict=True):
             rows = []
