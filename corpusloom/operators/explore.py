@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import numbered, running_sum
+
 
 def points(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows in which both are numbers."""
@@ -104,11 +106,36 @@ def residuals(df: DataFrame, x: str, y: str, key: str, k: int = 5) -> DataFrame:
 def percentiles(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Adds percentile: the share of values not above, in per cent. Counts per value first, so the window sorts distinct values."""
     per = df.where(F.col(column).isNotNull()).groupBy(*by, column).count()
+    if not by:
+        total = per.agg(F.sum("count").alias("total"))
+        cum = running_sum(per, "cum", column, "count").crossJoin(F.broadcast(total))  # one row
+        return df.join(cum.select(column, (F.col("cum") / F.col("total") * 100).alias("percentile")), column)
     w = Window.partitionBy(*by)
     cum = F.sum("count").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(w) * 100
     return df.join(per.select(*by, column, cum.alias("percentile")), [*by, column])
 
 
+def ecdf(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """Steps of the empirical distribution: by, value, share of values not above, from 0 to 1."""
+    p = percentiles(df.select(*by, column), column, *by)
+    return p.groupBy(*by, column).agg((F.max("percentile") / 100).alias("share"))
+
+
+def word_z_scores(df: DataFrame, value: str, word: str = "word", least: int = 3) -> DataFrame:
+    """Adds z within each word (population deviation); words of fewer than ``least`` values or without spread go."""
+    by = df.where(F.col(value).isNotNull()).groupBy(word).agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"))
+    by = by.where((F.col("n") >= least) & (F.col("sd") > 0))
+    return df.join(by, word).withColumn("z", (F.col(value) - F.col("mu")) / F.col("sd")).drop("mu", "sd", "n")
+
+
+def listed(df: DataFrame, label: str, value: str, search: str = "", order: str = "value_desc") -> DataFrame:
+    """Rows whose label holds ``search`` in any case, without null values, with their place in one of four orders."""
+    orders = {"value_desc": [F.desc(value), F.asc(label)], "value_asc": [F.asc(value), F.asc(label)], "name_asc": [F.asc(label)], "name_desc": [F.desc(label)]}
+    some = df.where(F.col(value).isNotNull() & F.lower(label).contains(search.lower()))
+    first = value if order.startswith("value") else label
+    return numbered(some, "place", first, *orders[order][1:], descending=order.endswith("desc"))
+
+
 def normal_pdf(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
 

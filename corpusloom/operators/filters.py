@@ -38,6 +38,13 @@ def least_tokens(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.size("tokens") >= n)
 
 
+def least_total(df: DataFrame, n: int, embedding_only: bool = False) -> DataFrame:
+    """Files of texts that have ``n`` tokens in all. With ``embedding_only`` the others stay too: ``low_token_text`` says which get vectors but no metrics."""
+    total = F.sum(F.size("tokens")).over(Window.partitionBy("text_id"))
+    out = df.withColumn("total_tokens", total.cast("long")).withColumn("low_token_text", F.col("total_tokens") < n)
+    return out if embedding_only else out.where(~F.col("low_token_text"))
+
+
 def recent_files(df: DataFrame, n: int) -> DataFrame:
     """The n last files of each text."""
     w = Window.partitionBy("text_id").orderBy(F.desc("ord"), F.desc("file_id"))

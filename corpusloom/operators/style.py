@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.wordlists import FUNCTION_WORDS
-from .explore import correlation
+from .explore import correlation, normal_cdf
 from .lexical import frequencies
 
 ALPHA, LEAST, FLOOR_RANK = 0.01, 5, 1000
@@ -70,9 +70,21 @@ def pair_decomposition(z: DataFrame, a, b) -> DataFrame:
     return w.withColumn("share", F.when(total > 0, F.col("diff") / total * 100).otherwise(0.0))
 
 
-def cluster_decomposition(z: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Per cluster and word: mean z, share of the cluster's absolute means, sign, consistency (mean over deviation; 99 if there is none)."""
+def centre_deviation(profile: DataFrame) -> DataFrame:
+    """text_id, centre_deviation: mean absolute deviation of a text's rates from the mean profile."""
+    mean = profile.groupBy("word").agg(F.avg("rate").alias("mu"))
+    return profile.join(F.broadcast(mean), "word").groupBy("text_id").agg(F.avg(F.abs(F.col("rate") - F.col("mu"))).alias("centre_deviation"))  # a row per function word
+
+
+def cluster_decomposition(z: DataFrame, clusters: DataFrame, against: int | None = None) -> DataFrame:
+    """Per cluster and word: mean z, share of the cluster's absolute means, sign, consistency (mean over deviation; 99 if there is none).
+
+    With ``against``, means are differences from those of that cluster, not from the corpus (whose mean z is 0).
+    """
     m = z.join(clusters, "text_id").groupBy("cluster", "word").agg(F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("sd"), F.count("*").alias("n"))
+    if against is not None:
+        other = m.where(F.col("cluster") == against).select("word", F.col("mean_z").alias("other"))
+        m = m.where(F.col("cluster") != against).join(F.broadcast(other), "word").withColumn("mean_z", F.col("mean_z") - F.col("other")).drop("other")
     total = F.sum(F.abs("mean_z")).over(Window.partitionBy("cluster"))
     still = F.col("sd") < 1e-12
     return m.select(
@@ -88,6 +100,16 @@ def rate_context(profile: DataFrame) -> DataFrame:
     return profile.select("text_id", "word", "rate", ((F.col("rate") - F.avg("rate").over(w)) / sd).alias("z"), (F.cume_dist().over(w.orderBy("rate")) * 100).alias("percentile"))
 
 
+def cluster_rate_context(profile: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``rate_context`` with the percentile of a normal distribution, and per cluster and word the mean, deviation and bounds of the rate."""
+    c = rate_context(profile).join(clusters, "text_id")
+    w = Window.partitionBy("cluster", "word")
+    return c.select(
+        "text_id", "word", "rate", "z", "percentile", (normal_cdf(F.col("z")) * 100).alias("normal_percentile"), F.avg("rate").over(w).alias("cluster_mean"),
+        F.stddev_pop("rate").over(w).alias("cluster_sd"), F.min("rate").over(w).alias("cluster_low"), F.max("rate").over(w).alias("cluster_high"),
+    )
+
+
 def disagreement(pairs: DataFrame) -> DataFrame:
     """1 less Spearman's rho between two distances (columns a, b, x, y; both ways) over each text's peers; null below two peers."""
 

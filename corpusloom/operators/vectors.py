@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: n vectors are cut into the root of n / BLOCK blocks, so a pair of blocks makes about n * BLOCK pairs.
+BLOCK = 250
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -17,8 +23,8 @@ def unit(v) -> Column:
 
 
 def cosine_pairs(vectors: DataFrame, blocks: int | None = None) -> DataFrame:
-    """All ordered pairs (a, b, cosine), a <> b. Quadratic by what is asked; cut in blocks so that no side is broadcast whole."""
-    blocks = blocks or 1
+    """All ordered pairs (a, b, cosine), a <> b. Quadratic by what is asked; cut in blocks (more as vectors grow) so that no side is broadcast whole."""
+    blocks = blocks or max(1, math.isqrt(vectors.count() // BLOCK))
     u = vectors.select("id", unit(F.col("vector")).alias("u")).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     x = u.select(F.col("id").alias("a"), F.col("u").alias("ua"), "k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("m"))
     y = u.select(F.col("id").alias("b"), F.col("u").alias("ub"), F.col("k").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
@@ -32,6 +38,11 @@ def top_k(pairs: DataFrame, k: int, score: str = "cosine", nearest: bool = True)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "rank", "b", score)
 
 
+def capital_names(capitals_: DataFrame, names: DataFrame, on: str = "id", name: str = "name") -> DataFrame:
+    """Capitals with their names, null where there is none."""
+    return capitals_.join(names.select(on, name), on, "left")
+
+
 def centroid(vectors: DataFrame, *keys: str) -> DataFrame:
     """Mean vector of each group: keys, vector. Means are per dimension, so groups are never gathered."""
     d = vectors.select(*keys, F.posexplode("vector").alias("d", "x")).groupBy(*keys, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))

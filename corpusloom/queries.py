@@ -246,10 +246,23 @@ def rates_per_1000(spark, d):
     return rounded(registry.measure(documents(spark, d), ["deictic_spatial_temporal", "narration_continuation_ratio"]))
 
 
-@query("regex_counts")
+#: Letters beyond ASCII as underscores: word characters to either engine.
+ASCII = f"{TOK}, asc_ AS (SELECT text_id, t, translate(array_to_string(t, ' '), 'éóèñüçäöêßíáúàâîôûùïë', '_____________________') AS j FROM tok)"
+
+
+def _regex_sql(patterns) -> str:
+    """Sum of matches that do not overlap; for patterns without look-around."""
+    return " + ".join("CAST(len(regexp_extract_all(j, '(?i)" + p.replace("'", "''") + "')) AS BIGINT)" for p in patterns)
+
+
+_REGEX = ["discussion_commentary_count", "simile_count", "vulnerability", "family_exclamations", "smore_markers_3_count"]
+
+
+@query("regex_counts", f"{ASCII} SELECT text_id, " + ", ".join(f"{_regex_sql(W.PATTERNS[n])} AS {n}" for n in _REGEX)
+       + f", {_r('CASE WHEN len(t) >= 1 THEN (' + _regex_sql(W.PATTERNS['elaboration_explanation_ratio']) + ') / len(t) * 1000 ELSE 0 END')} AS elaboration_explanation_ratio, "
+       + f"{_regex_sql(W.PATTERNS['exclamation_interjection'])} AS imperative_exclamation_count FROM asc_")
 def regex_counts(spark, d):
-    names = ["discussion_commentary_count", "simile_count", "vulnerability", "family_exclamations", "smore_markers_3_count", "elaboration_explanation_ratio", "imperative_exclamation_count", "pronoun_article_ratio"]
-    return rounded(registry.measure(documents(spark, d), names))
+    return rounded(registry.measure(documents(spark, d), [*_REGEX, "elaboration_explanation_ratio", "imperative_exclamation_count"]))
 
 
 @query(
@@ -286,11 +299,33 @@ def gaming_patterns(spark, d):
     return registry.measure(documents(spark, d), [f"{w}_count" for w in (*(g for g in _GAMING if g != "no"), *_GAMING_PHRASES)], registry.gaming_registry())
 
 
+_LISTS = {n: p for n, p in W.GAMING_LISTS.items() if not any("(?<" in x or "(?!" in x for x in p)}
+
+
+@query("gaming_lists", f"{ASCII} SELECT text_id, " + ", ".join(f'{_regex_sql(p)} AS "{n}"' for n, p in _LISTS.items()) + " FROM asc_")
+def gaming_lists(spark, d):
+    return registry.measure(documents(spark, d), list(_LISTS), registry.gaming_registry())
+
+
 @query("gaming_all")
 def gaming_all(spark, d):
     return registry.measure(documents(spark, d), None, registry.gaming_registry())
 
 
+_TERMS = {"minecraft_lexicon_density": ["the", "of"], "vehicle_lexicon_density": ["de", "der", "und"]}
+
+
+@query("gaming_terms", f"{TOK} SELECT text_id, " + ", ".join(f"CAST({_set_sql(w)} AS DOUBLE) AS {n}" for n, w in _TERMS.items()) + " FROM tok")
+def gaming_terms(spark, d):
+    return registry.measure(documents(spark, d), list(_TERMS), registry.gaming_registry(terms=_TERMS))
+
+
+@query("substituted_tokens", f"{TOK}, s AS (SELECT text_id, list_transform(t, lambda x: CASE x WHEN 'the' THEN 'a' WHEN 'der' THEN 'die' ELSE x END) AS t FROM tok) SELECT text_id, CAST(len(list_distinct(t)) AS BIGINT) AS n_types, {_set_sql(['a'])} AS n_a FROM s")
+def substituted_tokens(spark, d):
+    t = documents(spark, d).select("text_id", T.substitute(F.col("tokens"), {"the": "a", "der": "die"}).alias("t"))
+    return t.select("text_id", F.size(F.array_distinct("t")).cast("long").alias("n_types"), T.set_count(F.col("t"), ["a"]).alias("n_a"))
+
+
 _EDU = {g: ps for g, ps in W.EDUCATIONAL_PHRASES.items() if not any(set(p) & set("?\\+") for p in ps)}
 
 
@@ -579,13 +614,33 @@ def histogram(spark, d):
     return h.select("bin", (F.round("lo", 4) + 0.0).alias("lo"), (F.round("hi", 4) + 0.0).alias("hi"), "n", (F.round("density", 9) + 0.0).alias("density"))
 
 
+@query("value_ecdf", f"SELECT DISTINCT o_totalprice, {_r('cume_dist() OVER (ORDER BY o_totalprice)', 9)} AS share FROM orders")
+def value_ecdf(spark, d):
+    return explore.ecdf(table(spark, d, "orders"), "o_totalprice").select("o_totalprice", (F.round("share", 9) + 0.0).alias("share"))
+
+
+@query("word_z_scores", f"{_PROFILE}, u AS (SELECT text_id, word, rate FROM pr), m AS (SELECT word, avg(rate) AS mu, stddev_pop(rate) AS sd FROM u GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(rate) > 0) SELECT text_id, word, {_r('(rate - mu) / sd')} AS z FROM u JOIN m USING (word)")
+def word_z_scores(spark, d):
+    return rounded(explore.word_z_scores(style.profiles(sources(spark, d)), "rate").select("text_id", "word", "z"))
+
+
+@query("listed_sources", f"{TOK}, n AS (SELECT source, sum(len(t)) AS n FROM tok GROUP BY 1) SELECT source AS text_id, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY n DESC, source) AS place FROM n WHERE lower(source) LIKE '%rc1%'")
+def listed_sources(spark, d):
+    n = sources(spark, d).groupBy("text_id").agg(F.sum(F.size("tokens")).cast("long").alias("n"))
+    return explore.listed(n, "text_id", "n", "RC1").select("text_id", "n", "place")
+
+
 @query("logistic_fit")
 def logistic_fit(spark, d):
     fit = explore.logistic_fit(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
     return spark.createDataFrame([tuple(float(v) for v in fit.values())], ", ".join(f"{k} double" for k in fit))
 
 
-@query("normal_cdf")
+_ERF = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t"
+
+
+@query("normal_cdf", f"""WITH e AS (SELECT event_id, (value - 50) / 25 AS z FROM events), q AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM e)
+SELECT event_id, {_r("exp(-z * z / 2) / sqrt(2 * pi())")} AS pdf, {_r(f"(1 + sign(z) * (1 - {_ERF} * exp(-x * x))) / 2")} AS cdf FROM q""")
 def normal_cdf(spark, d):
     e = table(spark, d, "events").select("event_id", ((F.col("value") - 50) / 25).alias("z"))
     return rounded(e.select("event_id", explore.normal_pdf(F.col("z")).alias("pdf"), explore.normal_cdf(F.col("z")).alias("cdf")))
@@ -701,12 +756,25 @@ def shards(spark, d):
 
 
 # ---------------------------------------------------------------- sinks and sources
-@query("metrics_pivot")
+def _trim(x: str, decimals: int) -> str:
+    t = f"rtrim(rtrim(printf('%.{decimals}f', {x}), '0'), '.')"
+    return f"coalesce(CASE WHEN {t} IN ('-0', '') THEN '0' ELSE {t} END, '')"
+
+
+_WIDE = ("n_tokens", "n_types", "TTR", "yules_k", "avg_word_length", "hapax_ratio", "dis_ratio", "word_burstiness")
+
+
+@query("metrics_pivot", f"SELECT text_id, " + ", ".join(_trim(f'CAST("{c}" AS DOUBLE)', 6) + f' AS "{c}"' for c in _WIDE) + f" FROM ({TOK}{_FREQ.format(key='source', base='source')})")
 def metrics_pivot(spark, d):
     return export.metrics_table(export.melt(lexical.frequency_metrics(sources(spark, d))))
 
 
-@query("similarity_table")
+@query(
+    "similarity_table",
+    f"""{_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS n, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9), b) AS f FROM p)
+SELECT a AS text_id, 'closest' AS kind, CAST(n AS INTEGER) AS rank, b AS other, {_trim("cosine", 4)} AS score FROM k WHERE n <= 5 UNION ALL
+SELECT a, 'farthest', CAST(f AS INTEGER), b, {_trim("cosine", 4)} FROM k WHERE f <= 5""",
+)
 def similarity_table(spark, d):
     return export.similarity_table(vectors.cosine_pairs(embeddings(spark, d), 4), 5)
 
@@ -720,7 +788,97 @@ def vtt_clean(spark, d):
     return files.clean_subtitles(spark.createDataFrame([("a", i, line) for i, line in enumerate(_VTT)], "file_id string, pos int, line string"))
 
 
+@query("least_total", f"{TOK}, s AS (SELECT source AS text_id, text_id AS file_id, CAST(sum(len(t)) OVER (PARTITION BY source) AS BIGINT) AS total_tokens FROM tok) SELECT *, total_tokens < 20000 AS low_token_text FROM s")
+def least_total(spark, d):
+    return filters.least_total(doc_files(spark, d), 20_000, embedding_only=True).select("text_id", "file_id", "total_tokens", "low_token_text")
+
+
+@query("live_filter", "SELECT event_id FROM events WHERE NOT (coalesce(event_type = 'click', false) OR coalesce(value > 50, false))")
+def live_filter(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("event_type") == "click").alias("was_live"), (F.col("value") > 50).alias("is_live"))
+    return filters.exclude_live(e).select("event_id")
+
+
+@query("exportable_rows", "SELECT event_id FROM events WHERE event_type = 'view' AND value * 20 >= 480 AND ts >= TIMESTAMP '2020-01-01' AND NOT value > 90")
+def exportable_rows(spark, d):
+    e = table(spark, d, "events").select(
+        "event_id", F.when(F.col("event_type") == "view", "Gaming").alias("category"), (F.col("value") * 20).alias("duration"), F.date_format("ts", "yyyyMMdd").alias("upload_date"),
+        F.lit(False).alias("was_live"), (F.col("value") > 90).alias("is_live"),
+    )
+    return filters.exportable(e).select("event_id")
+
+
+@query("listed_channels", "SELECT r_regionkey FROM region WHERE lower(r_name) IN ('africa', 'asia')")
+def listed_channels(spark, d):
+    lines = spark.createDataFrame([("processing: @africa,",), ("ASIA;",), ("Asia",), ("nowhere",), (" ",)], "line string")
+    return records.channel_handles(lines, table(spark, d, "region"), name="r_name").select("r_regionkey")
+
+
+# ---------------------------------------------------------------- corpus centre, contexts
+@query("centre_deviation", f"{_PROFILE}, m AS (SELECT text_id, abs(rate - avg(rate) OVER (PARTITION BY word)) AS x FROM pr) SELECT text_id, {_r('avg(x)', 9)} AS centre_deviation FROM m GROUP BY 1")
+def centre_deviation(spark, d):
+    return rounded(style.centre_deviation(style.profiles(sources(spark, d))), 9)
+
+
+@query(
+    "cluster_against",
+    f"""{_PROFILE}, m AS (SELECT {_CLUSTER} AS cluster, word, avg(z) AS mz, stddev_pop(z) AS sd FROM zz GROUP BY 1, 2), d AS (SELECT m.cluster, m.word, m.mz - o.mz AS mz, m.sd FROM m JOIN m o ON m.word = o.word AND o.cluster = 0 AND m.cluster <> 0)
+SELECT cluster, word, {_r("mz")} AS mean_z, {_r("abs(mz) / sum(abs(mz)) OVER (PARTITION BY cluster) * 100")} AS share, CAST(sign(mz) AS INTEGER) AS sign,
+{_r("CASE WHEN sd < 1e-12 AND mz = 0 THEN 0 WHEN sd < 1e-12 THEN 99 ELSE abs(mz) / sd END")} AS consistency FROM d""",
+)
+def cluster_against(spark, d):
+    return rounded(style.cluster_decomposition(_z(spark, d), _clusters(spark, d), against=0))
+
+
+@query(
+    "cluster_rate_context",
+    f"""{_PROFILE}, q1 AS (SELECT text_id, word, round(rate, 12) AS rate FROM pr), c1 AS (SELECT *, (rate - avg(rate) OVER w) / greatest(stddev_pop(rate) OVER w, 1e-9, avg(rate) OVER w * 1e-3) AS z,
+avg(rate) OVER k AS cm, stddev_pop(rate) OVER k AS cs, min(rate) OVER k AS lo, max(rate) OVER k AS hi FROM q1 WINDOW w AS (PARTITION BY word), k AS (PARTITION BY {_CLUSTER}, word)),
+n1 AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM c1)
+SELECT text_id, word, {_r(f"(1 + sign(z) * (1 - {_ERF} * exp(-x * x))) / 2 * 100", 5)} AS normal_percentile, {_r("cm", 9)} AS cluster_mean, {_r("cs", 9)} AS cluster_sd, {_r("lo", 9)} AS cluster_low, {_r("hi", 9)} AS cluster_high FROM n1""",
+)
+def cluster_rate_context(spark, d):
+    p = style.cluster_rate_context(style.profiles(sources(spark, d)).withColumn("rate", F.round("rate", 12)), _clusters(spark, d))
+    return p.select("text_id", "word", (F.round("normal_percentile", 5) + 0.0).alias("normal_percentile"), *((F.round(c, 9) + 0.0).alias(c) for c in ("cluster_mean", "cluster_sd", "cluster_low", "cluster_high")))
+
+
+@query(
+    "named_capitals",
+    f"""WITH e0 AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), e AS (SELECT id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM e0),
+c AS ({_MEAN.format(k="label,", v="v")}), s AS (SELECT label, id, list_cosine_similarity(v, m) AS s FROM e JOIN c USING (label)), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, id) AS rn FROM s)
+SELECT label, id, p_name AS name FROM k LEFT JOIN part ON id = p_partkey WHERE rn = 1""",
+)
+def named_capitals(spark, d):
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return vectors.capital_names(vectors.capitals(embeddings(spark, d), "label"), names).select("label", "id", "name")
+
+
+@query(
+    "standardized_vectors",
+    f"""WITH x AS (SELECT vec_id AS id, unnest(range(64)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT d, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY 1)
+SELECT id, CAST(d AS INTEGER) AS d, {_r("(x - m) / CASE WHEN s > 0 THEN s ELSE 1 END")} AS x FROM x JOIN m USING (d)""",
+)
+def standardized_vectors(spark, d):
+    return rounded(clusters.standardize(embeddings(spark, d)).select("id", F.posexplode("vector").alias("d", "x")))
+
+
+@query("nearest_resolution", "SELECT 1.35 :: DOUBLE AS variant, n_nationkey AS id, n_regionkey AS label FROM nation WHERE n_regionkey > 0")
+def nearest_resolution(spark, d):
+    n = table(spark, d, "nation").select(F.explode(F.array(F.lit(1.0), F.lit(1.2), F.lit(1.35))).alias("variant"), F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("label"))
+    return export.nearest_resolution(n, 1.3)
+
+
 # ---------------------------------------------------------------- beyond SQL
+@query("resolution_sweep")
+def resolution_sweep(spark, d):
+    return clusters.sweep(embeddings(spark, d))
+
+
+@query("density_sweep")
+def density_sweep(spark, d):
+    return clusters.density_sweep(embeddings(spark, d))
+
+
 @query("mtld")
 def mtld(spark, d):
     return rounded(documents(spark, d).select("text_id", lexical.mtld("tokens").alias("MTLD")))

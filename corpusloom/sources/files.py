@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from ..functions.ranges import numbered
 from pyspark.sql import types as Y
 
 #: A bracketed id of eleven characters in a file name.
@@ -39,7 +41,11 @@ def directory_documents(spark: SparkSession, root: str, depth: int = 3) -> DataF
     rel = F.regexp_extract(plain(F.col("_metadata.file_path")), f"/{top}/(.*)$", 1)
     label = F.concat(F.lit("txt_"), F.regexp_replace(F.regexp_replace(rel, r"\.txt$", ""), "/", "__"))
     label = F.when(F.length(label) > 240, F.concat(F.substring(label, 1, 220), F.substring(F.sha2(label.cast("binary"), 256), 1, 16))).otherwise(label)
-    return df.where(F.size(F.split(rel, "/")) - 1 <= depth).select(label.alias("text_id"), rel.alias("source_id"), F.col("value").alias("content"))
+    out = df.where(F.size(F.split(rel, "/")) - 1 <= depth).select(label.alias("text_id"), rel.alias("source_id"), F.col("value").alias("content"))
+    # a label that an earlier path has already gets the number of paths before it
+    again = F.row_number().over(Window.partitionBy("text_id").orderBy("source_id")) > 1
+    out = numbered(out, "i", "source_id").withColumn("again", again)
+    return out.withColumn("text_id", F.when(F.col("again"), F.concat("text_id", F.lit("_"), (F.col("i") - 1).cast("string"))).otherwise(F.col("text_id"))).drop("i", "again")
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
