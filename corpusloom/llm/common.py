@@ -7,6 +7,7 @@ Words are cut on bytes: ``bytes.lower`` touches only A-Z and ``bytes.split`` cut
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -172,7 +173,7 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Cuts lineage by a Parquet table in the shared folder. It outlives lost executors and goes with the session at the latest."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -181,12 +182,18 @@ def stored(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # the write's shuffle files go when it is done
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if reading it again gives the same rows in the same order; stored once if its plan shuffles or is random."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, "settled") if re.search(r"Exchange|\bSample\b|\brand\(|\buuid\(|InArrow|InPandas|PythonUDF|EvalPython", plan) else df
+
+
 def drop_stored(df: DataFrame) -> None:
     """Removes a table made by ``stored`` once nothing reads it."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

@@ -6,9 +6,9 @@ goes to a shard of the index. Shards are runs of ``shard`` tails in an order by
 documents about the same meet: by the nearest of ``CENTROIDS`` points in the plane of the strongest
 ``AXES`` components of BM25 vectors (fitted on about ``SAMPLE`` documents, which only shapes the
 order: every document is indexed), then by *signature* (the weightiest BM25 terms of the whole
-document that some other document holds too). A hash of id and ids breaks ties, so that rows of
-equal or null ids, or of one hot source, spread. Spark's range partitioning cuts that order by
-count. Inverse document frequencies are counted over the whole corpus (at most one number per
+document that some other document holds too). Partitions are ranges of that order, cut at quantiles
+of the sample. A hash of id and ids deals equal places out to all ranges that they fill, so that rows
+of equal or null ids, copies, or one hot source spread. Inverse document frequencies are counted over the whole corpus (at most one number per
 vocabulary entry).
 
 Within a shard, the longest unused tail is the seed. It queries the shard's inverted index with all
@@ -27,8 +27,10 @@ from __future__ import annotations
 import base64
 import json
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -250,8 +252,9 @@ class Weights:
     frequency: np.ndarray
     idf: np.ndarray
     mean: float
-    axes: np.ndarray  # vocabulary x AXES
-    points: np.ndarray  # CENTROIDS x AXES
+    axes: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # vocabulary x AXES
+    points: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # CENTROIDS x AXES
+    cuts: list[tuple[int, int]] = field(default_factory=list)  # (point, signature) where ranges begin
 
     def vector(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms that other documents hold too, heaviest first, and their weights."""
@@ -264,14 +267,21 @@ class Weights:
 
     def place(self, x: np.ndarray) -> tuple[int, int]:
         """Nearest point and signature."""
-        term, gain = self.vector(x)
+        return self.place_of(*self.vector(x))
+
+    def range_of(self, point: int, sig: int, tie: int) -> int:
+        """The range that a place is in; one of those that it fills, by ``tie``."""
+        low, high = (bisect(self.cuts, (point, sig)) for bisect in (bisect_left, bisect_right))
+        return low + tie % (high - low + 1)
+
+    def place_of(self, term: np.ndarray, gain: np.ndarray) -> tuple[int, int]:
         sig = sum((int(t) & ((1 << BITS) - 1)) << BITS * (SIGNATURE - 1 - i) for i, t in enumerate(term[:SIGNATURE]))
         at = gain @ self.axes[term] / max(1e-9, float(np.sqrt(gain @ gain)))
         return int(((self.points - at) ** 2).sum(1).argmin()), sig
 
 
-def fit_order(tokens: DataFrame, w: Weights, n: int) -> None:
-    """Components of a sample's BM25 vectors by subspace iteration, and points among them by k-means."""
+def fit_order(tokens: DataFrame, w: Weights, n: int, ranges: int = 1) -> None:
+    """Components of a sample's BM25 vectors by subspace iteration, points among them by k-means, and where ``ranges`` begin."""
     every = max(1, n // SAMPLE)
     rows = tokens.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(every)) == 0).limit(4 * SAMPLE).select("doc_id", "ids")
 
@@ -306,24 +316,29 @@ def fit_order(tokens: DataFrame, w: Weights, n: int) -> None:
         near = ((at[:, None] - points) ** 2).sum(2).argmin(1)
         points = np.array([at[near == k].mean(0) if (near == k).any() else points[k] for k in range(len(points))])
     w.axes, w.points = axes, points[np.lexsort(points.T[::-1])]
+    places = sorted(w.place_of(t, g) for t, g in vectors)
+    w.cuts = [places[len(places) * k // ranges] for k in range(1, ranges)]
 
 
 def tails(tokens: DataFrame, w: Weights, width: int = WIDTH) -> DataFrame:
-    """Rows point, sig, tie, doc_id, n, start, ids: what whole windows leave of each document, placed by all of it."""
+    """Rows range, point, sig, tie, doc_id, n, start, ids: what whole windows leave of each document, placed by all of it."""
+    names = ["range", "point", "sig", "tie", "doc_id", "n", "start", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "ids"):
-            at, start, left = [], [], []
-            for x in part.column(2).to_pylist():
-                x = np.frombuffer(x, w.kind)
-                at.append(w.place(x))
-                start.append(len(x) // width * width)
-                left.append(x[start[-1] :].tobytes())
-            cols = [pa.array([a[0] for a in at], pa.int32()), pa.array([a[1] for a in at], pa.int64()), part.column(0), part.column(1), pa.array(start, pa.int64()), pa.array(left, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["point", "sig", "doc_id", "n", "start", "ids"])
+            rows = []
+            for d, n, ids in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                start = n // width * width
+                if start == n:
+                    continue
+                x = np.frombuffer(ids, w.kind)
+                point, sig = w.place(x)
+                tie = zlib.crc32(ids, zlib.crc32(str(d).encode()))
+                rows.append((w.range_of(point, sig, tie), point, sig, tie, d, n, start, x[start:].tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "range" else pa.binary() if k == "ids" else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
 
-    out = tokens.mapInArrow(run, "point int, sig long, doc_id long, n long, start long, ids binary").where("length(ids) > 0")
-    return out.select("point", "sig", F.xxhash64("doc_id", "ids").alias("tie"), "doc_id", "n", "start", "ids")
+    return tokens.mapInArrow(run, "range int, point long, sig long, tie long, doc_id long, n long, start long, ids binary")
 
 
 def pack(
@@ -331,12 +346,13 @@ def pack(
 ) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32-bit little-endian)."""
     size, kind = encoder(tokenizer).size, encoder(tokenizer).kind
-    tokens = stored(tokenise(df, id_col, text_col, tokenizer), "tokens", "snappy")
+    tokens = stored(tokenise(df, id_col, text_col, tokenizer), "tokens")
     n, frequency, mean = document_frequencies(tokens, size)
     tokens = tokens.where("counts is null").select("doc_id", "n", "ids")
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-    weights = Weights(kind, frequency, idf, mean, np.zeros((0, 0)), np.zeros((0, 0)))
-    fit_order(tokens, weights, n)
+    ranges = max(1, min(parts_for(df), -(-n // shard)))
+    weights = Weights(kind, frequency, idf, mean)
+    fit_order(tokens, weights, n, ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 40, []
@@ -369,6 +385,5 @@ def pack(
         if held:
             yield packed(True)
 
-    by = stored(tails(tokens, weights, width), "tails", "snappy")  # ranges are found by a pass of their own
-    by = by.repartitionByRange(max(1, min(parts_for(df), -(-n // shard))), "point", "sig", "tie").sortWithinPartitions("point", "sig", "tie", "doc_id", "n")
+    by = tails(tokens, weights, width).repartitionById(ranges, F.col("range")).sortWithinPartitions("point", "sig", "tie", "doc_id", "n")
     return by.select("doc_id", "n", "start", "ids").mapInArrow(run, PIECES).unionAll(whole_windows(tokens, kind, width))
