@@ -8,7 +8,6 @@ packed bytes, and memory is bounded by the size of a part, which shrinks as part
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,16 +114,6 @@ def block_words(table: pa.Table, lower: bool, text: str = "text") -> tuple[np.nd
     return np.concatenate(h), np.concatenate([[0], np.cumsum(counts)])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are stored.
-
-    They go once the JVM has collected their plans; the scheduler keeps the last job's until the next.
-    """
-    gc.collect()
-    spark.range(1).count()
-    spark.sparkContext._jvm.System.gc()
-
-
 def rows(schema: pa.Schema, values: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*values, strict=True)) if values else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

@@ -14,7 +14,12 @@ ranges. A dual traversal drops node pairs whose greatest possible overlap is too
 sets are connected already; what reaches two leaves is verified exactly. So components are exact,
 while groups are never gathered whole and never expanded into all pairs.
 
-Null or empty texts have no shingles and link with nothing; fewer words than a shingle make one.
+Defined results: null or empty texts have no shingles and link with nothing (a component of their
+own id, null for a null id); fewer words than a shingle make one; an empty table gives none. Repeated
+rows each keep their own; a null id never names a group that has another. Ties do not arise: the
+smallest id names a group. Ids must be whole numbers; other columns are unchanged, whatever their
+names. Shingles are told apart by 56 bits within a part of the key space, in counts and in the last
+comparison alike.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, components, drop_stored, mix, steps, stored, window_starts, windows
-from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, part_of, parts_of, release, rows, scatter, small, ungaps, unsmall
+from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, part_of, parts_of, rows, scatter, small, ungaps, unsmall
 
 WORDS = 4
 #: Sets link when DEN * intersection >= NUM * union.
@@ -293,7 +298,6 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
 
     second = stored(cut.groupBy("token", "band", "i", "j").applyInArrow(block, "a long, b long"), "tree")
     drop_stored(rest)
-    release(spark)
     return first.union(second)
 
 
@@ -301,7 +305,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable, itself included)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = candidates(docs, size, num, den)
-    release(df.sparkSession)
     joined = components(links(found, num, den)).select(F.col("id").alias("sid"), "component")
     named = stored(sets(docs, size), "sets")
     own = named.where("n_shingles > 0").join(joined, "sid", "left").select("doc_id", "sid", F.coalesce("component", "sid").alias("root"))

@@ -9,7 +9,13 @@ counts of the rest. The final counts are of all training documents.
 Tokens are A-Z-lower-cased words and an end; the first word's context is an end. Null texts count
 as empty: one end. Counts travel as in ``exchange``: each block of texts asks every part for the
 counts of its own distinct words and bigrams, so all statistics are exact, grow with the corpus
-and never meet in one place. Bigram keys are 48 bits within a part, word keys 64.
+and never meet in one place. Bigram keys are 48 bits within a part, word keys 64: counts of bigrams
+that share a key add up, one in about 2 ** 48 / (distinct bigrams of a part).
+
+Defined results: null and empty texts score their end alone; rows with a null id count as id "" (their
+role is that text's) and keep a null id; repeated rows count as often as they come; an empty table
+gives none, one without training documents gives scores from uniform weights. Ids must be whole
+numbers; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_stored, mix, stored
-from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, part_of, parts_of, release, rows, scatter, small, ungaps, unsmall
+from .common import U64, drop_stored, mix, settled, stored
+from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, part_of, parts_of, rows, scatter, small, ungaps, unsmall
 
 HELD_OUT, DELETED, MODULUS = 1, 0, 5
 BUCKETS = 48
@@ -152,18 +158,16 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     parts = parts_of(spark)
     docs = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % MODULUS).cast("int").alias("role")
+        df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % MODULUS).cast("int").alias("role")
     )
+    docs = settled(docs)  # read twice
     asked = docs.mapInArrow(lambda batches: _ask(batches, parts), _ASK_SQL)
     answers = stored(grouped(asked, "part", _answer, _ANSWER_SQL), "counts")
-    del asked  # its shuffle files can go
     t = answers.where("kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_deleted", "v_rest"))).first().asDict()
-    release(spark)
     tokens = docs.mapInArrow(_tokens, "block string, kind int, at binary, train binary, deleted binary, role binary")
     both = tokens.unionByName(answers.where("kind > 0").select("block", "kind", "at", "train", "deleted", F.lit(None).cast("binary").alias("role")))
     out = stored(grouped(both, "block", _join, "doc_id long, role int, n long, word binary, word_d binary, pair binary, pair_d binary"), "tokens")
     drop_stored(answers)
-    release(spark)
     return out, t
 
 

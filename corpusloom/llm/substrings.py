@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, drop_stored, encoded, mix, steps, stored, window_starts, windows
-from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, offset, part_of, parts_of, release, rows, scatter, small, ungaps, unoffset, unsmall
+from .exchange import block_words, blocks, from_low_bytes, gaps, grouped, low_bytes, offset, part_of, parts_of, rows, scatter, small, ungaps, unoffset, unsmall
 
 K = 13
 #: Words of a stretch that one bucket compacts, so that a long document is dealt out.
@@ -53,7 +53,7 @@ def _ask(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[p
         out = []
         for p, i in scatter(part_of(key, parts), parts):
             own = np.unique(owner[i])
-            out.append((p, low_bytes(key[i], BYTES), gaps(at[i]), offset(doc[own]), text[own].astype("<i4").tobytes(), small(first[own])))
+            out.append((p, low_bytes(key[i], BYTES), gaps(at[i]), offset(doc[own]), text[own].astype("<i8").tobytes(), small(first[own])))
         yield rows(_ASK, out)
 
 
@@ -64,7 +64,7 @@ def _sources(buckets: int):
             at, first = ungaps(r["at"]), unsmall(r["first"])
             own = np.searchsorted(first, at, side="right") - 1
             docs.append(unoffset(r["doc"])[own])
-            texts.append(np.frombuffer(r["text"], "<i4")[own])
+            texts.append(np.frombuffer(r["text"], "<i8")[own])
             pos.append((at - first[own]).astype(np.int32))
         key = from_low_bytes(table["key"].to_pylist(), BYTES)
         order = np.argsort(key, kind="stable")
@@ -103,8 +103,8 @@ def _fragments(_: tuple, table: pa.Table) -> pa.Table:
 
 
 def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).cast("long").alias("k"), text.alias("text"))
+    text = F.coalesce(df[text_col], F.lit(""))
+    return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("k"), text.alias("text"))
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -118,8 +118,6 @@ def repeated_fragments(docs: DataFrame, size: int = K) -> DataFrame:
     asked = docs.select("doc", "k", "text").mapInArrow(lambda b: _ask(b, size, parts), "part int, key binary, at binary, doc binary, text binary, first binary")
     edges = grouped(asked, "part", _sources(buckets), _EDGE_SQL)
     found = stored(grouped(edges, "bucket", _fragments, _FRAGMENT_SQL), "fragments")
-    del asked, edges  # their shuffle files can go
-    release(spark)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
@@ -136,13 +134,11 @@ def repeated_fragments(docs: DataFrame, size: int = K) -> DataFrame:
     wanted = sides.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "edges")).alias("places"))
     made = docs.select("doc", "k", "text").join(wanted, ["doc", "k"]).mapInArrow(digests, "doc long, k long, start long, edges long, digest binary")
     made = stored(made.dropDuplicates(own), "digests")  # equal rows give equal digests
-    release(spark)
     source = made.select(F.col("doc").alias("src_doc"), F.col("k").alias("src_k"), F.col("start").alias("src_start"), "edges", F.col("digest").alias("expected"))
     checked = found.join(made, own).join(source, ["src_doc", "src_k", "src_start", "edges"]).select(*own, "path", "path_edges", (F.col("digest") == F.col("expected")).alias("ok"))
     out = stored(checked, "checked")
     drop_stored(found)
     drop_stored(made)
-    release(spark)
     return out
 
 
