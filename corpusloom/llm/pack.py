@@ -28,6 +28,7 @@ import base64
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -77,13 +78,13 @@ class Encoder:
         with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.added = added
-        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")")
         self.size = max([*ranks.values(), *added.values()]) + 1
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.ordinary = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> list[int]:
-        if self.cut is None or not self.cut.search(text):
+        if not any(x in text for x in self.added):
             return self.ordinary(text)
         out = []
         for x in self.cut.split(text):
@@ -109,16 +110,21 @@ def tokenise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         n, total, held = 0, 0, np.zeros(encode.size, np.int64)
+        width, place = "H" if encode.kind == "<u2" else "I", np.zeros(encode.size, np.int64)
         names = ["doc_id", "n", "ids", "counts"]
         for part in steps(batches, "text", STEP):
-            ids = [np.array([*encode(t or ""), END], encode.kind) for t in part.column(1).to_pylist()]
+            size, ids = [], []
+            for t in part.column(1).to_pylist():
+                own = array(width, encode(t or ""))
+                own.append(END)
+                size.append(len(own))
+                ids.append(own.tobytes())
+                x, at = np.frombuffer(own, encode.kind), np.arange(len(own))
+                place[x] = at
+                held[x[place[x] == at]] += 1  # each id once, at its last place
             n += len(ids)
-            for x in ids:
-                total += len(x)
-                held[np.unique(x)] += 1
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names
-            )
+            total += sum(size)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
         at = np.flatnonzero(held)
         counts = np.column_stack([np.concatenate([[-2, -1], at]), np.concatenate([[total, n], held[at]])]).astype("<i8")
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
