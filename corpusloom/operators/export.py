@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from .records import shards
 from .vectors import top_k
 
 
@@ -58,6 +59,13 @@ def xor_hex(column, key: str):
     return F.when(n > 0, F.array_join(out, "")).otherwise("")
 
 
+def bundle(df: DataFrame, key: str, size: int = 40) -> DataFrame:
+    """Payloads of ``size`` rows each in the order of ``key``: shard, n, first, payload (JSON array), sha256. Without payload, the manifest."""
+    rows = shards(df, key, size).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(key, *(c for c in df.columns if c != key)))).alias("rows"))  # ``size`` each
+    out = rows.select("shard", F.size("rows").cast("long").alias("n"), F.col("rows")[0][key].alias("first"), F.to_json("rows", {"ignoreNullFields": "false"}).alias("payload"))
+    return out.withColumn("sha256", F.sha2(F.col("payload").cast("binary"), 256))
+
+
 def nearest_resolution(variants: DataFrame, target: float = 1.3) -> DataFrame:
     """Rows of the variant whose resolution is nearest to the target; null labels go."""
     best = variants.agg(F.min_by("variant", F.struct(F.abs(F.col("variant") - target), "variant")).alias("variant"))

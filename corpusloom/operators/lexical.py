@@ -233,3 +233,24 @@ def sentiment(scores: DataFrame, edge: float = 0.05) -> DataFrame:
 def words_per_file(files: DataFrame) -> DataFrame:
     """Mean tokens of a text's files that have any."""
     return files.where(F.size("tokens") > 0).groupBy("text_id").agg(F.avg(F.size("tokens")).alias("avg_words_per_video"))
+
+
+def model_score(texts: DataFrame, scorer, name: str, chunk: int = 1024, most: int = 6, chars: int = 24_000) -> DataFrame:
+    """text_id, ``name``: mean of a model's score over at most ``most`` evenly spaced chunks of a text, ``chars`` characters each.
+
+    ``scorer`` takes a list of texts and gives a number for each, or None; it travels to the workers. Null where a text has no chunk.
+    """
+    n = F.size("parts")
+    at = F.when(n <= most, F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.round(i * (n - 1) / max(1, most - 1)).cast("int")))
+    some = texts.select("text_id", T.chunks(F.col("tokens"), chunk).alias("parts"))
+    some = some.select("text_id", F.explode_outer(F.when(n > 0, F.transform(at, lambda i: F.substring(F.get("parts", i), 1, chars)))).alias("part"))
+
+    def run(s: pd.Series) -> pd.Series:
+        known = s.notna()
+        out = pd.Series([None] * len(s), index=s.index, dtype="float64")
+        if known.any():
+            out[known] = [float("nan") if x is None else float(x) for x in scorer(s[known].tolist())]
+        return out
+
+    scored = some.withColumn("x", F.pandas_udf(run, "double")("part"))
+    return scored.groupBy("text_id").agg(F.avg(F.when(~F.isnan("x"), F.col("x"))).alias(name))

@@ -49,6 +49,12 @@ def centroid(vectors: DataFrame, *keys: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vector"))
 
 
+def recent_mean(files: DataFrame, n: int = 10) -> DataFrame:
+    """text_id, vector: mean of each text's last ``n`` file vectors (columns text_id, ord, vector)."""
+    w = Window.partitionBy("text_id").orderBy(F.desc("ord"))
+    return centroid(files.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n), "text_id")
+
+
 def centre_distance(vectors: DataFrame) -> DataFrame:
     """id, 1 less cosine with the mean vector."""
     c = centroid(vectors).withColumnRenamed("vector", "centre")

@@ -15,6 +15,11 @@ from ..operators import lexical
 Builder = Callable[[Column, Column], Column]
 
 
+#: Metrics that read a text many times, and those that need its sentences.
+SLOW = {"MATTR", "MTLD", "compression", "ngram_entropy_2", "ngram_entropy_3", "discussion_commentary_count", "elaboration_explanation_ratio"}
+SENTENCES = {"readability", "average_sentence_length"}
+
+
 def _sets() -> dict[str, list[str]]:
     conj = {f"conjunction_{w}_count": [w] for w in sorted({*W.COORDINATORS, *W.SUBORDINATORS})}
     who = {f"{k}_count": v.split() for k, v in W.INTERROGATIVES.items()}
@@ -112,6 +117,15 @@ def overview_lexicon(lexicon: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def selected(registry: dict[str, Builder], *, metrics: bool = True, counts_only: bool = False, fast: bool = False, external: bool = False) -> list[str]:
+    """Names that a run's flags leave: none without ``metrics``; counts alone; without the slow ones; sentence metrics with external documents alone."""
+    if not metrics:
+        return []
+    names = [n for n in registry if n.endswith("_count") or not counts_only]
+    names = [n for n in names if not (fast and n in SLOW)]
+    return [n for n in names if external or n not in SENTENCES]
+
+
 def measure(texts: DataFrame, names: list[str] | None = None, registry: dict[str, Builder] | None = None, source: str | None = "text") -> DataFrame:
     """Metrics of ``names`` (all by default) for rows with text_id and tokens or ``source``: one projection, no shuffle.
 

@@ -868,6 +868,27 @@ def nearest_resolution(spark, d):
     return export.nearest_resolution(n, 1.3)
 
 
+@query(
+    "recent_mean",
+    f"""WITH e AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 10), x AS (SELECT label, unnest(range(64)) AS d, unnest(v) AS x FROM e)
+SELECT label AS text_id, CAST(d AS INTEGER) AS d, {_r("avg(x)")} AS x FROM x GROUP BY 1, 2""",
+)
+def recent_mean(spark, d):
+    f = table(spark, d, "embeddings").select(F.col("label").alias("text_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return rounded(vectors.recent_mean(f).select("text_id", F.posexplode("vector").alias("d", "x")))
+
+
+@query(
+    "bundle_shards",
+    f"""{TOK}, n AS (SELECT source AS text_id, CAST(sum(len(t)) AS BIGINT) AS n_tokens, count(*) AS n_files FROM tok GROUP BY 1), s AS (SELECT *, (row_number() OVER (ORDER BY text_id) - 1) // 8 AS shard FROM n),
+p AS (SELECT CAST(shard AS BIGINT) AS shard, count(*) AS n, min(text_id) AS first, CAST(to_json(list(struct_pack(text_id := text_id, n_tokens := n_tokens, n_files := n_files) ORDER BY text_id)) AS VARCHAR) AS payload FROM s GROUP BY 1)
+SELECT *, sha256(payload) AS sha256 FROM p""",
+)
+def bundle_shards(spark, d):
+    n = sources(spark, d).groupBy("text_id").agg(F.sum(F.size("tokens")).cast("long").alias("n_tokens"), F.count("*").alias("n_files"))
+    return export.bundle(n, "text_id", 8).withColumn("shard", F.col("shard").cast("long"))
+
+
 # ---------------------------------------------------------------- beyond SQL
 @query("resolution_sweep")
 def resolution_sweep(spark, d):

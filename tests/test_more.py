@@ -142,3 +142,16 @@ def test_entry_without_the_optional_package(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'token_counts' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=env).returncode == 0
+
+
+def test_model_scores_of_evenly_spaced_chunks(spark):
+    df = spark.createDataFrame([("a", [f"t{i}" for i in range(100)]), ("b", []), ("c", ["x"])], "text_id string, tokens array<string>")
+    got = {r.text_id: r.first_token for r in lexical.model_score(df, lambda texts: [float(t.split()[0][1:] or 7) for t in texts], "first_token", chunk=10, most=3).collect()}
+    assert got == {"a": pytest.approx((0 + 40 + 90) / 3, abs=4), "b": None, "c": 7.0}
+
+
+def test_selected_names():
+    names = registry.base_registry()
+    assert registry.selected(names, metrics=False) == []
+    assert all(n.endswith("_count") for n in registry.selected(names, counts_only=True))
+    assert "discussion_commentary_count" not in registry.selected(names, fast=True) and "hedge_count" in registry.selected(names, fast=True)
