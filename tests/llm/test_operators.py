@@ -64,12 +64,12 @@ def test_fingerprint_codes_are_of_their_own_payload():
     assert all((a == b).all() for a, b in zip(together, apart, strict=True))
 
 
-def test_line_dedup(spark, base, docs):
-    got = {r.doc_id: r.text_sha256 for r in run(spark, base, "op2_line_dedup")}
+def _without_later_lines(docs):
+    """Texts without lines that match an earlier one, by comparing all lines that share a shingle."""
     seen, inverted, gone = [], collections.defaultdict(list), collections.defaultdict(set)
     for i, t in sorted(docs.items()):
         for k, line in enumerate(t.split("\n")):
-            w = WORD.findall(line.translate(LOW))
+            w = WORD.findall(line.lower())
             if not w:
                 continue
             s = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
@@ -79,9 +79,13 @@ def test_line_dedup(spark, base, docs):
             for g in s:
                 inverted[g].append(len(seen))
             seen.append(s)
-    for i, t in docs.items():
-        kept = "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone[i])
-        assert got[i] == (None if ODD[i - 1000] is None else hashlib.sha256(kept.encode()).hexdigest()) if i >= 1000 else got[i] == hashlib.sha256(kept.encode()).hexdigest()
+    return {i: "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs.items()}
+
+
+def test_line_dedup(spark, base, docs):
+    got = {r.doc_id: r.text_sha256 for r in run(spark, base, "op2_line_dedup")}
+    for i, kept in _without_later_lines(docs).items():
+        assert got[i] == (None if i >= 1000 and ODD[i - 1000] is None else hashlib.sha256(kept.encode()).hexdigest())
 
 
 def test_language_model(spark, base, docs):
@@ -119,16 +123,18 @@ def test_language_model_score_by_brute_force(spark, base, docs):
     assert a.sum(1) == pytest.approx(np.ones(lm.BUCKETS))
 
 
-def test_packing(spark, base, docs):
+def _check_pieces(docs, pieces):
+    """Each id lies in one piece; sequences have no gaps and little padding."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in docs.items()}
     by, sequences = collections.defaultdict(list), collections.defaultdict(list)
-    for r in run(spark, base, "op4_retrieval_packing"):
+    for r in pieces:
         by[r.doc_id].append(r)
         sequences[r.sequence_id].append(r)
+    assert by.keys() == docs.keys()
     for i, x in ids.items():
         at = 0
         for r in sorted(by[i], key=lambda r: r.start):
@@ -147,32 +153,8 @@ def test_packing(spark, base, docs):
     assert padding <= 2048
 
 
-def test_packing_neighbours_by_brute_force():
-    """A seed's neighbours are taken by falling BM25 over all of its terms, worked out term by term."""
-    rng = np.random.default_rng(6)
-    tails = [np.minimum(rng.zipf(1.3, int(rng.integers(20, 200))), 5000).astype("<u2") for _ in range(60)]
-    idf = rng.uniform(0.1, 3, 5001)
-    mean = sum(map(len, tails)) / len(tails)
-    counts = [collections.Counter(t.tolist()) for t in tails]
-    gain = [{w: idf[w] * n * (pack.K1 + 1) / (n + pack.K1 * (1 - pack.B + pack.B * len(t) / mean)) for w, n in c.items()} for t, c in zip(tails, counts, strict=True)]
-    rest = {d: len(t) for d, t in enumerate(tails)}
-    for sequence in pack.pack_shard(tails, idf, 512):
-        seed, room = sequence[0][0], 512 - sequence[0][2]
-        if sequence[0][1] or len(tails[seed]) != rest[seed]:
-            break  # what was cut before is left of a tail; whole tails suffice here
-        del rest[seed]
-        score = {d: sum(g for w, g in gain[d].items() if w in counts[seed]) for d in rest}
-        want = []
-        for d in sorted((d for d in rest if score[d] > 0), key=lambda d: (-round(score[d], 4), d)):
-            if rest[d] <= room:
-                want.append(d)
-                room -= rest[d]
-        got = [d for d, _, m in sequence[1:] if m == rest[d]]
-        assert got[: len(want)] == want
-        for d, _, m in sequence[1:]:
-            rest[d] -= m
-            if not rest[d]:
-                del rest[d]
+def test_packing(spark, base, docs):
+    _check_pieces(docs, run(spark, base, "op4_retrieval_packing"))
 
 
 def test_packing_prefers_neighbours():
@@ -683,7 +665,9 @@ def test_pipeline(spark, base):
             scored = toxicity.score(docs, toxicity.train_on_labels(docs, spark.read.parquet(f"{base}/labels.parquet")))
             assert after.keys() == {r.doc_id for r in scored.where("score < 0.7").collect()}
         elif name == "line dedup":
-            assert after.keys() == before.keys()
+            want = _without_later_lines({i: t or "" for i, t in before.items()})
+            assert after == {i: None if t is None else want[i] for i, t in before.items()}
+            assert all(r.n_chars is None and r.text is None or r.n_chars == len(r.text) for r in out.collect())
         elif name.startswith("n-gram"):
             groups = _groups({i: t or "" for i, t in before.items()}, 5, 80, 100)
             assert after.keys() == {i for i in before if groups[i][1] == i}
@@ -693,5 +677,4 @@ def test_pipeline(spark, base):
             assert after.keys() == {i for i in before if not hits[i][4]}
             assert all((after[i] == before[i]) == (hits[i][1] == 0) for i in after)
         docs = out
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, base)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+    _check_pieces({r.doc_id: r.text or "" for r in docs.collect()}, corpus_pipeline.STAGES[-1][1](spark, docs, base).withColumn("ids_crc32", F.crc32("ids")).collect())
