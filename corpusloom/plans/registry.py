@@ -60,12 +60,8 @@ def base_registry() -> dict[str, Builder]:
     return out
 
 
-def gaming_registry(patterns: dict[str, list[str]] | None = None, terms: dict[str, list[str]] | None = None) -> dict[str, Builder]:
-    """Niche counts: by rule (a stem counts with any ending, a phrase as its words, a letter as itself) or by list.
-
-    ``patterns`` adds or replaces whole pattern lists by metric name; ``terms`` gives the tables of metrics that count
-    tokens of a large vocabulary (``minecraft_lexicon_density``, ``vehicle_lexicon_density``; 0 where none is given).
-    """
+def gaming_patterns() -> dict[str, list[str]]:
+    """Pattern lists of the niche counts: by rule (a stem with any ending, a word, a phrase), or listed."""
     # Metrics named after the stem that they count, the word, and the phrase.
     stems = (
         "volcano freak handsome easy bridge engineer subscribe chill editor tea blitz pasta bagel reckon sweat rat damage murder dude cheeky spanner wrench "
@@ -78,7 +74,16 @@ def gaming_registry(patterns: dict[str, list[str]] | None = None, terms: dict[st
         "hear_me_out whole_bunch take_care all_right"
     ).split()
     table = {f"{s}_count": [rf"\b{s}\w*\b"] for s in stems} | {f"{w}_count": [rf"\b{w}\b"] for w in words}
-    table |= {f"{p}_count": [r"\b" + p.replace("_", r"\s+") + r"\b"] for p in phrases} | W.GAMING_LISTS | (patterns or {})
+    return table | {f"{p}_count": [r"\b" + p.replace("_", r"\s+") + r"\b"] for p in phrases} | W.GAMING_LISTS
+
+
+def gaming_registry(patterns: dict[str, list[str]] | None = None, terms: dict[str, list[str]] | None = None) -> dict[str, Builder]:
+    """Niche counts: by rule (a stem counts with any ending, a phrase as its words, a letter as itself) or by list.
+
+    ``patterns`` adds or replaces whole pattern lists by metric name; ``terms`` gives the tables of metrics that count
+    tokens of a large vocabulary (``minecraft_lexicon_density``, ``vehicle_lexicon_density``; 0 where none is given).
+    """
+    table = gaming_patterns() | (patterns or {})
     out: dict[str, Builder] = {name: (lambda t, j, p=p: T.pattern_count(j, p)) for name, p in table.items()}
     out["peak_comedy_count"] = lambda t, j: T.pattern_count(j, W.INSULTS) + T.pattern_count(j, W.GAMING_LISTS["bodily_humor"])
     for name, words in ({"minecraft_lexicon_density": [], "vehicle_lexicon_density": []} | (terms or {})).items():

@@ -299,17 +299,19 @@ def gaming_patterns(spark, d):
     return registry.measure(documents(spark, d), [f"{w}_count" for w in (*(g for g in _GAMING if g != "no"), *_GAMING_PHRASES)], registry.gaming_registry())
 
 
-_LISTS = {n: p for n, p in W.GAMING_LISTS.items() if not any("(?<" in x or "(?!" in x for x in p)}
+_AROUND = lambda ps: any("(?<" in p or "(?!" in p for p in ps)
+_GAMING_ALL = {n: p for n, p in registry.gaming_patterns().items() if not _AROUND(p)}
+_GAMING_AROUND = [n for n, p in registry.gaming_patterns().items() if _AROUND(p)] + ["peak_comedy_count"]
 
 
-@query("gaming_lists", f"{ASCII} SELECT text_id, " + ", ".join(f'{_regex_sql(p)} AS "{n}"' for n, p in _LISTS.items()) + " FROM asc_")
-def gaming_lists(spark, d):
-    return registry.measure(documents(spark, d), list(_LISTS), registry.gaming_registry())
+@query("gaming_all", f"{ASCII} SELECT text_id, " + ", ".join(f'{_regex_sql(p)} AS "{n}"' for n, p in _GAMING_ALL.items()) + " FROM asc_")
+def gaming_all(spark, d):
+    return registry.measure(documents(spark, d), list(_GAMING_ALL), registry.gaming_registry())
 
 
-@query("gaming_all")
-def gaming_all(spark, d):
-    return registry.measure(documents(spark, d), None, registry.gaming_registry())
+@query("gaming_lookaround")
+def gaming_lookaround(spark, d):
+    return registry.measure(documents(spark, d), _GAMING_AROUND, registry.gaming_registry())
 
 
 _TERMS = {"minecraft_lexicon_density": ["the", "of"], "vehicle_lexicon_density": ["de", "der", "und"]}
@@ -630,10 +632,19 @@ def listed_sources(spark, d):
     return explore.listed(n, "text_id", "n", "RC1").select("text_id", "n", "place")
 
 
-@query("logistic_fit")
+@query(
+    "logistic_fit",
+    f"""WITH RECURSIVE m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx FROM lineitem),
+p AS (SELECT (l_quantity - mx) / sx AS u, least(1 - 1e-6, greatest(1e-6, (l_extendedprice - lo) / (hi - lo))) AS t FROM lineitem, m),
+r AS (SELECT 0 AS i, 0.0 :: DOUBLE AS w0, 0.0 :: DOUBLE AS w1 UNION ALL
+SELECT i + 1, w0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), w1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+SELECT any_value(i) AS i, any_value(w0) AS w0, any_value(w1) AS w1, sum(t - q) AS g0, sum((t - q) * u) AS g1, sum(q * (1 - q)) + 1e-9 AS h00, sum(q * (1 - q) * u) AS h01, sum(q * (1 - q) * u * u) + 1e-9 AS h11
+FROM (SELECT i, w0, w1, u, t, 1 / (1 + exp(-(w0 + w1 * u))) AS q FROM r, p WHERE i < 25) HAVING count(*) > 0))
+SELECT {_r("lo")} AS low, {_r("hi")} AS high, {_r("w0 - w1 * mx / sx")} AS b0, {_r("w1 / sx")} AS b1 FROM r, m WHERE i = 25""",
+)
 def logistic_fit(spark, d):
     fit = explore.logistic_fit(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
-    return spark.createDataFrame([tuple(float(v) for v in fit.values())], ", ".join(f"{k} double" for k in fit))
+    return rounded(spark.createDataFrame([tuple(float(v) for v in fit.values())], ", ".join(f"{k} double" for k in fit)))
 
 
 _ERF = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t"
@@ -900,7 +911,22 @@ def density_sweep(spark, d):
     return clusters.density_sweep(embeddings(spark, d))
 
 
-@query("mtld")
+_STEP = "CASE WHEN list_contains(a.w, b.w[1]) THEN 0 ELSE 1 END"
+
+
+def _factors(t: str) -> str:
+    """The state after a text: words seen since the last factor, tokens since then, factors."""
+    seen = "CASE WHEN list_contains(a.w, b.w[1]) THEN a.w ELSE list_append(a.w, b.w[1]) END"
+    step = f"CASE WHEN (len(a.w) + {_STEP}) / (a.n + 1) <= 0.72 THEN {{'w': [] :: VARCHAR[], 'n': 0, 'f': a.f + 1}} ELSE {{'w': {seen}, 'n': a.n + 1, 'f': a.f}} END"
+    return f"list_reduce(list_transform({t}, lambda x: {{'w': [x], 'n': 0, 'f': 0.0 :: DOUBLE}}), lambda a, b: {step}, {{'w': [] :: VARCHAR[], 'n': 0, 'f': 0.0 :: DOUBLE}})"
+
+
+def _length(s: str) -> str:
+    f = f"{s}.f + CASE WHEN {s}.n > 0 THEN (1 - len({s}.w) / {s}.n) / (1 - 0.72) ELSE 0 END"
+    return f"len(t) / CASE WHEN {f} = 0 THEN 1 ELSE {f} END"
+
+
+@query("mtld", f"{TOK}, s AS (SELECT text_id, t, {_factors('t')} AS f, {_factors('list_reverse(t)')} AS g FROM tok) SELECT text_id, {_r('CASE WHEN len(t) > 0 THEN (' + _length('f') + ' + ' + _length('g') + ') / 2 ELSE 0 END')} AS \"MTLD\" FROM s")
 def mtld(spark, d):
     return rounded(documents(spark, d).select("text_id", lexical.mtld("tokens").alias("MTLD")))
 
