@@ -275,7 +275,7 @@ greatest(1, len(regexp_extract_all(z, '[aeiouy]+')) - CASE WHEN z LIKE '%e' AND
 SELECT text_id, {_r("CASE WHEN ns > 0 AND nw > 0 THEN 206.835 - 1.015 * (nw / ns) - 84.6 * (sy / nw) ELSE 0 END")} AS readability, {_r("CASE WHEN nf > 0 THEN nw / nf ELSE 0 END")} AS average_sentence_length FROM y""",
 )
 def readability(spark, d):
-    return rounded(lexical.readability(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")))
+    return rounded(lexical.readability(spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("text_id"), "text")))
 
 
 # ---------------------------------------------------------------- niche packs
