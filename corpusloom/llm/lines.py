@@ -1,17 +1,21 @@
 """Line dedup: an exact set-similarity join with DataFrame functions alone.
 
 A line is its set of distinct word shingles (lower-cased words; a line of fewer words is one
-shingle). Shingles are ordered by their first word, rarest first: by how often the word's bucket
-occurs in the whole corpus (``BUCKETS`` counters, so what the plan holds is bounded), then by hash.
-Lines of the same words are one *set*, placed at its first line. Two sets reach the threshold only
-if they share a shingle among the first ``n - ceil(t n) + 1`` of each (prefix filter), their sizes
-are within t (length filter), and enough shingles are left after the shared one (positional filter).
-Candidates are verified by their Jaccard similarity.
+shingle). Lines of the words of an earlier line go first; what is left has one line for each
+sequence of words. Shingles are ordered by the first letter of their first word (``FIRST``, then
+``SECOND``, then others), then by hash, so that most lines give the head of their order to one
+pattern, without their other shingles being built; a line that has too few of them is cut whole.
+Two sets that match share the ``SHARE`` least of their common shingles within the first
+``n - ceil(t n) + SHARE`` of each (prefix filter; all of a smaller set). A line that shares fewer
+with all others goes before any pair is made. Pairs are cut by what is known of both: matching
+sets differ by at most ``(1 - t) / (1 + t)`` of their sizes' sum. The rest is verified by its
+Jaccard similarity, on whole sets.
 
 A line goes if an earlier line (by document id, hash of its text, then line) matches it; earlier
-lines are those of the input, whether they stay or not. So first each set is compared with the
-earliest set of each of its shingles (its *pivot*); what is then unmatched is joined again, with
-the shingles' exact counts as rarity, with the sets that share a shingle of three sets or more.
+lines are those of the input, whether they stay or not. First each line is paired with the first
+line of each of its shingles (its *pivot*), and lines that share a shingle of at most ``SMALL``
+lines with one another. What is then unmatched and shares enough shingles of larger groups is
+joined again, by all its shingles, with their exact counts as rarity.
 
 Defined results: lines without words stay; null texts stay null, empty ones empty; an empty table
 gives an empty one. Ids may be of any type that has an order (whole numbers by value, others as
@@ -23,7 +27,7 @@ removes. A table's other columns, whatever their names, are unchanged. Lines are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -32,20 +36,27 @@ from .common import drop_stored, stored
 SHINGLE = 5
 #: Sets match when DEN * intersection >= NUM * union.
 NUM, DEN = 8, 10
-BUCKETS = 1 << 16
+#: Tokens that two matching sets share in their prefixes at least, if they have so many; two bits hold it.
+SHARE = 3
+#: Sets of a token that are all paired.
+SMALL = 8
+#: First letters that lead the order of shingles, and the places of a line from which they alone are tried first.
+FIRST, SECOND = (("a", "f"), 40), (("a", "o"), 8)
 #: Lines that a side may name for it to be broadcast (about 40 bytes each).
 FEW = 1_000_000
 #: Stand for a missing id: whole numbers, and texts.
 LAST, LAST_TEXT = (1 << 63) - 1, chr(0x10FFFF)
-_BLANK = " \t\n\x0B\f\r"
-_SPACE = r"[ \t\n\x0B\f\r]+"
-#: Bits of a shingle's hash in the order, below its level.
-HASH = 57
+_BLANKS = "\t\x0B\f\r"
+#: Bits of a shingle's hash in the order, below its letter's rank.
+HASH = 61
 
 
-def _words(line: Column) -> Column:
-    """Words of a line; one empty word if it has none."""
-    return F.split(F.btrim(line, F.lit(_BLANK)), _SPACE)
+def _plain(text: Column) -> Column:
+    """Lower case, one blank between words; lines may still begin and end with one."""
+    odd = F.contains(text, F.lit("  "))
+    for c in _BLANKS:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.lower(F.when(odd, F.regexp_replace(text, f"[ {_BLANKS}]+", " ")).otherwise(text))
 
 
 def _row(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -55,48 +66,42 @@ def _row(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [doc.alias("doc"), F.xxhash64(df[text_col]).alias("h")]
 
 
-def word_levels(docs: DataFrame) -> Column:
-    """Logarithm of each word bucket's count over the whole corpus, above the bits of a shingle's hash: a constant array."""
-    w = docs.select(F.explode(F.split(F.lower(F.col("text")), _SPACE)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
-    count = {r.b: r.c for r in w.groupBy("b").agg(F.count("*").alias("c")).collect()}  # at most BUCKETS rows
-    return F.split(F.lit(",".join(str(int(count.get(b, 0)).bit_length() << HASH) for b in range(BUCKETS))), ",").cast("array<bigint>")
-
-
 def _barrier(df: DataFrame, *columns: Column) -> DataFrame:
     """Columns computed once and kept: projections above would copy an expression into each place that names it."""
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def _shingles(hashes: Column) -> Column:
-    """Hashes of a line's shingles, one for each place, from its words' hashes: of two words, of four, of five."""
-    two = lambda a, b: F.xxhash64(a, b)
-
-    def beyond(x: Column, k: int) -> Column:
-        return F.slice(x, F.lit(k + 1), F.greatest(F.size(x) - k, F.lit(0)))
+def _found(line: Column, letters: tuple[str, str] | None = None) -> Column:
+    """Shingles of a plain line of ``SHINGLE`` words or more, one for each place, or those whose first word begins with these letters."""
+    skip, first = (rf"(?:[^{letters[0]}-{letters[1]} ][^ ]* )*+", rf"[{letters[0]}-{letters[1]}][^ ]*") if letters else ("", "[^ ]+")
+    return F.regexp_extract_all(line, F.lit(rf"\G{skip}(?=({first}{' [^ ]+' * (SHINGLE - 1)}))[^ ]+ "), F.lit(1))
 
-    def four(pairs: Column) -> Column:
-        return F.zip_with(F.zip_with(pairs, beyond(pairs, 2), two), beyond(hashes, 4), two)
 
-    every = F.transform(F.array(F.zip_with(hashes, beyond(hashes, 1), two)), four)[0]  # the last ones run out of words
-    return F.slice(every, F.lit(1), F.greatest(F.size(hashes) - (SHINGLE - 1), F.lit(1)))
+def _tokens(found: Column) -> Column:
+    """Shingles as numbers in the order: by the rank of their first letter, then by hash."""
 
+    def one(s: Column) -> Column:
+        rank = F.when((s >= FIRST[0][0]) & (s < chr(ord(FIRST[0][1]) + 1)), F.lit(0)).when((s >= SECOND[0][0]) & (s < chr(ord(SECOND[0][1]) + 1)), F.lit(1 << HASH)).otherwise(F.lit(2 << HASH))
+        return F.shiftrightunsigned(F.xxhash64(s), 64 - HASH).bitwiseOR(rank.cast("long"))
 
-def _hashed(lines: DataFrame, *names: Column) -> DataFrame:
-    """Column ``raw`` as its words' hashes, and ``k1``, ``k2``: what names these words."""
-    one = _barrier(lines, *names, _words(F.lower("raw")).alias("w"))
-    keys = [F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(SHINGLE), "w").alias("k2"), (F.get("w", F.lit(0)) == "").alias("blank")]
-    return _barrier(one, *names, *keys, F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
+    return F.array_distinct(F.transform(found, one))
 
 
-def _prefixes(docs: DataFrame, level: Column) -> DataFrame:
-    """Rows doc, h, number, k1, k2, n (distinct shingles), prefix (of them, in order; null for a line without words)."""
-    name = [F.col(c) for c in ("doc", "h", "number")]
-    one = _hashed(docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("number", "raw")), *name)
-    rank = lambda t, w: F.get(level, w.bitwiseAND(BUCKETS - 1)).bitwiseOR(F.shiftrightunsigned(t, 64 - HASH))
-    shingles = F.transform(F.array(_shingles(F.col("hashes"))), lambda t: F.zip_with(t, F.slice("hashes", F.lit(1), F.size(t)), rank))[0]
-    one = _barrier(one, *name, F.col("k1"), F.col("k2"), F.when(~F.col("blank"), F.sort_array(F.array_distinct(shingles))).alias("all"))
-    n = F.size("all")
-    return one.select("doc", "h", "number", "k1", "k2", n.alias("n"), F.slice("all", F.lit(1), _reach(n)).alias("prefix"))
+def _prefixes(lines: DataFrame) -> DataFrame:
+    """Rows sid, doc, h, number, m (places), end, known (tokens up to ``end``, in order) of plain lines ``raw`` of ``SHINGLE`` words or more."""
+    name = [F.col(c) for c in ("doc", "h", "number", "raw", "m", "k")]
+    places = F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" "), F.lit(""))) - (SHINGLE - 2)
+    one = _barrier(lines, *name[:4], places.alias("m")).where("m > 0").withColumn("k", _reach(F.col("m")) - 1 + SHARE)
+    # distinct shingles are m at most, so k are enough; all shingles of lower rank are known if k of them are found
+    enough = lambda a: F.size(a) >= F.col("k")
+    one = _barrier(one, *name, F.when(F.col("m") >= FIRST[1], _tokens(_found(F.col("raw"), FIRST[0]))).alias("a"))
+    second = F.when(~F.coalesce(enough("a"), F.lit(False)) & (F.col("m") >= SECOND[1]), _tokens(_found(F.col("raw"), SECOND[0])))
+    one = _barrier(one, *name, F.col("a"), second.alias("b"))
+    end = F.when(enough("a"), F.lit((1 << HASH) - 1)).when(enough("b"), F.lit((2 << HASH) - 1)).otherwise(F.lit(LAST))
+    known = F.when(enough("a"), F.col("a")).when(enough("b"), F.col("b")).otherwise(_tokens(_found(F.col("raw"))))
+    one = _barrier(one, *name[:3], F.col("m"), end.alias("end"), F.sort_array(known).alias("known"))
+    sid = F.shiftleft(F.monotonically_increasing_id(), 2).bitwiseOR(F.least(F.size("known"), F.lit(SHARE)).cast("long"))
+    return one.select(sid.alias("sid"), "doc", "h", "number", "m", "end", "known")
 
 
 def _reach(n: Column) -> Column:
@@ -116,65 +121,102 @@ def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     return stored(both.where(left * (NUM + DEN) >= (F.col("n") + F.col("a_n")) * NUM).select("sid", "a_sid").distinct(), "pairs")
 
 
+def _alike(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of these pairs whose known tokens, as far as both are known, differ by no more than matching sets may."""
+    x = lines.select("sid", "m", "end", "known")
+    y = x.select(*(F.col(c).alias(f"a_{c}") for c in x.columns))
+    both = found.join(x, "sid").join(y, "a_sid").select("sid", "a_sid", (F.col("m") + F.col("a_m")).alias("m"), "end", "a_end", "known", "a_known")
+    cut = lambda c, own, other: F.when(F.col(own) > F.col(other), F.size(F.filter(c, lambda t: t <= F.col(other)))).otherwise(F.size(c))
+    apart = cut("known", "end", "a_end") + cut("a_known", "a_end", "end") - F.size(F.array_intersect("known", "a_known")) * 2
+    out = stored(both.where(apart * (DEN + NUM) <= F.col("m") * (DEN - NUM)).select("sid", "a_sid"), "alike")
+    drop_stored(found)
+    return out
+
+
 def _matched(found: DataFrame, sets: DataFrame) -> DataFrame:
     """The later sets of those of these pairs that match."""
     sets = sets.select("sid", "head", "set")
     y = sets.select(F.col("sid").alias("a_sid"), F.col("head").alias("a_head"), F.col("set").alias("a_set"))
-    both = found.join(sets, "sid").join(y, "a_sid").withColumn("i", F.size(F.array_intersect("set", "a_set")))
+    both = found.join(sets, "sid").join(y, "a_sid").where((F.size("set") * DEN >= F.size("a_set") * NUM) & (F.size("a_set") * DEN >= F.size("set") * NUM))
+    both = both.withColumn("i", F.size(F.array_intersect("set", "a_set")))
     both = both.where(F.col("i") * DEN >= (F.size("set") + F.size("a_set") - F.col("i")) * NUM)
     out = stored(both.select(F.when(F.col("a_head") < F.col("head"), F.col("sid")).otherwise(F.col("a_sid")).alias("sid")).distinct(), "matched")
     drop_stored(found)
     return out
 
 
+def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows doc, h, numbers: lines whose words are those of an earlier one; and ``docs`` with equal rows once."""
+    place, key = F.struct("doc", "h", "number"), ["k1", "k2"]
+    lines = docs.select("doc", "h", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("number", "raw")).withColumn("raw", F.btrim("raw"))
+    lines = stored(lines.select("doc", "h", "number", (F.col("raw") != "").alias("some"), F.xxhash64("raw").alias("k1"), F.xxhash64(F.lit(SHINGLE), "raw").alias("k2")), "lines")
+    many = lines.where("some").groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key)
+    twice = stored(lines.where("some").join(many.hint("shuffle_hash"), key), "twice")
+    heads = twice.groupBy(key).agg(F.min(place).alias("head"))
+    again = twice.join(heads, key).where(place > F.col("head"))
+    again = stored(again.groupBy("doc", "h").agg(F.collect_set("number").alias("numbers")), "again")  # bounded by a document's lines
+    rows = stored(lines.where("number = 0").groupBy("doc", "h").agg(F.count("*").alias("c")).where("c > 1").select("doc", "h"), "rows")
+    drop_stored(lines)
+    drop_stored(twice)
+    if rows.isEmpty():
+        return again, docs
+    return again, docs.join(rows, ["doc", "h"], "left_anti").unionByName(docs.join(rows, ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"]))
+
+
 def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc, h (what names a row), numbers (sorted array): the lines that go. A stored table."""
     docs = df.select(*_row(df, id_col, text_col), F.col(text_col).alias("text")).where("text is not null")
-    place = F.struct("doc", "h", "number")
-    lines = stored(_prefixes(docs, word_levels(docs)), "lines").where("prefix is not null")
-    heads = lines.groupBy("k1", "k2").agg(F.min(place).alias("head"), F.count("*").alias("lines"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    heads = stored(heads.withColumn("sid", F.monotonically_increasing_id()), "heads")  # the ids are fixed by the write
-    again = lines.join(heads.where("lines > 1").select("k1", "k2", "head"), ["k1", "k2"]).where(place > F.col("head")).select("doc", "h", "number")
-    again = stored(again, "again")
-    drop_stored(lines)
-
-    posts = heads.select("sid", F.posexplode("prefix").alias("pos", "token"))
-    many = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    twice = stored(posts.join(many.hint("shuffle_hash"), "token"), "twice")
-    light = stored(heads.select("sid", "n", "head"), "places")
+    again, docs = _copies(docs)
+    side = F.broadcast(again) if _few(again, "numbers") else again
+    one = docs.join(side, ["doc", "h"], "left")
+    one = _barrier(one, F.col("doc"), F.col("h"), F.split(_plain(F.col("text")), "\n").alias("all"), F.col("numbers"))
+    every = F.sequence(F.lit(0), F.size("all") - 1)
+    one = _barrier(one, F.col("doc"), F.col("h"), F.col("all"), F.when(F.col("numbers").isNull(), every).otherwise(F.array_except(every, "numbers")).alias("kept"))
+    rows = F.transform("kept", lambda i: F.struct(i.alias("number"), F.btrim(F.get("all", i)).alias("raw")))
+    heads = stored(_prefixes(one.select("doc", "h", F.inline(rows))), "heads")  # the ids are fixed by the write
+
+    # a set with a match shares SHARE tokens of its prefix with it; the others go before any pair is made
+    token, line = Window.partitionBy("token"), Window.partitionBy("sid")
+    posts = heads.select("sid", F.explode(F.slice("known", F.lit(1), _reach(F.col("m")) - 1 + SHARE)).alias("token"))
+    shared = stored(posts.withColumn("c", F.count("*").over(token)).where("c > 1").select("sid", "token"), "shared")
+    live = shared.withColumn("c", F.count("*").over(line)).where(F.col("c") >= F.col("sid").bitwiseAND(3)).select("sid", "token")
+    live = stored(live, "live")
+    drop_stored(shared)
+    light = heads.select("sid", F.struct("doc", "h", "number").alias("head"), "m", "end", "known").join(live.select("sid").distinct(), "sid")
+    light = stored(light, "places")
     drop_stored(heads)
     heads = light
+    pivoted = live.withColumn("c", F.count("*").over(token)).withColumn("least", F.min("sid").over(token)).where("c > 1")
+    pivoted = stored(pivoted, "pivoted")
+    drop_stored(live)
+    small = pivoted.where(F.col("c").between(3, SMALL) & (F.col("sid") > F.col("least"))).select("token", "sid")
+    small = small.join(small.select("token", F.col("sid").alias("a_sid")), "token").where("sid > a_sid").select("sid", "a_sid")
+    found = pivoted.where("sid <> least").select("sid", F.col("least").alias("a_sid")).union(small).distinct()
+    found = _alike(stored(found, "pairs"), heads)
+    # any other pair shares SHARE tokens of larger groups that an earlier set has too
+    others = pivoted.where((F.col("c") > max(SMALL, 2)) & (F.col("sid") > F.col("least"))).select("sid", "token").withColumn("c", F.count("*").over(line)).where(F.col("c") >= F.col("sid").bitwiseAND(3))
+    others = stored(others.withColumn("c", F.count("*").over(token)).where("c > 1").select("sid", "token"), "others")
+    drop_stored(pivoted)
 
-    # near the order of places; any order gives the same result, this one leaves least to the second join
-    number = F.least(F.col("head.number"), F.lit((1 << 20) - 1)).cast("long")
-    doc = F.col("head.doc") if dict(heads.select("head.doc").dtypes)["doc"] == "bigint" else F.xxhash64("head.doc")
-    order = F.shiftleft(doc.bitwiseAND(F.lit((1 << 43) - 1)), 20).bitwiseOR(number)
-    shared = stored(twice.join(heads.select("sid", "n", order.alias("ord")), "sid"), "shared")
-    drop_stored(twice)
-    least = shared.groupBy("token").agg(F.min("ord").alias("least"))
-    pivoted = stored(shared.join(least, "token"), "pivoted")
-    drop_stored(shared)
-    found = _candidates(pivoted, pivoted.where("ord = least"))
-
-    # whole sets of what these pairs and the second join may need, cut from the texts that they are in
-    some = found.select("sid").union(found.select("a_sid")).union(pivoted.where("c > 2").select("sid")).distinct()
+    # whole sets of these lines, cut from the texts that they are in
+    some = found.select("sid").union(found.select("a_sid")).union(others.select("sid")).distinct()
     wanted = heads.select("sid", "head").join(some, "sid").groupBy("head.doc", "head.h").agg(F.collect_list(F.struct("head.number", "sid")).alias("wanted"))
     wanted = stored(wanted, "wanted")  # a row is bounded by a document's lines
     side = F.broadcast(wanted) if _few(wanted, "wanted") else wanted
-    one = docs.join(side, ["doc", "h"]).select("doc", "h", F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
-    one = one.select(F.col("x.sid").alias("sid"), F.struct("doc", "h", "x.number").alias("head"), F.get("all", F.col("x.number")).alias("raw"))
-    one = _hashed(one, F.col("sid"), F.col("head"))
-    sets = stored(one.select("sid", "head", F.array_distinct(_shingles(F.col("hashes"))).alias("set")), "sets")  # repeated rows repeat their sets, which changes nothing below
+    one = _barrier(docs.join(side, ["doc", "h"]), F.col("doc"), F.col("h"), F.split(_plain(F.col("text")), "\n").alias("all"), F.col("wanted"))
+    cut = F.transform("wanted", lambda x: F.struct(x["sid"].alias("sid"), x["number"].alias("number"), F.btrim(F.get("all", x["number"])).alias("raw")))
+    one = one.select("doc", "h", F.inline(cut)).select("sid", F.struct("doc", "h", "number").alias("head"), "raw")
+    sets = stored(one.select("sid", "head", F.array_distinct(F.transform(_found(F.col("raw")), lambda t: F.xxhash64(t))).alias("set")), "sets")
     drop_stored(wanted)
     first = _matched(found, sets)
 
-    # All pairs with a pivot are settled. Others share a token of three sets or more and are joined by the
-    # shingles' own counts: a hot group's shingles come last, and what sets its lines apart first.
-    tokens = pivoted.where("c > 2 and ord > least").join(first, "sid", "left_anti").select("token").distinct()
-    some = sets.join(pivoted.join(tokens, "token", "left_semi").select("sid").distinct(), "sid", "left_semi")
+    # All pairs with a pivot or a token of few sets are settled. The others are joined by the shingles' own counts: a hot group's
+    # shingles come last, and what sets its lines apart first.
+    tokens = others.join(first, "sid", "left_anti").select("token").distinct()
+    some = sets.join(others.join(tokens, "token", "left_semi").select("sid").distinct(), "sid", "left_semi")
     some = stored(some.select("sid", F.size("set").alias("n"), "head", "set"), "some")
     drop_stored(sets)
-    drop_stored(pivoted)
+    drop_stored(others)
     each = some.select("sid", "n", F.explode("set").alias("token"))
     common = each.join(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").hint("shuffle_hash"), "token")
     own = common.groupBy("sid", "n").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))  # bounded by a line
@@ -184,7 +226,7 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     short = stored(short.select("sid", "n", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "short")
     second = _matched(_candidates(short.join(first, "sid", "left_anti"), short), some)
     near = heads.join(first.union(second), "sid", "left_semi").select("head.*")
-    out = stored(again.union(near).groupBy("doc", "h").agg(F.array_sort(F.collect_set("number")).alias("numbers")), "later")  # bounded by a document's lines
+    out = stored(again.select("doc", "h", F.explode("numbers").alias("number")).union(near).groupBy("doc", "h").agg(F.array_sort(F.collect_set("number")).alias("numbers")), "later")  # bounded by a document's lines
     for t in (heads, again, first, some, short, second):
         drop_stored(t)
     return out

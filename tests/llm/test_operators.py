@@ -653,6 +653,48 @@ def test_lines_of_near_copies(spark):
     assert got == {1: text, 2: "own words of two are here", 3: "short", None: ""}
 
 
+def test_lines_of_any_order_and_group(spark):
+    """Lines of leading letters, of others and of other scripts, repeated words, odd blanks, groups of more sets than are all paired."""
+    rng = np.random.default_rng(4)
+    letters = ["abcdef", "ghijklmno", "pqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", "\u0430\u0431\u0432\u0433"]
+    passage = " ".join(f"b{i}" for i in range(30))
+    docs, n = {}, 0
+    for k in range(60):
+        own = ["".join(rng.choice(list(letters[k % 5]), 4)) for _ in range(int(rng.integers(5, 90)))]
+        if k % 7 == 0:
+            own = own[:3] * (len(own) // 3 + 1)
+        for copy in range(int(rng.integers(1, 14))):
+            words = [w.upper() if rng.random() < 0.1 else w for w in own]
+            for at in rng.integers(0, len(words), int(rng.integers(0, 3))):
+                words[at] = f"x{rng.integers(9)}"
+            line = "".join(w + str(rng.choice([" ", "  ", "\t", " \r", "\x0b"], p=[0.9, 0.04, 0.02, 0.02, 0.02])) for w in words)
+            docs[n], n = f" {line}\n{passage} {' '.join(words[: 4 + copy])}", n + 1
+    rows = [(int(i), docs[i]) for i in rng.permutation(n)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = _without_later_lines(docs)
+    assert got == want and 100 < sum(w != docs[i] for i, w in want.items()) < n
+
+
+def test_lines_alike_in_part_need_no_whole_sets(spark, monkeypatch):
+    """Lines that differ too much on the shingles known by their first letters go before their whole sets are built."""
+    built = {}
+
+    def counted(df, name="t"):
+        out = common.stored(df, name)
+        built[name] = built.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stored", counted)
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"{chr(97 + i % 26)}{i}" for i in rng.integers(0, 208, n)]
+    half = [" ".join(common_part + words(80)) for common_part in [words(40) for _ in range(20)] for _ in range(2)]
+    near = [" ".join(["y"] * copy + line) for line in [words(60)] for copy in range(2)]
+    rows = list(enumerate(half + near))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {41: ""}
+    assert built["sets"] == 2
+
+
 def test_pipeline(spark, base):
     docs = spark.read.parquet(f"{base}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
