@@ -15,7 +15,10 @@ A line goes if an earlier line (by document id, hash of its text, then line) mat
 lines are those of the input, whether they stay or not. First each line is paired with the first
 line of each of its shingles (its *pivot*), and lines that share a shingle of at most ``SMALL``
 lines with one another. What is then unmatched and shares enough shingles of larger groups is
-joined again, by all its shingles, with their exact counts as rarity.
+joined again, by all its shingles, with their exact counts as rarity. There, too, a group of more
+than ``SMALL`` is not paired within itself: its lines are compared with its first line and then
+joined by what sets them apart from it (``_apart``), so that a group of near copies costs by its
+lines and not by their square.
 
 Defined results: lines without words stay; null texts stay null, empty ones empty; an empty table
 gives an empty one. Ids may be of any type that has an order (whole numbers by value, others as
@@ -40,6 +43,8 @@ NUM, DEN = 8, 10
 SHARE = 3
 #: Sets of a token that are all paired.
 SMALL = 8
+#: Times that lines far from the first of their group are given another first.
+ROUNDS = 8
 #: First letters that lead the order of shingles, and the places of a line from which they alone are tried first.
 FIRST, SECOND = (("a", "f"), 40), (("a", "o"), 8)
 #: Lines that a side may name for it to be broadcast (about 40 bytes each).
@@ -113,12 +118,98 @@ def _few(df: DataFrame, column: str) -> bool:
     return (df.agg(F.sum(F.size(column))).first()[0] or 0) <= FEW
 
 
+def _sized() -> Column:
+    return (F.col("n") * DEN >= F.col("a_n") * NUM) & (F.col("a_n") * DEN >= F.col("n") * NUM)
+
+
 def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pairs sid, a_sid that share a token and pass the length and positional filters."""
     a = earlier.select("token", *(F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos")))
-    both = later.join(a, "token").where("sid <> a_sid").where((F.col("n") * DEN >= F.col("a_n") * NUM) & (F.col("a_n") * DEN >= F.col("n") * NUM))
+    both = later.join(a, "token").where("sid <> a_sid").where(_sized())
     left = F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
-    return stored(both.where(left * (NUM + DEN) >= (F.col("n") + F.col("a_n")) * NUM).select("sid", "a_sid").distinct(), "pairs")
+    return both.where(left * (NUM + DEN) >= (F.col("n") + F.col("a_n")) * NUM).select("sid", "a_sid")
+
+
+def _live(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """``df`` with ``live``: its set is not among those that go already."""
+    return df.join(gone.distinct().withColumn("was", F.lit(True)), "sid", "left").withColumn("live", F.col("was").isNull()).drop("was")
+
+
+def _deltas(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows sid, q, n, q_n, head, live, m, match, far, d of pairs (sid, q): d holds the m tokens in which a set and that of q differ.
+
+    d is null where the set holds less than half of q's, so that it is never much larger than the
+    set. ``far`` holds for those, and for sets that may match one of them: matching sets a, b have
+    ``|q - b| <= |q - a| + |a - b|``, so both have a d or both are far.
+    """
+    y = sets.select(F.col("sid").alias("q"), F.col("n").alias("q_n"), F.col("set").alias("q_set"))
+    both = pairs.join(sets, "sid").join(y, "q")
+    name = [F.col(c) for c in ("sid", "q", "n", "q_n", "head", "live")]
+    one = _barrier(both, *name, F.array_except("set", "q_set").alias("own"), F.array_except("q_set", "set").alias("lack"))
+    m = F.size("own") + F.size("lack")
+    match = m * (DEN + NUM) <= (F.col("n") + F.col("q_n")) * (DEN - NUM)
+    far = F.size("lack") * 2 > F.col("q_n") - _most(F.col("n")) * 2
+    return one.select(*name, m.alias("m"), match.alias("match"), far.alias("far"), F.when(F.size("lack") * 2 <= F.col("q_n"), F.concat("own", "lack")).alias("d"))
+
+
+def _most(n: Column) -> Column:
+    """Tokens in which a set of n and one that matches it differ, at most."""
+    return F.floor(n * (DEN - NUM) / NUM).cast("int")
+
+
+def _apart(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs sid, a_sid that may match by their deltas from one q, the later of them live; and the table that they are read from.
+
+    With a and b the deltas, sets differ in ``|a| + |b| - 2 |a & b|`` tokens. A live set does not
+    match q, which is earlier, so matching sets share tokens of their deltas; the smaller delta
+    lacks at most half of the tokens in which the sets differ, the larger all of them, and one
+    that is not live less than half of its own (prefix filter on deltas, rarest tokens first).
+    """
+    name, both = ["sid", "q", "n", "q_n", "m", "head", "live"], DEN + NUM
+    each = deltas.where("d is not null").select(*name, F.explode("d").alias("token"))
+    common = each.groupBy("q", "token").agg(F.count("*").alias("c"), F.max("live").alias("any")).where("c > 1 and any").select("q", "token", "c")
+    own = each.join(common, ["q", "token"]).groupBy(*name).agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))  # bounded by a line and q
+    alone, m, most = F.col("m") - F.size("own"), F.col("m"), _most(F.col("n"))
+    least = F.ceil((m * both + (F.col("q_n") - F.col("n")) * (DEN - NUM) + 1) / (2 * both)).cast("int")  # shared with a live set
+    reach = lambda k: F.when(F.col("live"), k + 1).otherwise(F.least(k, m - least) + 1)
+    own = own.withColumn("alone", alone).withColumn("probe", reach(most)).withColumn("index", reach(F.floor(most / 2).cast("int")))
+    own = own.where("probe > alone").select(*name, "alone", "index", F.posexplode(F.slice("own", F.lit(1), F.col("probe") - F.col("alone"))).alias("at", "x"))
+    posts = stored(own.select(*name, (F.col("alone") + F.col("at")).alias("pos"), "index", "x.token"), "posts")
+    a = posts.where("pos < index").select("q", "token", *(F.col(c).alias(f"a_{c}") for c in ("sid", "n", "m", "head", "live", "pos")))
+    pairs = posts.join(a, ["q", "token"]).where((F.col("m") > F.col("a_m")) | (F.col("m") == F.col("a_m")) & (F.col("sid") > F.col("a_sid"))).where(_sized())
+    pairs = pairs.where(F.when(F.col("a_head") < F.col("head"), F.col("live")).otherwise(F.col("a_live")))
+    left = F.least(m - F.col("pos"), F.col("a_m") - F.col("a_pos"))
+    return pairs.where(left * (2 * both) >= (m + F.col("a_m")) * both - (F.col("n") + F.col("a_n")) * (DEN - NUM)).select("sid", "a_sid"), posts
+
+
+def _settled(short: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """``gone`` and the later sets that match another by the tokens of their prefixes (rows sid, n, head, pos, token)."""
+    found, tables, rest, most = [], [], short, short.count() * SMALL
+    for turn in range(1, ROUNDS + 1):
+        rest = _live(rest, gone)
+        group = rest.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("head", "sid"))["sid"].alias("q"), F.max("live").alias("any"))
+        dealt = stored(rest.join(group.where("c > 1 and any").drop("any"), "token"), "dealt")
+        large = dealt.where(F.col("c") > SMALL)
+        deltas = stored(_deltas(large.where("sid <> q").select("sid", "q", "live").distinct(), sets), "deltas")
+        gone = gone.union(deltas.where("live and match").select("sid"))
+        pairs, posts = _apart(_live(deltas.drop("live"), gone))
+        small = dealt.where(F.col("c") <= SMALL)
+        found += [pairs, _candidates(small.join(gone, "sid", "left_anti"), small)]
+        tables += [dealt, deltas, posts]
+        rest = large.join(deltas.where("far").select("sid", "q"), ["sid", "q"], "left_semi").select("sid", "n", "head", "pos", "token")
+        square = rest.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+        if square <= most or turn == ROUNDS:  # no more than ``SMALL`` for each row of ``short``, or lines that no first line is near to
+            if square:
+                found.append(_candidates(rest.join(gone, "sid", "left_anti"), rest))
+            break
+    pairs = found[0]
+    for x in found[1:]:
+        pairs = pairs.union(x)
+    last = _matched(stored(pairs.distinct(), "pairs"), sets)
+    out = stored(gone.union(last).distinct(), "gone")
+    for t in (*tables, last):
+        drop_stored(t)
+    return out
 
 
 def _alike(found: DataFrame, lines: DataFrame) -> DataFrame:
@@ -217,17 +308,17 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     some = stored(some.select("sid", F.size("set").alias("n"), "head", "set"), "some")
     drop_stored(sets)
     drop_stored(others)
-    each = some.select("sid", "n", F.explode("set").alias("token"))
+    each = some.select("sid", F.explode("set").alias("token"))
     common = each.join(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").hint("shuffle_hash"), "token")
-    own = common.groupBy("sid", "n").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))  # bounded by a line
+    own = common.groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own")).join(some.drop("set"), "sid")  # bounded by a line
     alone = F.col("n") - F.size("own")
     reach = (_reach(F.col("n")) - alone).cast("int")
-    short = own.where(reach > 0).select("sid", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), reach)).alias("at", "x"))
-    short = stored(short.select("sid", "n", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "short")
-    second = _matched(_candidates(short.join(first, "sid", "left_anti"), short), some)
-    near = heads.join(first.union(second), "sid", "left_semi").select("head.*")
+    short = own.where(reach > 0).select("sid", "n", "head", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), reach)).alias("at", "x"))
+    short = stored(short.select("sid", "n", "head", (F.col("alone") + F.col("at")).alias("pos"), "x.token"), "short")
+    gone = _settled(short, some, first)
+    near = heads.join(gone, "sid", "left_semi").select("head.*")
     out = stored(again.select("doc", "h", F.explode("numbers").alias("number")).union(near).groupBy("doc", "h").agg(F.array_sort(F.collect_set("number")).alias("numbers")), "later")  # bounded by a document's lines
-    for t in (heads, again, first, some, short, second):
+    for t in (heads, again, first, some, short, gone):
         drop_stored(t)
     return out
 

@@ -695,6 +695,58 @@ def test_lines_alike_in_part_need_no_whole_sets(spark, monkeypatch):
     assert built["sets"] == 2
 
 
+def _edited(rng, words, edits, fresh):
+    words = list(words)
+    for at in rng.integers(0, len(words), edits):
+        words[at] = f"{chr(97 + int(rng.integers(26)))}{rng.integers(fresh)}"
+    return words
+
+
+def test_lines_of_a_group_are_not_paired_by_its_square(spark, monkeypatch):
+    """Lines that each lack another passage of one text: four times the lines give far from 16 times the pairs."""
+    made = []
+
+    def counted(df, name="t"):
+        out = common.stored(df, name)
+        if name == "pairs":
+            made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stored", counted)
+    rng = np.random.default_rng(8)
+    whole = [f"{chr(97 + int(rng.integers(26)))}{i}" for i in range(120)]
+    for size in (100, 400):
+        docs = {0: " ".join(whole)}
+        for i in range(1, size):
+            at = int(rng.integers(0, 90))
+            docs[i] = " ".join(whole[:at] + whole[at + int(rng.integers(24, 30)) :])
+        made.append(0)
+        got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+        assert got == _without_later_lines(docs)
+    assert 0 < made[1] <= 8 * made[0]
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 8])
+def test_lines_of_groups_within_groups(spark, monkeypatch, rounds):
+    """Groups of short and long lines that share a passage, each with groups of its own, ids against the order of rows: by brute force."""
+    monkeypatch.setattr(lines, "SMALL", 2)
+    monkeypatch.setattr(lines, "ROUNDS", rounds)
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"{chr(97 + int(i) % 26)}{i}" for i in rng.integers(0, 10**5, n)]
+    docs = {}
+    for _ in range(6):
+        passage = words(int(rng.integers(6, 40)))
+        for _ in range(5):
+            kind = passage + words(int(rng.integers(0, 60)))
+            for _ in range(int(rng.integers(2, 25))):
+                docs[len(docs)] = " ".join(_edited(rng, kind, int(rng.integers(0, 4)), 30))
+    ids = rng.permutation(len(docs))
+    docs = {int(i): t for i, t in zip(ids, docs.values(), strict=True)}
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()}
+    want = _without_later_lines(docs)
+    assert got == want and len(docs) / 5 < sum(w == "" for w in want.values()) < len(docs)
+
+
 def test_pipeline(spark, base):
     docs = spark.read.parquet(f"{base}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
