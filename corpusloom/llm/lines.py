@@ -167,8 +167,9 @@ def _apart(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     name, both = ["sid", "q", "n", "q_n", "m", "head", "live"], DEN + NUM
     each = deltas.where("d is not null").select(*name, F.explode("d").alias("token"))
-    common = each.groupBy("q", "token").agg(F.count("*").alias("c"), F.max("live").alias("any")).where("c > 1 and any").select("q", "token", "c")
-    own = each.join(common, ["q", "token"]).groupBy(*name).agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))  # bounded by a line and q
+    token = Window.partitionBy("q", "token")
+    common = each.withColumn("c", F.count("*").over(token)).withColumn("any", F.max("live").over(token)).where("c > 1 and any")
+    own = common.groupBy(*name).agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("own"))  # bounded by a line and q
     alone, m, most = F.col("m") - F.size("own"), F.col("m"), _most(F.col("n"))
     least = F.ceil((m * both + (F.col("q_n") - F.col("n")) * (DEN - NUM) + 1) / (2 * both)).cast("int")  # shared with a live set
     reach = lambda k: F.when(F.col("live"), k + 1).otherwise(F.least(k, m - least) + 1)
