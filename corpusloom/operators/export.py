@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
 from .records import shards
-from .vectors import top_k
+from .vectors import extremes
 
 
 def melt(wide: DataFrame, key: str = "text_id") -> DataFrame:
@@ -23,11 +23,9 @@ def metrics_table(values: DataFrame, key: str = "text_id", decimals: int = 6) ->
     return wide.select(key, *(F.coalesce(trimmed(F.col(f"`{n}`"), decimals), F.lit("")).alias(n) for n in names))
 
 
-def similarity_table(pairs: DataFrame, k: int = 100, score: str = "cosine") -> DataFrame:
-    """Per text the k closest, then the k farthest: text, kind, rank, other, score (4 trimmed decimals)."""
-    near = top_k(pairs, k, score).withColumn("kind", F.lit("closest"))
-    far = top_k(pairs, k, score, nearest=False).withColumn("kind", F.lit("farthest"))
-    return near.union(far).select(F.col("a").alias("text_id"), "kind", "rank", F.col("b").alias("other"), trimmed(F.col(score)).alias("score"))
+def similarity_table(vectors: DataFrame, k: int = 100) -> DataFrame:
+    """Per text the k closest, then the k farthest: text_id, kind, rank, other, score (4 trimmed decimals)."""
+    return extremes(vectors, k).select(F.col("a").alias("text_id"), "kind", "rank", F.col("b").alias("other"), trimmed(F.col("cosine")).alias("score"))
 
 
 def handle(df: DataFrame) -> DataFrame:
