@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.wordlists import LATINATE, NOT_GERUNDS, POSSESSIVES, PRONOUNS
+from .filters import spans
 
 BLOCK, LEAST_BLOCK = 5000, 4000
 
@@ -72,8 +73,22 @@ def blocks(texts: DataFrame, size: int = BLOCK, least: int = LEAST_BLOCK) -> Dat
     return cut.where(F.size("tokens") >= least)
 
 
+def blocks_of_files(files: DataFrame, size: int = BLOCK, least: int = LEAST_BLOCK) -> DataFrame:
+    """``blocks`` of texts given by files (text_id, file_id, ord, tokens; file ids are unique in a text): only runs of ``size`` tokens are gathered, never a text."""
+    at = spans(files.select("text_id", "file_id", "ord", F.size("tokens").cast("long").alias("len"))).where("len > 0").select("text_id", "file_id", "start", "end")
+    first, last = F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)
+    cut = F.transform(F.sequence(first, last), lambda b: F.struct(
+        b.alias("block"), F.greatest(b * size, F.col("start")).alias("at"),
+        F.slice("tokens", (F.greatest(b * size, F.col("start")) - F.col("start") + 1).cast("int"), (F.least((b + 1) * size, F.col("end")) - F.greatest(b * size, F.col("start"))).cast("int")).alias("tokens"),
+    ))
+    pieces = files.select("text_id", "file_id", "tokens").join(at, ["text_id", "file_id"]).select("text_id", F.explode(cut).alias("p"))
+    runs = pieces.groupBy("text_id", F.col("p.block").alias("block")).agg(F.array_sort(F.collect_list(F.struct("p.at", "p.tokens"))).alias("runs"))  # ``size`` tokens each
+    return runs.select("text_id", "block", F.flatten(F.transform("runs", lambda r: r["tokens"])).alias("tokens")).where(F.size("tokens") >= least)
+
+
 def moving_unique_ngrams(texts: DataFrame, size: int = BLOCK, least: int = LEAST_BLOCK) -> DataFrame:
-    b = blocks(texts, size, least)
+    """Means over blocks of distinct pairs and triples; ``texts`` may be files (``blocks_of_files``)."""
+    b = blocks_of_files(texts, size, least) if "file_id" in texts.columns else blocks(texts, size, least)
     one = b.groupBy("text_id").agg(
         *(F.avg(F.size(F.array_distinct(ngrams(F.col("tokens"), n)))).alias(name) for n, name in ((2, "moving_unique_bigrams"), (3, "moving_unique_trigrams")))
     )

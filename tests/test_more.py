@@ -155,3 +155,27 @@ def test_selected_names():
     assert registry.selected(names, metrics=False) == []
     assert all(n.endswith("_count") for n in registry.selected(names, counts_only=True))
     assert "discussion_commentary_count" not in registry.selected(names, fast=True) and "hedge_count" in registry.selected(names, fast=True)
+
+
+def test_blocks_of_files_are_those_of_the_text(spark):
+    from corpusloom.operators import filters
+
+    rows = [("t", i, f"{i:02}", [f"w{(i * 7 + j) % 11}" for j in range(n)]) for i, n in enumerate([3, 0, 12, 1, 5, 9])] + [("u", 9, "09", ["a"]), ("v", 10, "10", [])]
+    files = spark.createDataFrame(rows, "text_id string, file_id int, ord string, tokens array<string>")
+    key = lambda df: sorted((r.text_id, r.block, tuple(r.tokens)) for r in df.collect())
+    assert key(lexical.blocks_of_files(files, 5, 4)) == key(lexical.blocks(filters.texts_of(files), 5, 4))
+    assert sorted(map(tuple, lexical.moving_unique_ngrams(files, 5, 4).collect())) == sorted(map(tuple, lexical.moving_unique_ngrams(filters.texts_of(files), 5, 4).collect()))
+    plan = lexical.moving_unique_ngrams(files, 5, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(ord" not in plan  # no text is gathered
+
+
+def test_topics_of_texts_in_rows(spark):
+    from corpusloom.operators import clusters
+
+    rows = [("a", ["cat", "dog"]), ("a", ["cat", "dog", "cat"]), ("b", ["sun", "moon"]), ("b", []), ("none", [])]
+    mix, words = clusters.topics(spark.createDataFrame(rows, "text_id string, tokens array<string>"), 2, rounds=5)
+    total = {}
+    for r in mix.collect():
+        total[r.text_id] = total.get(r.text_id, 0) + r.prob
+    assert set(total) == {"a", "b", "none"} and abs(total["a"] - 1) < 1e-6 and abs(total["b"] - 1) < 1e-6
+    assert all(set(r["words"]) <= {"cat", "dog", "sun", "moon"} and len(r["words"]) == 4 for r in words.collect())
