@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import kept
 from ..functions.wordlists import FUNCTION_WORDS
 from .explore import correlation, normal_cdf
-from .lexical import frequencies
 
 ALPHA, LEAST, FLOOR_RANK = 0.01, 5, 1000
 
@@ -34,13 +34,21 @@ def fighting_words(freq: DataFrame, rank: int = 1, least: int = LEAST, alpha: fl
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """Rows text_id, word, rate for every function word of every text with tokens."""
-    e = frequencies(texts.select("text_id", T.expand(F.col("tokens")).alias("tokens")))
-    size = e.groupBy("text_id").agg(F.sum("f").alias("n"))
-    words = texts.sparkSession.createDataFrame([(w,) for w in FUNCTION_WORDS], "word string")
-    grid = size.crossJoin(F.broadcast(words))  # 130 words
-    e = e.where(F.col("token").isin(FUNCTION_WORDS)).select("text_id", F.col("token").alias("word"), "f")
-    return grid.join(e, ["text_id", "word"], "left").select("text_id", "word", (F.coalesce("f", F.lit(0)) / F.col("n")).alias("rate"))
+    """Rows text_id, word, rate for every function word of every text with tokens.
+
+    A row's other tokens are only numbered, in place; what is shuffled is a count per row and function word. Kept as a small table, since it is read several times.
+    """
+    listed = [*FUNCTION_WORDS, *T.CONTRACTIONS]
+    some = F.filter("tokens", lambda t: t.isin(listed))
+    words = T.expand(F.col("some"))
+    cut = texts.select("text_id", F.size("tokens").alias("n"), some.alias("some")).select("text_id", (F.col("n") - F.size("some")).alias("n"), words.alias("words"))
+    one = F.filter("words", lambda w: w.isin(FUNCTION_WORDS))
+    total = F.array(F.struct(F.lit(None).cast("string").alias("word"), (F.col("n") + F.size("words")).cast("long").alias("f")))
+    e = cut.select("text_id", F.explode(F.concat(total, F.transform(one, lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("f"))))).alias("e"))
+    e = kept(e.groupBy("text_id", "e.word").agg(F.sum("e.f").alias("f")), "profiles")  # 131 rows a text
+    size = e.where("word is null and f > 0").select("text_id", F.col("f").alias("n"))
+    grid = size.crossJoin(F.broadcast(texts.sparkSession.createDataFrame([(w,) for w in FUNCTION_WORDS], "word string")))  # 130 words
+    return grid.join(e.where("word is not null"), ["text_id", "word"], "left").select("text_id", "word", (F.coalesce("f", F.lit(0)) / F.col("n")).alias("rate"))
 
 
 def z_scores(profile: DataFrame) -> DataFrame:
