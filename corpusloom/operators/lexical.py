@@ -5,8 +5,11 @@ one task; windows are partitioned by text and token, or by text and block, never
 """
 
 import lzma
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..functions.wordlists import LATINATE, NOT_GERUNDS, POSSESSIVES, PRONOUNS
 from .filters import spans
 
 BLOCK, LEAST_BLOCK = 5000, 4000
+#: Tokens that a worker numbers at once.
+TOKENS = 1 << 20
 
 
 def frequencies(texts: DataFrame) -> DataFrame:
@@ -95,17 +100,59 @@ def moving_unique_ngrams(texts: DataFrame, size: int = BLOCK, least: int = LEAST
     return texts.select("text_id").distinct().join(one, "text_id", "left").fillna(0.0)
 
 
+def _dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the pairs (high, low): equal pairs, equal numbers."""
+    return np.unique(high * (int(low.max(initial=0)) + 1) + low, return_inverse=True)[1]
+
+
+def entropy_of(tokens: pa.ListArray, n: int) -> np.ndarray:
+    """Cross entropy of each list of tokens under its own add-one model of order ``n``; 0 for fewer than n tokens. Counts are exact: tokens are numbered, not hashed."""
+    size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros(len(size))
+    long = np.flatnonzero(size >= n)
+    if not len(long):
+        return out
+    words = tokens.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 2  # 0 and 1 are the marks
+    doc = np.repeat(np.arange(len(size)), size)
+    words, doc = words[size[doc] >= n], doc[size[doc] >= n]
+    length = size[long] + n  # start marks and the end mark
+    ends = np.cumsum(length)
+    pad = np.zeros(int(ends[-1]), np.int64)
+    inner = np.ones(len(pad), bool)
+    inner[ends - 1] = False
+    for i in range(n - 1):
+        inner[ends - length + i] = False
+    pad[inner], pad[ends - 1] = words, 1
+    at = np.repeat(np.arange(len(long)), length)
+    kinds = np.bincount(np.unique(at[inner] * (int(pad.max()) + 1) + pad[inner]) // (int(pad.max()) + 1), minlength=len(long))
+    starts = np.ones(len(pad), bool)  # where a gram of n begins within its text
+    for i in range(n - 1):
+        starts[ends - 1 - i] = False
+    p = np.flatnonzero(starts)
+    context = at[p]
+    for i in range(n - 1):
+        context = _dense(context, pad[p + i])
+    gram = _dense(context, pad[p + n - 1])
+    count, total = np.bincount(gram)[gram], np.bincount(context)[context]
+    bits = np.log2((count + 1) / (total + kinds[at[p]] + 2.0))
+    out[long] = -np.bincount(at[p], bits, len(long)) / (size[long] + 1)
+    return out
+
+
 def ngram_entropy(texts: DataFrame, n: int) -> DataFrame:
-    """Cross entropy in bits of the add-one conditional model of each text, with start and end marks."""
-    pad = F.concat(F.array_repeat(F.lit("<s>"), n - 1), F.col("tokens"), F.array(F.lit("</s>")))
-    base = texts.where(F.size("tokens") >= n).select("text_id", F.size("tokens").alias("len"), F.size(F.array_distinct("tokens")).alias("v"), pad.alias("pad"))
-    at = F.sequence(F.lit(1), F.size("pad") - n + 1)
-    grams = base.select("text_id", "len", "v", F.explode(F.transform(at, lambda i: F.struct(F.array_join(F.slice("pad", i, n - 1), " ").alias("context"), F.get("pad", i + n - 2).alias("w")))).alias("g"))
-    c = grams.groupBy("text_id", "len", "v", "g.context", "g.w").agg(F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy("text_id", "context"))
-    c = c.withColumn("bits", F.col("c") * F.log2((F.col("c") + 1) / (total + F.col("v") + 2)))
-    one = c.groupBy("text_id").agg((-F.sum("bits") / (F.first("len") + 1)).alias(f"ngram_entropy_{n}"))
-    return texts.select("text_id").distinct().join(one, "text_id", "left").fillna(0.0)
+    """Cross entropy in bits of the add-one conditional model of each text (a row each), with start and end marks. Counted within the text's row: nothing is shuffled."""
+    kind = dict(texts.dtypes)["text_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, lo = np.cumsum(b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while lo < b.num_rows:  # about TOKENS at once, or one longer text
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(entropy_of(part.column(1), n))], ["text_id", f"ngram_entropy_{n}"])
+                lo = hi
+
+    return texts.select("text_id", "tokens").mapInArrow(run, f"text_id {kind}, ngram_entropy_{n} double")
 
 
 def readability(df: DataFrame, text: str = "text") -> DataFrame:
