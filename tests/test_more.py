@@ -179,3 +179,41 @@ def test_topics_of_texts_in_rows(spark):
         total[r.text_id] = total.get(r.text_id, 0) + r.prob
     assert set(total) == {"a", "b", "none"} and abs(total["a"] - 1) < 1e-6 and abs(total["b"] - 1) < 1e-6
     assert all(set(r["words"]) <= {"cat", "dog", "sun", "moon"} and len(r["words"]) == 4 for r in words.collect())
+
+
+def test_entropy_by_hand(spark):
+    from collections import Counter
+    from math import log2
+
+    rows = [(i, [f"w{(i * j * j) % 5}" for j in range(n)]) for i, n in enumerate([0, 1, 2, 3, 9, 40])] + [(9, None)]
+    df = spark.createDataFrame(rows, "text_id int, tokens array<string>")
+    for n in (2, 3):
+        got = lexical.ngram_entropy(df, n)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        for r in got.collect():
+            t = dict(rows)[r.text_id] or []
+            pad = ["<s>"] * (n - 1) + t + ["</s>"]
+            grams = Counter(tuple(pad[i : i + n]) for i in range(len(pad) - n + 1))
+            total = Counter()
+            for g, c in grams.items():
+                total[g[:-1]] += c
+            want = -sum(c * log2((c + 1) / (total[g[:-1]] + len(set(t)) + 2)) for g, c in grams.items()) / (len(t) + 1) if len(t) >= n else 0.0
+            assert abs(r[1] - want) < 1e-9
+
+
+def test_median_without_one_task_of_all_values(spark):
+    for values in ([], [None], [3.0], [1.0, 2.0], [5.0, 1.0, 1.0, None, 9.0], [2.0, 2.0, 7.0, 8.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        got = explore.summary(df, "x")
+        assert got.first().median == df.agg(F.percentile("x", 0.5)).first()[0]
+        assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_read_the_texts_once(spark):
+    from corpusloom.operators import style
+
+    df = spark.createDataFrame([("a", ["i'm", "here", "the", "the"]), ("a", ["zebra", "don't"]), ("b", ["the"]), ("c", [])], "text_id string, tokens array<string>")
+    p = style.profiles(df)
+    rate = {(r.text_id, r.word): r.rate for r in p.collect()}
+    assert rate["a", "the"] == 2 / 8 and rate["a", "i"] == 1 / 8 and rate["b", "the"] == 1.0 and not any(t == "c" for t, _ in rate)
+    assert "tokens" not in style.z_scores(p)._jdf.queryExecution().optimizedPlan().toString()
