@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,21 +45,113 @@ def pieces(toks: Column) -> Column:
     return F.filter(F.flatten(F.transform(toks, lambda t: F.split(t, "'"))), lambda p: p != "")
 
 
-def pattern_count(joined_text: Column, patterns: list[str]) -> Column:
+#: Patterns that begin at a word and hold only letters: a word or phrase, one ending of several or none, or a stem with any ending.
+_FORMS = re.compile(r"\\b([a-z]+(?:(?: |\\s\+)[a-z]+)*)(?:(\\w\*)|([a-z])\?|\(\?:([a-z|]+)\)\?)?\\b")
+
+
+def forms(pattern: str) -> tuple[list[str], bool] | None:
+    """The words and phrases that a pattern matches, and whether they are a stem; None for other patterns."""
+    m = _FORMS.fullmatch(pattern)
+    if m is None:
+        return None
+    base, stem, letter, ends = re.sub(r" |\\s\+", " ", m[1]), bool(m[2]), m[3], m[4]
+    if letter:
+        return [base, base + letter], False
+    if stem and " " in base:
+        return None
+    return ([base, *(base + e for e in dict.fromkeys(ends.split("|")))] if ends else [base]), stem
+
+
+def needed(pattern: str) -> list[str] | None:
+    """Letters that every match holds, one of the list at least; None if there are none."""
+
+    def of(seq) -> list[str] | None:
+        found, run = [], ""
+        for op, x in [*seq, (None, None)]:
+            if op is _parser.LITERAL and "a" <= chr(x) <= "z":
+                run += chr(x)
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if op is _parser.SUBPATTERN:
+                found.append(of(x[-1]))
+            elif op is _parser.BRANCH:
+                each = [of(b) for b in x[1]]
+                found.append(None if None in each else sorted({w for e in each for w in e}))
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and x[0] > 0:
+                found.append(of(x[2]))
+        found = [f for f in found if f]
+        return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+    return of(_parser.parse(pattern))
+
+
+#: Letters beyond ASCII that match s and i when case is ignored, and stay when a text is lower-cased.
+_FOLDED = ("ſı", "si")
+
+
+def folded(joined_text: Column) -> Column:
+    return F.translate(F.lower(joined_text), *_FOLDED)
+
+
+def hits(joined_text: Column, patterns: list[str]) -> Column | None:
+    """In one pass over a text: at each word where one of the patterns with ``forms`` matches, the longest match, and a space. For ``pattern_count``."""
+    known = [f for f in map(forms, patterns) if f]
+    if not known:
+        return None
+    starts: dict[str, set[tuple[int, str]]] = {}
+    for words, stem in known:
+        for w in words:
+            starts.setdefault(w[0], set()).add((-w.count(" "), w[1:].replace(" ", r"\s+") + (r"\w*" if stem else "")))
+    every = "|".join(f"{c}(?:{'|'.join(r for _, r in sorted(rest))})" for c, rest in sorted(starts.items()))
+    found = F.regexp_extract_all(joined_text, F.lit(rf"(?iU)\b(?=((?:{every})\b))"), F.lit(1))
+    return F.transform(found, lambda h: F.concat(F.translate(F.lower(h), *_FOLDED), F.lit(" ")))
+
+
+def pattern_count(joined_text: Column, patterns: list[str], found: Column | None = None, letters: Column | None = None) -> Column:
     """Sum over the patterns of their matches that do not overlap, ignoring case, with Unicode word classes.
 
-    Plain words are looked up among the text's words, all in one pass; only other patterns scan the text each.
+    Plain words are looked up among the text's words, all in one pass; only other patterns scan the text each. With ``found`` (``hits`` of these
+    patterns or more), words, stems and phrases are counted there; with ``letters`` (``folded``), a text that lacks what a pattern needs is not scanned.
     """
     out = F.lit(0).cast("long")
+    if found is not None:
+        known = {p: f for p in patterns if (f := forms(p)) is not None and not any(_overlaps(w) for w in f[0])}
+        single = [w for words, stem in map(known.get, [p for p in patterns if p in known]) if not stem and " " not in words[0] for w in words]
+        single = single if len(set(single)) == len(single) else []
+        if single:
+            out = F.size(F.filter(found, lambda h: F.substring_index(h, " ", 1).isin(single))).cast("long")
+        for p in [p for p in patterns if p in known]:
+            words, stem = known[p]
+            if stem or " " in words[0] or not single:
+                out = out + _begin(found, [w if stem else w + " " for w in words])
+        patterns = [p for p in patterns if p not in known]
     plain = [p for p in patterns if _PLAIN.fullmatch(p)]
     if len(plain) > 2 and len(set(map(str.lower, plain))) == len(plain):
         patterns = [p for p in patterns if p not in plain]
         out = F.size(F.filter(F.split(joined_text, "[ ']"), lambda w: w.isin([p[2:-2].lower() for p in plain]))).cast("long")
     for p in patterns:
-        out = out + F.regexp_count(joined_text, F.lit(f"(?iU){p}")).cast("long")
+        one = F.regexp_count(joined_text, F.lit(f"(?iU){p}")).cast("long")
+        need = needed(p) if letters is not None else None
+        out = out + (one if not need else F.when(_any(F.contains(letters, F.lit(w)) for w in need), one).otherwise(F.lit(0).cast("long")))
     return out
 
 
+def _overlaps(phrase: str) -> bool:
+    """Whether two matches of a phrase can share words."""
+    w = phrase.split(" ")
+    return any(w[k:] == w[:-k] for k in range(1, len(w)))
+
+
+def _begin(found: Column, starts: list[str]) -> Column:
+    return F.size(F.filter(found, lambda h: _any(F.startswith(h, F.lit(x)) for x in starts))).cast("long")
+
+
+def _any(conditions) -> Column:
+    return functools.reduce(lambda a, b: a | b, conditions)
+
+
 def set_count(toks: Column, words: list[str]) -> Column:
     return F.size(F.filter(toks, lambda t: t.isin(list(words)))).cast("long")
 

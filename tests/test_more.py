@@ -217,3 +217,29 @@ def test_profiles_read_the_texts_once(spark):
     rate = {(r.text_id, r.word): r.rate for r in p.collect()}
     assert rate["a", "the"] == 2 / 8 and rate["a", "i"] == 1 / 8 and rate["b", "the"] == 1.0 and not any(t == "c" for t, _ in rate)
     assert "tokens" not in style.z_scores(p)._jdf.queryExecution().optimizedPlan().toString()
+
+
+ODD = [
+    "i think i think the man's going to go ahead and going to going to", "you guys're don't you guys", "go over to to be fair oh no i can i", "ſorry ıı i'ı kıd kids kid's manſ mates mate²s", "²the the² 6 7 wee wee wee no nooo nuh uh",
+    "dogs dog doggy cats' ducks goose geese shut up shutting up", "", "oh my big god oh my god may could have been", "hello_ helló hellóx chilling well done well well done",
+]
+
+
+def test_patterns_in_one_pass_count_as_each_alone(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "text_id int, text string").select("text_id", T.tokens(F.col("text")).alias("tokens"))
+    table = registry.gaming_registry(patterns={"again_count": [r"\bwell done\b", r"\bwell\b", r"\bwell\b", r"\bwee wee\b"]}) | {n: b for n, b in registry.base_registry().items() if isinstance(b, registry.Patterns)}
+    names = [n for n, b in table.items() if isinstance(b, registry.Patterns)]
+    got = registry.measure(df, names, table).collect()
+    j = T.joined(F.col("tokens"))
+    want = df.select("text_id", *(sum((F.regexp_count(j, F.lit(f"(?iU){p}")).cast("long") for p in table[n].patterns), F.lit(0).cast("long")).alias(n) for n in names if not table[n].finish)).collect()
+    for g, w in zip(sorted(got), sorted(want), strict=True):
+        assert {n: g[n] for n in w.asDict()} == w.asDict()
+
+
+def test_density_sweep_runs_kmeans_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 2), float(i % 3), 1.0]) for i in range(12)], "id long, vector array<double>")
+    monkeypatch.setattr(clusters, "MOST", 8)
+    ran, kmeans = [], clusters.kmeans
+    monkeypatch.setattr(clusters, "kmeans", lambda v: ran.append(1) or kmeans(v))
+    got = sorted(map(tuple, clusters.density_sweep(df, (3, 5)).collect()))
+    assert len(ran) == 1 and got == sorted((n, r.id, r.label) for r in kmeans(df).collect() for n in (3, 5))
