@@ -20,6 +20,7 @@ def fighting_words(freq: DataFrame, rank: int = 1, least: int = LEAST, alpha: fl
 
     ``freq`` has text_id, token, f. Nulls where a text has no candidate or nothing to compare with.
     """
+    freq = kept(freq, "frequencies")  # read three times
     size = freq.groupBy("text_id").agg(F.sum("f").alias("n"))
     both = size.crossJoin(F.broadcast(size.agg(F.sum("n").alias("all"))))  # one row
     total = freq.groupBy("token").agg(F.sum("f").alias("everywhere"))

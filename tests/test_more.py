@@ -243,3 +243,10 @@ def test_density_sweep_runs_kmeans_once(spark, monkeypatch):
     monkeypatch.setattr(clusters, "kmeans", lambda v: ran.append(1) or kmeans(v))
     got = sorted(map(tuple, clusters.density_sweep(df, (3, 5)).collect()))
     assert len(ran) == 1 and got == sorted((n, r.id, r.label) for r in kmeans(df).collect() for n in (3, 5))
+
+
+def test_frequencies_shuffle_no_row_per_token(spark):
+    rows = [("a", ["x", "x", "y"]), (None, ["x"]), ("a", ["x"]), ("b", []), ("c", None)]
+    got = lexical.frequencies(spark.createDataFrame(rows, "text_id string, tokens array<string>"))
+    assert {(r.text_id, r.token): r.f for r in got.collect()} == {("a", "x"): 3, ("a", "y"): 1, (None, "x"): 1}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
