@@ -37,17 +37,15 @@ def fighting_words(freq: DataFrame, rank: int = 1, least: int = LEAST, alpha: fl
 def profiles(texts: DataFrame) -> DataFrame:
     """Rows text_id, word, rate for every function word of every text with tokens.
 
-    A row's other tokens are only numbered, in place; what is shuffled is a count per row and function word. Kept as a small table, since it is read several times.
+    Tokens are counted where they are read, all but the listed words as one; contractions are parted in the counts. Kept as a small table, since it is read several times.
     """
-    listed = [*FUNCTION_WORDS, *T.CONTRACTIONS]
-    some = F.filter("tokens", lambda t: t.isin(listed))
-    words = T.expand(F.col("some"))
-    cut = texts.select("text_id", F.size("tokens").alias("n"), some.alias("some")).select("text_id", (F.col("n") - F.size("some")).alias("n"), words.alias("words"))
-    one = F.filter("words", lambda w: w.isin(FUNCTION_WORDS))
-    total = F.array(F.struct(F.lit(None).cast("string").alias("word"), (F.col("n") + F.size("words")).cast("long").alias("f")))
-    e = cut.select("text_id", F.explode(F.concat(total, F.transform(one, lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("f"))))).alias("e"))
-    e = kept(e.groupBy("text_id", "e.word").agg(F.sum("e.f").alias("f")), "profiles")  # 131 rows a text
-    size = e.where("word is null and f > 0").select("text_id", F.col("f").alias("n"))
+    t = F.col("t")
+    e = texts.select("text_id", F.explode_outer("tokens").alias("t")).select("text_id", "t", F.when(t.isin([*FUNCTION_WORDS, *T.CONTRACTIONS]), t).alias("word"))
+    e = e.groupBy("text_id", "word").agg(F.count("t").alias("f"))  # a row for each listed word, and one for the others; outer, or a filter on the tokens' number would cut the texts twice
+    parted = F.when(F.col("word").isNull(), F.array(F.lit(None).cast("string"))).otherwise(T.expand(F.array("word")))
+    e = e.select("text_id", F.explode(parted).alias("w"), "f")
+    e = kept(e.groupBy("text_id", F.when(F.col("w").isin(FUNCTION_WORDS), F.col("w")).alias("word")).agg(F.sum("f").alias("f")), "profiles")  # 131 rows a text
+    size = e.groupBy("text_id").agg(F.sum("f").alias("n")).where("n > 0")
     grid = size.crossJoin(F.broadcast(texts.sparkSession.createDataFrame([(w,) for w in FUNCTION_WORDS], "word string")))  # 130 words
     return grid.join(e.where("word is not null"), ["text_id", "word"], "left").select("text_id", "word", (F.coalesce("f", F.lit(0)) / F.col("n")).alias("rate"))
 
