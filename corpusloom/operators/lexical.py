@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import kept
 from ..functions.wordlists import LATINATE, NOT_GERUNDS, POSSESSIVES, PRONOUNS
 from .filters import spans
 
@@ -255,19 +256,76 @@ def mtld(toks: str | Column) -> Column:
     return F.pandas_udf(run, "double")(toks)
 
 
-def lzma_size(texts: str | Column) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: len(lzma.compress(t.encode())) if t else 0)
+def _crc32_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1).astype(np.uint32)
+    return t
+
+
+#: Bits of the match finder's hash at LZMA's default of an 8 MB dictionary, and fewer that may do; strings that it follows in one search.
+HASH_BITS, FEWER_BITS, DEPTH = 22, (16, 18, 20), 48
+_CRC = _crc32_table()
 
-    return F.pandas_udf(run, "long")(texts)
+
+def _hash_bits(data: bytes) -> int:
+    """Bits of hash with which LZMA finds the same matches in ``data`` as with ``HASH_BITS``.
+
+    A search walks a tree of the earlier places with the hash of the next four bytes. Places of other hashes in the same
+    tree are never matches; they only count against ``DEPTH``. So the matches are the same if each tree has no more
+    than ``DEPTH`` places or those of one full hash alone.
+    """
+    x = np.frombuffer(data, np.uint8)
+    if len(x) <= DEPTH + 3:
+        return FEWER_BITS[0]
+    full = (_CRC[x[:-3]] ^ x[1:-2] ^ x[2:-1].astype(np.uint32) << 8 ^ _CRC[x[3:]] << 5) & np.uint32((1 << HASH_BITS) - 1)
+    for bits in FEWER_BITS:
+        if len(data) > 2 << bits:  # the dictionary holds the whole text
+            continue
+        rest = HASH_BITS - bits
+        key = np.sort((full & np.uint32((1 << bits) - 1)) << rest | full >> bits)
+        tree = key >> rest
+        crowded = np.flatnonzero(tree[DEPTH:] == tree[:-DEPTH])
+        ends = tree[crowded]
+        if (key[np.searchsorted(tree, ends)] == key[np.searchsorted(tree, ends, "right") - 1]).all():
+            return bits
+    return HASH_BITS
+
+
+def _lzma_size(text: str) -> int:
+    """Bytes of a text compressed by LZMA's defaults. Their hash table alone takes longer to set up than a short text to compress, so a smaller one is used where it gives the same."""
+    data = text.encode()
+    bits = _hash_bits(data)
+    return len(lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": lzma.PRESET_DEFAULT, "dict_size": 2 << bits}]) if bits < HASH_BITS else lzma.compress(data))
+
+
+def _compressed(tokens: Column, size: int, least: int) -> Column:
+    """Struct all, blocks: n (tokens), raw (bytes) and c (bytes compressed) of a text and of each of its ``blocks``; a text is joined and cut in one pass."""
+
+    def measured(toks: list[str]) -> tuple[int, int, int]:
+        j = " ".join(t for t in toks if t is not None)
+        return len(toks), len(j.encode()), _lzma_size(j) if j else 0
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        every, parts = [], []
+        for t in s:
+            t = [] if t is None else list(t)
+            cut = [t[i : i + size] for i in range(0, len(t), size)]
+            every.append(measured(t))
+            parts.append([every[-1] if len(p) == len(t) else measured(p) for p in cut if len(p) >= least])
+        names = ("n", "raw", "c")
+        return pd.DataFrame({"all": [dict(zip(names, x)) for x in every], "blocks": [[dict(zip(names, x)) for x in p] for p in parts]})
+
+    one = "struct<n:long,raw:long,c:long>"
+    return F.pandas_udf(run, f"struct<all:{one},blocks:array<{one}>>")(tokens)
 
 
 def compression(texts: DataFrame) -> DataFrame:
-    """compression, normalized_compression_ratio and their means over blocks."""
-    t = texts.select("text_id", F.size("tokens").alias("n"), T.joined(F.col("tokens")).alias("j")).withColumn("c", lzma_size("j")).withColumn("raw", F.octet_length("j"))
+    """compression, normalized_compression_ratio and their means over blocks. Each text is read and compressed once; what is joined is a kept table of sizes."""
+    t = kept(texts.select("text_id", _compressed(F.col("tokens"), BLOCK, LEAST_BLOCK).alias("m")).select("text_id", "m.all.*", "m.blocks"), "compressed")
     full = t.select("text_id", F.when(F.col("n") > 0, F.col("c") / F.col("raw")).otherwise(0.0).alias("compression"), F.when(F.col("n") > 0, F.col("c") / (F.col("n") * 4.5)).otherwise(0.0).alias("normalized_compression_ratio"))
-    b = blocks(texts).select("text_id", F.size("tokens").alias("n"), T.joined(F.col("tokens")).alias("j")).withColumn("c", lzma_size("j"))
-    b = b.groupBy("text_id").agg(F.avg(F.col("c") / F.octet_length("j")).alias("moving_lzma_cr"), F.avg(F.col("c") / (F.col("n") * 4.5)).alias("window_normalized_lzma_cr"))
+    b = t.select("text_id", F.inline("blocks"))
+    b = b.groupBy("text_id").agg(F.avg(F.col("c") / F.col("raw")).alias("moving_lzma_cr"), F.avg(F.col("c") / (F.col("n") * 4.5)).alias("window_normalized_lzma_cr"))
     return full.join(b, "text_id", "left").fillna(0.0)
 
 
