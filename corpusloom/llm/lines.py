@@ -2,9 +2,10 @@
 
 A line is its set of distinct word shingles (lower-cased words; a line of fewer words is one
 shingle). Lines of the words of an earlier line go first; what is left has one line for each
-sequence of words. Shingles are ordered by the first letter of their first word (``FIRST``, then
-``SECOND``, then others), then by hash, so that most lines give the head of their order to one
-pattern, without their other shingles being built; a line that has too few of them is cut whole.
+sequence of words. Words are hashed once. Shingles are ordered by the hash of their first word, then
+by their own, so that most lines give the head of their order without their other shingles being
+hashed: those whose first word ranks low enough for the line's size; a line that has too few of
+them is hashed whole.
 Two sets that match share the ``SHARE`` least of their common shingles within the first
 ``n - ceil(t n) + SHARE`` of each (prefix filter; all of a smaller set). A line that shares fewer
 with all others goes before any pair is made. Pairs are cut by what is known of both: matching
@@ -45,22 +46,18 @@ SHARE = 3
 SMALL = 8
 #: Times that lines far from the first of their group are given another first.
 ROUNDS = 8
-#: First letters that lead the order of shingles, and the places of a line from which they alone are tried first.
-FIRST, SECOND = (("a", "f"), 40), (("a", "o"), 8)
+#: Bits of a first word's hash that are its shingles' rank in the order, above their own hash; places of a line from which low ranks alone are tried first.
+RANK, WHOLE = 15, 24
 #: Lines that a side may name for it to be broadcast (about 40 bytes each).
 FEW = 1_000_000
 #: Stand for a missing id: whole numbers, and texts.
 LAST, LAST_TEXT = (1 << 63) - 1, chr(0x10FFFF)
 _BLANKS = "\t\x0B\f\r"
-#: Bits of a shingle's hash in the order, below its letter's rank.
-HASH = 61
 
 
 def _plain(text: Column) -> Column:
     """Lower case, one blank between words; lines may still begin and end with one."""
-    odd = F.contains(text, F.lit("  "))
-    for c in _BLANKS:
-        odd = odd | F.contains(text, F.lit(c))
+    odd = F.contains(text, F.lit("  ")) | text.rlike(f"[{_BLANKS}]")
     return F.lower(F.when(odd, F.regexp_replace(text, f"[ {_BLANKS}]+", " ")).otherwise(text))
 
 
@@ -76,35 +73,41 @@ def _barrier(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def _found(line: Column, letters: tuple[str, str] | None = None) -> Column:
-    """Shingles of a plain line of ``SHINGLE`` words or more, one for each place, or those whose first word begins with these letters."""
-    skip, first = (rf"(?:[^{letters[0]}-{letters[1]} ][^ ]* )*+", rf"[{letters[0]}-{letters[1]}][^ ]*") if letters else ("", "[^ ]+")
-    return F.regexp_extract_all(line, F.lit(rf"\G{skip}(?=({first}{' [^ ]+' * (SHINGLE - 1)}))[^ ]+ "), F.lit(1))
+def _words(line: Column) -> Column:
+    """Hashes of a plain line's words."""
+    return F.transform(F.split(line, " "), lambda x: F.xxhash64(x))
 
 
-def _tokens(found: Column) -> Column:
-    """Shingles as numbers in the order: by the rank of their first letter, then by hash."""
+def _shingle(x: Column, i: Column) -> Column:
+    """Hash of the shingle at place i, which begins with the word x of ``words``."""
+    return F.xxhash64(x, *(F.get("words", i + j) for j in range(1, SHINGLE)))
 
-    def one(s: Column) -> Column:
-        rank = F.when((s >= FIRST[0][0]) & (s < chr(ord(FIRST[0][1]) + 1)), F.lit(0)).when((s >= SECOND[0][0]) & (s < chr(ord(SECOND[0][1]) + 1)), F.lit(1 << HASH)).otherwise(F.lit(2 << HASH))
-        return F.shiftrightunsigned(F.xxhash64(s), 64 - HASH).bitwiseOR(rank.cast("long"))
 
-    return F.array_distinct(F.transform(found, one))
+def _tokens(last: Column) -> Column:
+    """Distinct shingles of ``words`` as numbers in the order: by the rank of their first word, then by hash; those whose first word's hash is up to ``last``."""
+
+    def one(x: Column, i: Column) -> Column:
+        rank = F.shiftrightunsigned(x, 64 - RANK).bitwiseXOR(F.lit(1 << RANK - 1).cast("long"))  # of hashes with their sign
+        token = F.shiftleft(rank, 63 - RANK).bitwiseOR(F.shiftrightunsigned(_shingle(x, i), 1 + RANK))
+        return F.when((x <= last) & (i < F.col("m")), token).otherwise(F.lit(-1).cast("long"))
+
+    return F.array_except(F.transform("words", one), F.array(F.lit(-1).cast("long")))
 
 
 def _prefixes(lines: DataFrame) -> DataFrame:
     """Rows sid, doc, h, number, m (places), end, known (tokens up to ``end``, in order) of plain lines ``raw`` of ``SHINGLE`` words or more."""
-    name = [F.col(c) for c in ("doc", "h", "number", "raw", "m", "k")]
-    places = F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" "), F.lit(""))) - (SHINGLE - 2)
-    one = _barrier(lines, *name[:4], places.alias("m")).where("m > 0").withColumn("k", _reach(F.col("m")) - 1 + SHARE)
+    name, m, k, every = [F.col(c) for c in ("doc", "h", "number")], F.col("m"), _reach(F.col("m")) - 1 + SHARE, F.lit(1 << RANK).cast("long")
+    one = _barrier(lines, *name, _words(F.col("raw")).alias("words")).where(F.size("words") >= SHINGLE)
+    one = one.select(*name, "words", (F.size("words") - (SHINGLE - 1)).alias("m"))
     # distinct shingles are m at most, so k are enough; all shingles of lower rank are known if k of them are found
-    enough = lambda a: F.size(a) >= F.col("k")
-    one = _barrier(one, *name, F.when(F.col("m") >= FIRST[1], _tokens(_found(F.col("raw"), FIRST[0]))).alias("a"))
-    second = F.when(~F.coalesce(enough("a"), F.lit(False)) & (F.col("m") >= SECOND[1]), _tokens(_found(F.col("raw"), SECOND[0])))
-    one = _barrier(one, *name, F.col("a"), second.alias("b"))
-    end = F.when(enough("a"), F.lit((1 << HASH) - 1)).when(enough("b"), F.lit((2 << HASH) - 1)).otherwise(F.lit(LAST))
-    known = F.when(enough("a"), F.col("a")).when(enough("b"), F.col("b")).otherwise(_tokens(_found(F.col("raw"))))
-    one = _barrier(one, *name[:3], F.col("m"), end.alias("end"), F.sort_array(known).alias("known"))
+    cut = F.when(m < WHOLE, every).otherwise(F.least(F.floor((k * 1.4 + 5) / m * (1 << RANK)), every))
+    one = _barrier(one, *name, F.col("words"), m, cut.alias("cut"))
+    last = F.when(F.col("cut") < every, F.shiftleft(F.col("cut") - (1 << RANK - 1), 64 - RANK) - 1).otherwise(F.lit(LAST))
+    one = _barrier(one, *name, F.col("words"), m, F.col("cut"), last.alias("last"))
+    one = _barrier(one, *name, F.col("words"), m, F.col("cut"), _tokens(F.col("last")).alias("some"))
+    enough = (F.col("cut") == every) | (F.size("some") >= k)
+    end = F.when(enough & (F.col("cut") < every), F.shiftleft("cut", 63 - RANK) - 1).otherwise(F.lit(LAST))
+    one = _barrier(one, *name, m, end.alias("end"), F.sort_array(F.when(enough, F.col("some")).otherwise(_tokens(F.lit(LAST)))).alias("known"))
     sid = F.shiftleft(F.monotonically_increasing_id(), 2).bitwiseOR(F.least(F.size("known"), F.lit(SHARE)).cast("long"))
     return one.select(sid.alias("sid"), "doc", "h", "number", "m", "end", "known")
 
@@ -298,7 +301,9 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one = _barrier(docs.join(side, ["doc", "h"]), F.col("doc"), F.col("h"), F.split(_plain(F.col("text")), "\n").alias("all"), F.col("wanted"))
     cut = F.transform("wanted", lambda x: F.struct(x["sid"].alias("sid"), x["number"].alias("number"), F.btrim(F.get("all", x["number"])).alias("raw")))
     one = one.select("doc", "h", F.inline(cut)).select("sid", F.struct("doc", "h", "number").alias("head"), "raw")
-    sets = stored(one.select("sid", "head", F.array_distinct(F.transform(_found(F.col("raw")), lambda t: F.xxhash64(t))).alias("set")), "sets")
+    one = _barrier(one, F.col("sid"), F.col("head"), _words(F.col("raw")).alias("words"))
+    places = F.transform("words", lambda x, i: F.when(i < F.size("words") - (SHINGLE - 1), _shingle(x, i)))
+    sets = stored(one.select("sid", "head", F.array_distinct(F.slice(places, F.lit(1), F.size("words") - (SHINGLE - 1))).alias("set")), "sets")
     drop_stored(wanted)
     first = _matched(found, sets)
 
